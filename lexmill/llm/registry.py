@@ -90,5 +90,54 @@ b AS (SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100
         + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, failures = 0 AS kept, failures FROM b
+""",
+    "op3_source_mixing": rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+r AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '{WORD}')) AS BIGINT) AS size,
+        -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)
+        / (CASE WHEN length(t) > 0 THEN 0.5 + 1.5 * length(translate(t, '0123456789#*$%&|<>{{}}[]\/_=+~^@', '')) / length(t) ELSE 0.5 END) AS k FROM d),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM r GROUP BY source),
+w AS (SELECT source, n, [5.0, 2.0, 1.0][(i - 1) % 3 + 1]::DOUBLE AS w, 3 * n AS cap FROM s),
+l AS (SELECT *, (sum(n) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+      FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+f AS (SELECT min(cap / w) AS at FROM l WHERE level <= cap / w),
+t AS (SELECT source, n, least(cap, coalesce(w * (SELECT level FROM l, f WHERE cap / w = f.at AND level <= cap / w ORDER BY source NULLS LAST LIMIT 1), cap)) AS target FROM l),
+p AS (SELECT r.doc_id, r.size, t.n, t.target, CASE WHEN t.n > 0 THEN floor(t.target / t.n) ELSE 0 END AS e,
+        coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.k, r.doc_id NULLS LAST, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, round(target, 6) AS target,
+  CAST(e * size + least(size, greatest(0, round(target - e * n) - ahead)) AS BIGINT) AS taken FROM p
+""",
+    "op5_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(12 + length(role) + 1 + n + 10 + 1) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
+""",
+    "op6_near_duplicates": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+        ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w)),
+n AS (SELECT w.doc_id, count(s.g) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM b JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * m >= 80 * (na.n + nb.n - m)),
+e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node WHERE reach.root < e.b)
+SELECT n.doc_id, n.n AS n_shingles, min(reach.root) AS component_id, min(reach.root) = n.doc_id AS kept
+FROM n JOIN reach ON reach.node = n.doc_id GROUP BY n.doc_id, n.n
+""",
+    "op7_repeated_passages": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+late AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS least FROM p) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM late),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """,
 }

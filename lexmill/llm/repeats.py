@@ -9,9 +9,9 @@ minimum of each WINDOW of them).  Consecutive anchors overlap.
 2. Neighbouring anchors on one diagonal form a chain.  Both ends are extended word by word, by
    the common prefixes of the words beside the chain in either document; these flanks are fetched
    once for each place, however many chains ask for it.  Matches of LENGTH words or more stay.
-3. A passage can also equal one of a document that leads none of its anchors, or of a leader that has an
-   anchor twice.  Passages without verdict whose anchors all have other owners are few; they
-   are compared by their own hashes, which settles every such case.
+3. A passage can also equal one of a document that does not lead its anchor, or of a leader that has the
+   anchor twice.  What has no verdict yet and has its own minimum shared is compared by hashes of
+   whole passages, which settles every such case.
 4. The words of all matches are removed.
 
 The documents are written once, bucketed by their key, so that the three joins with the texts
@@ -75,30 +75,29 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def anchors_of(w: Words) -> tuple[np.ndarray, ...]:
-    """Anchors of the rows of ``w``: row, ordinal, position, hash, distance to the anchor before and after, and whether the row has the hash again."""
+    """Anchors of the rows of ``w``: row, ordinal, position, hash, the passages whose own minimum it is, and whether the row has the hash again.
+
+    Those passages start at ``before`` words ahead of the anchor and at the ``starts`` - 1 words that follow.
+    """
     n = np.diff(w.first)
     grams = mix(run_hashes(w.hashes(), GRAM))
     least = winnow(grams, WINDOW)
     windows = np.maximum(n - LENGTH + 1, 0)
     row = np.repeat(np.arange(len(n)), windows)
-    place = least[ragged(w.first[:-1], windows)]
+    begin = ragged(w.first[:-1], windows)
+    place = least[begin]
     new = np.ones(len(place), bool)
     new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
-    row, place = row[new], place[new]
-    at = place - w.first[row]
+    starts = np.diff(np.append(np.flatnonzero(new), len(new)))
+    row, place, begin = row[new], place[new], begin[new]
+    at, before = place - w.first[row], place - begin
     head = np.ones(len(row), bool)
     head[1:] = row[1:] != row[:-1]
-    tail = np.append(head[1:], True) if len(head) else head
-    begin = np.flatnonzero(head)
-    ordinal = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
-    before, after = at.copy(), at.copy()
-    before[1:] -= at[:-1]
-    before[head] = at[head] + 1
-    after[:-1] = at[1:] - at[:-1]
-    after[tail] = n[row[tail]] - GRAM + 1 - at[tail]
+    heads = np.flatnonzero(head)
+    ordinal = np.arange(len(row)) - np.repeat(heads, np.diff(np.append(heads, len(row))))
     own = mix(grams[place] ^ mix(row.astype(np.uint64) + _U(1)))
     _, back, count = np.unique(own, return_inverse=True, return_counts=True)
-    return row, ordinal, at, grams[place], before, after, count[back] > 1
+    return row, ordinal, at, grams[place], before, starts, count[back] > 1
 
 
 def _by_slice(work: Callable[[pa.RecordBatch, Words], pa.RecordBatch], text: int, limit: int = 1 << 20) -> Callable:
@@ -120,11 +119,11 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(part: pa.RecordBatch, w: Words) -> pa.RecordBatch:
-    row, ordinal, at, gram, before, after, again = anchors_of(w)
+    row, ordinal, at, gram, before, starts, again = anchors_of(w)
     keys = [part.column(k).take(pa.array(row)) for k in (0, 1)]
     return pa.RecordBatch.from_arrays(
-        [*keys, pa.array(ordinal.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(before.astype(np.int8)), pa.array(after.astype(np.int8)), pa.array(again)],
-        ["doc", "sig", "ordinal", "at", "gram", "before", "after", "again"],
+        [*keys, pa.array(ordinal.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(before.astype(np.int8)), pa.array(starts.astype(np.int8)), pa.array(again)],
+        ["doc", "sig", "ordinal", "at", "gram", "before", "starts", "again"],
     )
 
 
@@ -184,14 +183,14 @@ def _extend_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of passage starts without verdict: all anchors shared, none led by the document alone, no match over them."""
+    """Ranges of passage starts without verdict: the passage's own minimum is shared, not led by the document alone, and no match lies over it."""
     for batch in batches:
         bounds, seeds = _lists(batch.column(2))
-        s = {f: seeds.field(f).to_numpy(zero_copy_only=False) for f in ("ordinal", "at", "f", "f_again", "before", "after")}
+        s = {f: seeds.field(f).to_numpy(zero_copy_only=False) for f in ("at", "f", "f_again", "before", "starts")}
         row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-        order = np.lexsort((s["ordinal"], row))
-        row, s = row[order], {k: v[order] for k, v in s.items()}
-        at, before, after = (s[k].astype(np.int64) for k in ("at", "before", "after"))
+        mine = (s["f"] == batch.column(0).to_numpy(zero_copy_only=False)[row]) & ~s["f_again"].astype(bool)
+        row, s = row[~mine], {k: v[~mine].astype(np.int64) for k, v in s.items()}
+        at, before, starts = s["at"], s["before"], s["starts"]
         last = np.zeros(batch.num_rows, np.int64)
         np.maximum.at(last, row, at + 2)
         base = np.concatenate([[0], np.cumsum(last + 1)])
@@ -203,14 +202,7 @@ def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge = np.bincount(base[owner] + lo, minlength=size + 1) - np.bincount(base[owner] + np.maximum(lo, hi), minlength=size + 1)
             return np.cumsum(edge)[:size] > 0
 
-        head = np.ones(len(row), bool)
-        head[1:] = (np.diff(row) != 0) | (np.diff(s["ordinal"]) != 1)
-        a = np.flatnonzero(head)
-        z = np.append(a[1:], len(row))[: len(a)] - 1
-        first, past = np.maximum(at[a] - before[a] + 1, at[a] - FLANK), np.minimum(at[z] + 1, at[z] + after[z] - FLANK)
-        open_ = spread(row[a], first, past)
-        mine = (s["f"] == batch.column(0).to_numpy(zero_copy_only=False)[row]) & ~s["f_again"].astype(bool)
-        open_ &= ~spread(row[mine], at[mine] - FLANK, at[mine] + 1)
+        open_ = spread(row, at - before, at - before + starts)
         m_bounds, matches = _lists(batch.column(3))
         m_row = np.repeat(np.arange(batch.num_rows), np.diff(m_bounds))
         if len(m_row):
@@ -279,14 +271,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = _bucketed(whole, KEY)
     text = texts.select(*KEY, "text")
 
-    anchors = text.filter("doc IS NOT NULL").mapInArrow(_by_slice(_anchor_rows, 2), "doc long, sig int, ordinal int, at int, gram long, before byte, after byte, again boolean")
+    anchors = text.filter("doc IS NOT NULL").mapInArrow(_by_slice(_anchor_rows, 2), "doc long, sig int, ordinal int, at int, gram long, before byte, starts byte, again boolean")
     anchors = materialize(anchors, "anchors")
     # Position, repetition and key of an occurrence in one number, so that the minimum aggregates in hash maps.
     packed = F.expr("shiftleft(cast(at as bigint), 33) | shiftleft(cast(again as bigint), 32) | (cast(sig as bigint) & 4294967295)")
     leaders = anchors.groupBy("gram").agg(F.min("doc").alias("f"), F.max("doc").alias("most"), F.min_by(packed, "doc").alias("p")).filter("f < most")
     leaders = leaders.select("gram", "f", F.expr("cast(if(p & 2147483648 = 0, p & 4294967295, (p & 4294967295) - 4294967296) as int)").alias("f_sig"), F.expr("shiftright(p, 33)").cast("int").alias("f_at"), F.expr("(shiftright(p, 32) & 1) = 1").alias("f_again"))
     leaders = materialize(leaders, "leaders")
-    seeds = anchors.join(leaders, "gram").groupBy(*KEY).agg(F.collect_list(F.struct("ordinal", "at", "before", "after", "f", "f_sig", "f_at", "f_again")).alias("seeds"))
+    seeds = anchors.join(leaders, "gram").groupBy(*KEY).agg(F.collect_list(F.struct("ordinal", "at", "before", "starts", "f", "f_sig", "f_at", "f_again")).alias("seeds"))
     seeds = materialize(seeds, "seeds")
 
     chains = materialize(seeds.mapInArrow(_chain_rows, CHAINS), "chains")
