@@ -1,6 +1,241 @@
-"""Every registered query with its SQL where SQL can express it."""
+"""Every registered query outside the training-data subpackage, with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import vectors as V
+from .operators import chunks, conversation, retrieval
+from .streaming import batches
+
+WORDS = "[a-z][a-z0-9''-]+"  # as SQL text
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def content_hashes(spark, d):
+    return _read(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+def token_counts(spark, d):
+    tf = retrieval.term_frequencies(_read(spark, d, "documents"))
+    return tf.groupBy("token").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("df"))
+
+
+def document_lengths(spark, d):
+    return retrieval.length_stats(_read(spark, d, "documents")).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+
+
+def chunk_offsets(spark, d):
+    return chunks.chunk_documents(_read(spark, d, "documents")).select("doc_id", "chunk_index", "start", "end", F.sha2("text", 256).alias("text_sha256"))
+
+
+def corpus_profile(spark, d):
+    return chunks.corpus_profile(_read(spark, d, "documents"))
+
+
+def bm25_topk(spark, d):
+    return retrieval.bm25(_read(spark, d, "documents"), _items(spark, d)).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
+def bm25_evaluation(spark, d):
+    docs, items = _read(spark, d, "documents"), _items(spark, d)
+    return retrieval.evaluate(retrieval.bm25(docs, items, 5), docs, items.select("query_id", F.col("text").alias("quote")))
+
+
+def _vectors(spark, d):
+    v = _read(spark, d, "embeddings")
+    return v.select(F.col("vec_id").alias("doc_id"), "embedding"), v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def knn_l2_topk(spark, d):
+    return retrieval.nearest_vectors(*_vectors(spark, d)).withColumn("score", F.round("score", 4))
+
+
+def knn_cosine_topk(spark, d):
+    return retrieval.nearest_vectors(*_vectors(spark, d), metric="cosine").withColumn("score", F.round("score", 4))
+
+
+def rrf_fusion(spark, d):
+    rows, queries = _vectors(spark, d)
+    return retrieval.fuse(retrieval.nearest_vectors(rows, queries), retrieval.nearest_vectors(rows, queries, metric="cosine"), names=("l2", "cosine"))
+
+
+def retrieve_hybrid(spark, d):
+    docs, items = _read(spark, d, "documents"), _items(spark, d)
+    return retrieval.fuse(retrieval.bm25(docs, items), retrieval.nearest_texts(docs, items))
+
+
+def retrieve_reranked(spark, d):
+    docs, items = _read(spark, d, "documents"), _items(spark, d)
+    pool = retrieval.fuse(retrieval.bm25(docs, items), retrieval.nearest_texts(docs, items), k=10)
+    return retrieval.rerank(pool, docs, items, 5)
+
+
+def message_log(spark, d):
+    return conversation.suffix_tokens(conversation.message_log(_read(spark, d, "conversations"))).drop("text")
+
+
+def compression_cuts(spark, d):
+    return conversation.compression_cut(conversation.message_log(_read(spark, d, "conversations")), limit=4000)
+
+
+def summary_caps(spark, d):
+    return conversation.summary_caps(conversation.message_log(_read(spark, d, "conversations")), 600, 1500, 50).select("conv_id", "seq", "cap")
+
+
+def turn_similarity(spark, d):
+    log = conversation.message_log(_read(spark, d, "conversations"))
+    a, b = log.select("conv_id", "seq", T.token_set(F.col("text")).alias("a")), log.select("conv_id", (F.col("seq") - 1).alias("seq"), T.token_set(F.col("text")).alias("b"))
+    return a.join(b, ["conv_id", "seq"]).select("conv_id", "seq", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+
+
+def question_classes(spark, d):
+    asked = _read(spark, d, "conversations").filter("role = 'user'")
+    return asked.select("conv_id", "turn", T.question_class(F.col("text")).alias("class"), T.estimate_tokens(F.col("text")).alias("tokens"), T.question_title(F.col("text")).alias("title"))
+
+
+def merged_sessions(spark, d):
+    e = _read(spark, d, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("start"))
+    return conversation.merge_ranges(e.withColumn("end", F.col("start") + 7200), "user_id", "start", "end", F.floor(F.col("start") / 86400))
+
+
+def latest_events(spark, d):
+    e = _read(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return conversation.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["user_id", "event_type"], "ts").select("user_id", "event_type", "ts", "event_id", "value")
+
+
+def orders_as_of(spark, d):
+    orders = _read(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("ts"), "o_orderkey")
+    marks = orders.filter("o_orderkey % 3 = 0").groupBy("k", "ts").agg(F.max("o_orderkey").alias("mark"))
+    return conversation.as_of(orders, marks, "k", "ts", "mark").select("k", "ts", "o_orderkey", "mark")
+
+
+def chunk_of_offset(spark, d):
+    docs = _read(spark, d, "documents")
+    points = docs.select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("at"))
+    ranges = chunks.chunk_documents(docs).select("doc_id", "chunk_index", "start", "end")
+    return conversation.point_in_range(points, ranges, "doc_id", "at", "start", "end").select("doc_id", "at", "chunk_index")
+
+
+def unlabelled_documents(spark, d):
+    return _read(spark, d, "documents").select("doc_id", "source").join(_read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+def labelled_documents(spark, d):
+    return _read(spark, d, "documents").select("doc_id", "source").join(_read(spark, d, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+
+
+def value_percentiles(spark, d):
+    return retrieval.nearest_rank(_read(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+
+
+def count_or_time_batches(spark, d):
+    return batches.count_or_time(_read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "event_id", seconds=3600)
+
+
+def hourly_events(spark, d):
+    events = _read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return batches.event_windows(events).select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("total", 4).alias("total"))
+
+
+def file_sizes(spark, d):
+    n = F.octet_length("text").cast("long") * 1000
+    return _read(spark, d, "documents").select("doc_id", T.file_size(n).alias("size"))
+
+
+_ALL = (
+    content_hashes, token_counts, document_lengths, chunk_offsets, corpus_profile, bm25_topk, bm25_evaluation, knn_l2_topk, knn_cosine_topk, rrf_fusion, retrieve_hybrid, retrieve_reranked, message_log,
+    compression_cuts, summary_caps, turn_similarity, question_classes, merged_sessions, latest_events, orders_as_of, chunk_of_offset, unlabelled_documents, labelled_documents, value_percentiles,
+    count_or_time_batches, hourly_events, file_sizes,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+_TOK = f"regexp_extract_all(lower(coalesce(text, '')), '{WORDS}')"
+_BM25 = f"""
+WITH d AS (SELECT doc_id, text, {_TOK} AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM d),
+tf AS (SELECT doc_id, token, count(*) AS tf, first(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS token FROM d) GROUP BY ALL),
+q AS (SELECT query_id, token, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK}) AS token FROM benchmark) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+sc AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))), 9) AS score
+       FROM q JOIN tf USING (token) JOIN df USING (token), s GROUP BY ALL),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)"""
+_KNN = "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+_PAIRS = "FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0"
+_TWO = f"""
+WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round({_KNN}, 9) AS l2, round({_COS}, 9) AS cos {_PAIRS}),
+x AS (SELECT query_id, doc_id, l2, row_number() OVER (PARTITION BY query_id ORDER BY l2, doc_id) AS rank FROM p),
+y AS (SELECT query_id, doc_id, cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id) AS rank FROM p)"""
+_LOG = """
+WITH l AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS seq, role, text, CAST(ceil(length(coalesce(text, '')) * 0.6) AS INTEGER) AS tokens FROM conversations),
+m AS (SELECT *, CAST(coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY seq), 0) AS INTEGER) AS round,
+        CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY seq DESC) AS BIGINT) AS suffix_tokens FROM l)"""
+_SPACES = r"[\t-\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+ORACLES = {
+    "content_hashes": "SELECT doc_id, 'txt-v1:' || sha256(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content_hash FROM documents",
+    "token_counts": f"SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOK}) AS token FROM documents) GROUP BY token",
+    "document_lengths": f"SELECT count(*) AS n_docs, round(avg(len({_TOK})), 6) AS avg_len FROM documents",
+    "chunk_offsets": """
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents),
+c AS (SELECT doc_id, text, n, unnest(CASE WHEN n <= 1800 THEN [0] ELSE range(0, CAST(ceil((n - 1200) / 960.0) AS BIGINT) + 1) END) AS i FROM d)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(960 * i AS INTEGER) AS start, CAST(CASE WHEN n <= 1800 THEN n ELSE least(960 * i + 1200, n) END AS INTEGER) AS "end",
+  sha256(substr(text, 960 * i + 1, CASE WHEN n <= 1800 THEN n ELSE 1200 END)) AS text_sha256 FROM c WHERE n > 0""",
+    "bm25_topk": f"{_BM25} SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 10",
+    "bm25_evaluation": f"""{_BM25},
+f AS (SELECT query_id, min(rank) AS rank FROM hits JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id
+      WHERE rank <= 5 AND contains(regexp_replace(d.text, '{_SPACES}+', '', 'g'), regexp_replace(b.text, '{_SPACES}+', '', 'g')) GROUP BY query_id)
+SELECT count(*) AS answerable, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall,
+  round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM benchmark LEFT JOIN f ON query_id = item_id""",
+    "knn_l2_topk": f"{_TWO} SELECT query_id, doc_id, round(l2, 4) AS score, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 10",
+    "knn_cosine_topk": f"{_TWO} SELECT query_id, doc_id, round(cos, 4) AS score, CAST(rank AS INTEGER) AS rank FROM y WHERE rank <= 10",
+    "rrf_fusion": f"""{_TWO},
+u AS (SELECT query_id, doc_id, x.rank AS r1, y.rank AS r2, round(coalesce(1.0 / (60 + x.rank), 0.0) + coalesce(1.0 / (60 + y.rank), 0.0), 9) AS rrf
+      FROM (SELECT * FROM x WHERE rank <= 10) x FULL JOIN (SELECT * FROM y WHERE rank <= 10) y USING (query_id, doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, r1 NULLS LAST, r2 NULLS LAST, doc_id) AS rank FROM u)
+SELECT query_id, doc_id, rrf, CASE WHEN r1 IS NOT NULL AND r2 IS NOT NULL THEN 'hybrid' WHEN r1 IS NOT NULL THEN 'l2' ELSE 'cosine' END AS method, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
+    "message_log": f"{_LOG} SELECT conv_id, seq, role, tokens, round, suffix_tokens FROM m",
+    "compression_cuts": f"""{_LOG},
+b AS (SELECT conv_id, count(*) AS n, max(round) AS k, coalesce(max(CASE WHEN suffix_tokens > 600 THEN seq + 1 END), 0) AS bc FROM m GROUP BY conv_id),
+t AS (SELECT b.*, least(bc, n - 6, (SELECT min(seq) FROM m WHERE m.conv_id = b.conv_id AND role = 'user' AND round = k - 2)) AS most, (SELECT min(seq) FROM m WHERE m.conv_id = b.conv_id AND role = 'user') AS s0 FROM b),
+c AS (SELECT t.*, coalesce((SELECT max(seq) FROM m WHERE m.conv_id = t.conv_id AND role = 'user' AND seq <= most), s0) AS cut FROM t)
+SELECT conv_id, n AS n_messages, k AS n_rounds, CAST(CASE WHEN k > 3 AND n > 6 AND cut > s0 THEN cut ELSE -1 END AS INTEGER) AS cut FROM c""",
+    "summary_caps": f"""{_LOG}, c AS (SELECT conv_id, seq, least(length(coalesce(text, '')), 600) AS own FROM m), e AS (SELECT *, sum(own) OVER (PARTITION BY conv_id) AS every FROM c)
+SELECT conv_id, seq, CAST(greatest(50, floor(own * least(1.0, 1500.0 / every))) AS INTEGER) AS cap FROM e""",
+    "turn_similarity": f"""{_LOG}, s AS (SELECT conv_id, seq, list_distinct({_TOK}) AS w FROM m),
+p AS (SELECT a.conv_id, a.seq, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS na, len(b.w) AS nb FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.seq = a.seq + 1)
+SELECT conv_id, seq, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE c / (na + nb - c) END, 6) AS jaccard FROM p""",
+    "question_classes": f"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'remember') THEN 'explicit' ELSE 'skip' END AS class, CAST(ceil(length(text) * 0.6) AS INTEGER) AS tokens,
+  substr(trim(regexp_replace(text, '{_SPACES}+', ' ', 'g')), 1, 30) AS title FROM conversations WHERE role = 'user'""",
+    "merged_sessions": """
+WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events),
+m AS (SELECT user_id, s, CASE WHEN s > max(s + 7200) OVER (PARTITION BY user_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM e),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT user_id, min(s) AS start, max(s) + 7200 AS "end", count(*) AS n FROM i GROUP BY user_id, island""",
+    "latest_events": "SELECT user_id, event_type, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id % 2 DESC, event_id DESC) = 1",
+    "orders_as_of": """
+WITH m AS (SELECT o_custkey AS k, o_orderdate AS ts, max(o_orderkey) AS mark FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL)
+SELECT o_custkey AS k, o_orderdate AS ts, o_orderkey, mark FROM orders ASOF LEFT JOIN m ON o_custkey = m.k AND o_orderdate >= m.ts""",
+    "chunk_of_offset": """
+WITH d AS (SELECT doc_id, length(text) AS n, CAST(floor(length(text) / 2) AS INTEGER) AS p FROM documents),
+c AS (SELECT doc_id, n, p, unnest(CASE WHEN n <= 1800 THEN [0] ELSE range(0, CAST(ceil((n - 1200) / 960.0) AS BIGINT) + 1) END) AS i FROM d)
+SELECT doc_id, p AS "at", CAST(i AS INTEGER) AS chunk_index FROM c WHERE p >= 960 * i AND p < CASE WHEN n <= 1800 THEN n ELSE least(960 * i + 1200, n) END""",
+    "unlabelled_documents": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "labelled_documents": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "value_percentiles": """
+WITH s AS (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)
+SELECT event_type, v[least(len(v) - 1, CAST(floor(0.5 * len(v)) AS BIGINT)) + 1] AS p50, v[least(len(v) - 1, CAST(floor(0.95 * len(v)) AS BIGINT)) + 1] AS p95 FROM s""",
+    "hourly_events": "SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "file_sizes": """SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', floor(n / 1024.0 * 100 + 0.5) / 100) WHEN n < 1073741824 THEN printf('%.2f MB', floor(n / 1048576.0 * 100 + 0.5) / 100) ELSE printf('%.2f GB', floor(n / 1073741824.0 * 100 + 0.5) / 100) END AS size
+FROM (SELECT doc_id, strlen(text) * 1000 AS n FROM documents)""",
+}
