@@ -5,9 +5,10 @@
    Registers of a union are the maxima of the parts' registers.
 2. Equal sets form a class; from here on its smallest document stands for all of them.
 3. Bands of register values are the buckets.  Each bucket links its members to one leader, and
-   leaders differ from band to band; no bucket is expanded into pairs.  What these links
-   leave apart in a bucket is paired with the bucket's other components, so every two
-   sets that share a bucket are in one component or have been compared.
+   leaders differ from band to band.  What these links leave apart is compared with the bucket's
+   other components, so every two sets that share a bucket are in one component or have
+   been compared: in buckets of up to SMALL sets pair by pair, in larger ones block by block
+   (BLOCK sets a side), as products of incidence matrices of which only the links leave a task.
 4. For each candidate pair the registers' comparison counts give the likelihood of the
    similarity given the two set sizes; pairs for which the threshold is far less likely than the best
    estimate leave.  The rest is confirmed on the full sets.
@@ -33,6 +34,7 @@ from .words import mix, slices, utf8
 
 BANDS, ROWS = 32, 5
 BASE, RATE = 1.02, 20.0
+SMALL, BLOCK = 16, 1024
 DOUBT = 25.0  # natural log of the likelihood ratio beyond which a pair leaves
 _U = np.uint64
 
@@ -135,6 +137,46 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.filter(100 * F.col("both") >= percent * (F.col("n") - F.col("both"))).select("a", "b")
 
 
+def block_links(reps: np.ndarray, components_: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one or two blocks' sets, of different components, that reach the threshold."""
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, item, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    use = count[item] > 1
+    owner, item = owner[use], shared[item[use]]
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(item[-1]) + 1 if len(item) else 0, width):
+        a, b = np.searchsorted(item, [low, low + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[owner[a:b], item[a:b] - low] = 1
+        both += m @ m.T
+    x, y = np.nonzero(100 * both >= percent * (size[:, None] + size[None, :] - both))
+    keep = (reps[x] < reps[y]) & (components_[x] != components_[y]) & ((blocks[x] != blocks[y]) | (blocks.min() == blocks.max()))
+    return reps[x[keep]], reps[y[keep]]
+
+
+def _blockwise(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within buckets (bucket, rep, component, n), each pair of a bucket's blocks a group of bounded size."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        at = table.column("shingles").combine_chunks()
+        flat, ends = at.flatten().to_numpy(zero_copy_only=False), at.offsets.to_numpy() - at.offsets[0].as_py()
+        rows = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        a, b = block_links(*(table.column(c).to_numpy() for c in ("rep", "component", "block")), rows, percent)
+        return pa.table({"a": a, "b": b})
+
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), parts.cast("long")).cast("int")
+    with_ = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = apart.select("bucket", "rep", "component", parts.alias("parts"), own.alias("block")).withColumn("other", with_)
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "block")
+    full = dealt.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    return full.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row.
 
@@ -168,13 +210,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     # What is still apart within a bucket.
     label = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    split = label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    apart = materialize(label.join(split, "bucket", "left_semi"), "apart")
-    main = apart.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    few = apart.join(main, "bucket").filter("component <> main").select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    rest = few.join(apart.select("bucket", F.col("rep").alias("y"), F.col("component").alias("cy")), "bucket").filter("cx <> cy").select(*pair).distinct()
+    split = label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("bucket", "n")
+    apart = materialize(label.join(split, "bucket"), "apart")
+    few = apart.filter(F.col("n") <= SMALL)
+    left, right = few.select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx")), few.select("bucket", F.col("rep").alias("y"), F.col("component").alias("cy"))
+    rest = left.join(right, "bucket").filter("x < y AND cx <> cy").select(*pair).distinct()
     rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = materialize(_confirm(_screen(rest, nodes, threshold), sets, percent), "links")
+    more = _confirm(_screen(rest, nodes, threshold), sets, percent).unionByName(_blockwise(apart.filter(F.col("n") > SMALL), sets, percent))
+    more = materialize(more, "links")
     if more.limit(1).count():
         found = components(edges.unionByName(more))
 
