@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
-from .components import components
+from .components import components, compose, relabel
 from .shingles import shingle_sets
 from .words import mix, slices, utf8
 
@@ -219,7 +219,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     more = _confirm(_screen(rest, nodes, threshold), sets, percent).unionByName(_blockwise(apart.filter(F.col("n") > SMALL), sets, percent))
     more = materialize(more, "links")
     if more.limit(1).count():
-        found = components(edges.unionByName(more))
+        merged = components(relabel(more, found))
+        alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+        found = materialize(compose(found.unionByName(alone), merged), "labels")
 
     by_doc = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sig.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
