@@ -19,9 +19,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest id."""
-    dropped = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest id.
+
+    Rows without an id are kept; an id goes with all its rows.
+    """
+    dropped = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

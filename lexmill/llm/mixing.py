@@ -64,9 +64,22 @@ def mix_table(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     an empty result; other columns are not carried.  Taken words of a source differ from its
     target by less than one word.
     """
+    placed = _placed(docs, weights, repeats, id_col, text_col, source_col)
+    return placed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def _unit(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """Two keys, never null, that rows share if their id, source and text are equal."""
+    marked = [c for name in (id_col, source_col, text_col) for c in (F.col(name), F.col(name).isNull())]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("unit_id"), F.xxhash64(*marked).alias("unit_hash")]
+
+
+def _placed(docs: DataFrame, weights: tuple[int, ...], repeats: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Every row's keys, size, and what the mix takes of it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = exponential_key(F.col(id_col), quality_weight(text))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *_unit(id_col, text_col, source_col))
     rows = materialize(rows.withColumn("bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("key"))) * BINS)).cast("int")), "mixing")
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     targets = source_targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, repeats)
@@ -82,17 +95,27 @@ def mix_table(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     budget = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("budget") - F.col("ahead")))
     placed = placed.withColumn("ahead", ahead).withColumn("epochs", epochs).withColumn("budget", budget)
-    return placed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return placed.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed rows of ``docs``, all its columns: a copy for each epoch, and for the last, cut copy its first words.
 
-    A cut copy's words are joined by single spaces.  Rows must have distinct, non-null ids.
+    A cut copy's words are joined by single spaces.  Rows that repeat id, source and text are one
+    document, which takes what all of them take; its other columns are those of the first in the
+    order of their JSON.  Null ids and sources are kept like others; rows without words give
+    nothing, nor does an empty table.  Columns may have any names.
     """
-    mixed = mix_table(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).filter("_taken > 0")
-    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    rows = docs.join(mixed, docs["doc_id"] == mixed["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    part = (F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), part), " ")
-    return rows.withColumn("text", F.when(part < F.col("_size"), cut).otherwise(F.col("text"))).select(*docs.columns)
+    keys = _unit(id_col, text_col, source_col)
+    takes = _placed(docs, weights, repeats, id_col, text_col, source_col).groupBy("unit_id", "unit_hash").agg(F.max("size").alias("size"), F.sum("taken").alias("taken")).filter("taken > 0")
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.lit(0).alias("_")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), others.alias("others"), *keys)
+    first = F.row_number().over(Window.partitionBy("unit_id", "unit_hash").orderBy("others"))
+    single = rows.withColumn("nth", first).filter("nth = 1").select("row", "unit_id", "unit_hash")
+    copies = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")).cast("long"))
+    mixed = single.join(takes, ["unit_id", "unit_hash"]).select("row", "size", "taken", F.explode(copies).alias("copy"))
+    part = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    text = F.col("row").getField(text_col)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), part), " ")
+    said = F.when(part < F.col("size"), cut).otherwise(text)
+    return mixed.select(*(said.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

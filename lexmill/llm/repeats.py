@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.scratch import materialize, scratch_dir
 from .words import Words, mix, ragged, slices, utf8
@@ -278,7 +279,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     leaders = anchors.groupBy("gram").agg(F.min("doc").alias("f"), F.max("doc").alias("most"), F.min_by(packed, "doc").alias("p")).filter("f < most")
     leaders = leaders.select("gram", "f", F.expr("cast(if(p & 2147483648 = 0, p & 4294967295, (p & 4294967295) - 4294967296) as int)").alias("f_sig"), F.expr("shiftright(p, 33)").cast("int").alias("f_at"), F.expr("(shiftright(p, 32) & 1) = 1").alias("f_again"))
     leaders = materialize(leaders, "leaders")
-    seeds = anchors.join(leaders, "gram").groupBy(*KEY).agg(F.collect_list(F.struct("ordinal", "at", "before", "starts", "f", "f_sig", "f_at", "f_again")).alias("seeds"))
+    seeds = anchors.join(leaders, "gram").groupBy(*KEY).agg(F.collect_set(F.struct("ordinal", "at", "before", "starts", "f", "f_sig", "f_at", "f_again")).alias("seeds"))
     seeds = materialize(seeds, "seeds")
 
     chains = materialize(seeds.mapInArrow(_chain_rows, CHAINS), "chains")
@@ -289,8 +290,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flanks = materialize(flanks, "flanks")
     end = lambda side, at, f_at: F.struct(F.lit(side).alias("side"), (2 * F.col(at) + side).alias("want"), (2 * F.col(f_at) + side).alias("f_want"))
     ends = chains.select(*KEY, "f", "f_sig", "start", "stop", F.explode(F.array(end(0, "start", "f_start"), end(1, "stop", "f_stop"))).alias("e")).select(*KEY, "f", "f_sig", "start", "stop", "e.*")
-    ours = flanks.withColumnRenamed("words", "ours")
-    theirs = flanks.select(F.col("doc").alias("f"), F.col("sig").alias("f_sig"), F.col("want").alias("f_want"), F.col("words").alias("theirs"))
+    # Repeated rows give each flank as often as they stand there.
+    ours = flanks.withColumnRenamed("words", "ours").dropDuplicates([*KEY, "want"])
+    theirs = flanks.select(F.col("doc").alias("f"), F.col("sig").alias("f_sig"), F.col("want").alias("f_want"), F.col("words").alias("theirs")).dropDuplicates(["f", "f_sig", "f_want"])
     beside = ends.join(ours, [*KEY, "want"]).join(theirs, ["f", "f_sig", "f_want"]).select(*KEY, "start", "stop", "side", "ours", "theirs")
     by = beside.mapInArrow(_extend_rows, "doc long, sig int, start int, stop int, side int, by int")
     grown = by.groupBy(*KEY, "start", "stop").agg(F.sum(F.when(F.col("side") == 0, F.col("by")).otherwise(0)).alias("left"), F.sum(F.when(F.col("side") == 1, F.col("by")).otherwise(0)).alias("right"))
@@ -307,10 +309,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = passages.groupBy("passage").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("passage", "least")
     late = passages.join(materialize(least, "shared-passages"), "passage").filter("doc > least").select(*KEY, "lo", (F.col("lo") + LENGTH).alias("hi"))
 
-    cuts = matches.unionByName(late).groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).cast(ranges).alias("cuts"))
-    row = texts.schema["row"].dataType.simpleString()
+    cuts = matches.unionByName(late).groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).cast(ranges).alias("cuts"))
+    kinds = T.StructType([texts.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     judged = texts.join(cuts, KEY, "left").select("row", "text", F.coalesce("cuts", none).alias("cuts"))
-    return judged.mapInArrow(_by_slice(_kept_rows, 1), f"row {row}, n_words long, n_removed long, kept string")
+    return judged.mapInArrow(_by_slice(_kept_rows, 1), kinds)
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
@@ -318,4 +320,4 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     rows = remove_repeats(docs)
     left = rows.filter("n_removed = 0 OR n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
-    return left.select(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    return left.select(*(text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -199,6 +199,10 @@ def test_repeated_passages_with_shared_and_null_ids(spark):
     df = spark.createDataFrame([(1, w), (1, w), (1, w + " tail"), (2, "head " + w), (None, w), (None, w)], "doc_id long, text string").withColumn("n_words", F.lit("clash")).withColumn("row", F.lit(1))
     got = sorted((r["row"]["doc_id"] or -1, r["n_removed"]) for r in repeats.remove_repeats(df).collect())
     assert got == [(-1, 0), (-1, 0), (1, 0), (1, 0), (1, 0), (2, 60)]
+    inner = " ".join(f"v{i}" for i in range(52))
+    rows = [(4, "a b c " + inner + " d e f"), (4, "a b c " + inner + " d e f"), (7, "g h " + inner + " i j k l m n"), (7, "g h " + inner + " i j k l m n"), (8, inner)]
+    twice = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["row"]["doc_id"], r["n_removed"]) for r in twice.collect()) == [(4, 0), (4, 0), (7, 52), (7, 52), (8, 52)]
     assert repeats.remove_repeats(df.limit(0)).count() == 0
     assert repeats.cut_documents(df).columns == df.columns
 
