@@ -268,9 +268,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each is judged by its own text.  An empty table gives an empty result.
     """
     sig = F.hash(F.coalesce(F.col(text_col), F.lit("")))
-    whole = docs.select(F.col(id_col).cast("long").alias("doc"), sig.alias("sig"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    whole = docs.select(F.col(id_col).cast("long").alias("doc"), sig.alias("sig"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     texts = _bucketed(whole, KEY)
-    text = texts.select(*KEY, "text")
+    said = F.col("row").getField(text_col).alias("text")
+    text = texts.select(*KEY, said)
 
     anchors = text.filter("doc IS NOT NULL").mapInArrow(_by_slice(_anchor_rows, 2), "doc long, sig int, ordinal int, at int, gram long, before byte, starts byte, again boolean")
     anchors = materialize(anchors, "anchors")
@@ -311,7 +312,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     cuts = matches.unionByName(late).groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).cast(ranges).alias("cuts"))
     kinds = T.StructType([texts.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    judged = texts.join(cuts, KEY, "left").select("row", "text", F.coalesce("cuts", none).alias("cuts"))
+    judged = texts.join(cuts, KEY, "left").select("row", said, F.coalesce("cuts", none).alias("cuts"))
     return judged.mapInArrow(_by_slice(_kept_rows, 1), kinds)
 
 
