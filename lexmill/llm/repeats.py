@@ -288,12 +288,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = chains.select(F.explode(F.array(ask("doc", "sig", "start", 0), ask("doc", "sig", "stop", 1), ask("f", "f_sig", "f_start", 0), ask("f", "f_sig", "f_stop", 1))).alias("q")).select("q.*").distinct()
     wanted = asked.groupBy(*KEY).agg(F.collect_list("want").alias("want"))
     flanks = text.join(wanted, KEY).select(*KEY, "want", "text").mapInArrow(_by_slice(_flank_rows, 3), "doc long, sig int, want int, words binary")
-    flanks = materialize(flanks, "flanks")
+    # Repeated rows give each flank once.  Done before the joins, so that a leader whom many ask for can be split there.
+    flanks = materialize(flanks.dropDuplicates([*KEY, "want"]), "flanks")
     end = lambda side, at, f_at: F.struct(F.lit(side).alias("side"), (2 * F.col(at) + side).alias("want"), (2 * F.col(f_at) + side).alias("f_want"))
     ends = chains.select(*KEY, "f", "f_sig", "start", "stop", F.explode(F.array(end(0, "start", "f_start"), end(1, "stop", "f_stop"))).alias("e")).select(*KEY, "f", "f_sig", "start", "stop", "e.*")
-    # Repeated rows give each flank as often as they stand there.
-    ours = flanks.withColumnRenamed("words", "ours").dropDuplicates([*KEY, "want"])
-    theirs = flanks.select(F.col("doc").alias("f"), F.col("sig").alias("f_sig"), F.col("want").alias("f_want"), F.col("words").alias("theirs")).dropDuplicates(["f", "f_sig", "f_want"])
+    ours = flanks.withColumnRenamed("words", "ours")
+    theirs = flanks.select(F.col("doc").alias("f"), F.col("sig").alias("f_sig"), F.col("want").alias("f_want"), F.col("words").alias("theirs"))
     beside = ends.join(ours, [*KEY, "want"]).join(theirs, ["f", "f_sig", "f_want"]).select(*KEY, "start", "stop", "side", "ours", "theirs")
     by = beside.mapInArrow(_extend_rows, "doc long, sig int, start int, stop int, side int, by int")
     grown = by.groupBy(*KEY, "start", "stop").agg(F.sum(F.when(F.col("side") == 0, F.col("by")).otherwise(0)).alias("left"), F.sum(F.when(F.col("side") == 1, F.col("by")).otherwise(0)).alias("right"))
