@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import answers as A
 from .functions import text as T
 from .functions import vectors as V
-from .operators import chunks, conversation, retrieval
+from .operators import chunks, conversation, lookup, retrieval, scoring
 from .streaming import batches
 
 WORDS = "[a-z][a-z0-9''-]+"  # as SQL text
@@ -152,10 +153,45 @@ def file_sizes(spark, d):
     return _read(spark, d, "documents").select("doc_id", T.file_size(n).alias("size"))
 
 
+def capped_summaries(spark, d):
+    return _read(spark, d, "conversations").select("conv_id", "turn", "role", A.cap_summary(F.col("text"), 30).alias("summary"))
+
+
+def answer_styles(spark, d):
+    said = _read(spark, d, "conversations").filter("role = 'assistant'")
+    return said.select("conv_id", "turn", *(A.complies(s, F.col("text")).alias(s) for s in ("bullets", "concise", "detailed", "not_french", "english")))
+
+
+def first_word_mentions(spark, d):
+    docs = _read(spark, d, "documents")
+    asks = docs.select(F.col("doc_id").alias("ask_id"), "doc_id", F.regexp_extract("text", "[a-z]+", 0).alias("name"))
+    return lookup.mentions(docs, asks).select("doc_id", "rank", "at", "start", "end", F.sha2("text", 256).alias("text_sha256"))
+
+
+def trimmed_chunks(spark, d):
+    hits = chunks.chunk_documents(_read(spark, d, "documents")).select("doc_id", "chunk_index", "start", "end", "text")
+    return lookup.trim_hits(hits, "doc_id", "chunk_index").select("doc_id", "chunk_index", "start", "end", "truncated", F.sha2("text", 256).alias("text_sha256"))
+
+
+def fitting_turns(spark, d):
+    log = conversation.message_log(_read(spark, d, "conversations"))
+    return lookup.fit_budget(log, "conv_id", "seq", F.length(F.coalesce("text", F.lit(""))), 400).select("conv_id", "seq")
+
+
+def limited_calls(spark, d):
+    return lookup.call_limits(_read(spark, d, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "blocked")
+
+
+def similarity_sweep(spark, d):
+    pairs = turn_similarity(spark, d).select(F.col("jaccard").alias("score"), (F.col("seq") % 2 == 0).alias("relevant"))
+    s = scoring.threshold_sweep(pairs, (0.05, 0.15, 0.25, 0.35))
+    return s.select(F.col("threshold").cast("double").alias("threshold"), F.round("relevant_recall", 6).alias("relevant_recall"), F.round("irrelevant_inject", 6).alias("irrelevant_inject"), "relevant", "irrelevant")
+
+
 _ALL = (
     content_hashes, token_counts, document_lengths, chunk_offsets, corpus_profile, bm25_topk, bm25_evaluation, knn_l2_topk, knn_cosine_topk, rrf_fusion, retrieve_hybrid, retrieve_reranked, message_log,
     compression_cuts, summary_caps, turn_similarity, question_classes, merged_sessions, latest_events, orders_as_of, chunk_of_offset, unlabelled_documents, labelled_documents, value_percentiles,
-    count_or_time_batches, hourly_events, file_sizes,
+    count_or_time_batches, hourly_events, file_sizes, capped_summaries, answer_styles, first_word_mentions, trimmed_chunks, fitting_turns, limited_calls, similarity_sweep,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -182,6 +218,10 @@ m AS (SELECT *, CAST(coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVE
         CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY seq DESC) AS BIGINT) AS suffix_tokens FROM l)"""
 _SPACES = r"[\t-\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
+_SIMILAR = f"""{_LOG}, s AS (SELECT conv_id, seq, list_distinct({_TOK}) AS w FROM m),
+p AS (SELECT a.conv_id, a.seq, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS na, len(b.w) AS nb FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.seq = a.seq + 1)
+SELECT conv_id, seq, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE c / (na + nb - c) END, 6) AS jaccard FROM p"""
+
 ORACLES = {
     "content_hashes": "SELECT doc_id, 'txt-v1:' || sha256(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content_hash FROM documents",
     "token_counts": f"SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOK}) AS token FROM documents) GROUP BY token",
@@ -212,9 +252,7 @@ c AS (SELECT t.*, coalesce((SELECT max(seq) FROM m WHERE m.conv_id = t.conv_id A
 SELECT conv_id, n AS n_messages, k AS n_rounds, CAST(CASE WHEN k > 3 AND n > 6 AND cut > s0 THEN cut ELSE -1 END AS INTEGER) AS cut FROM c""",
     "summary_caps": f"""{_LOG}, c AS (SELECT conv_id, seq, least(length(coalesce(text, '')), 600) AS own FROM m), e AS (SELECT *, sum(own) OVER (PARTITION BY conv_id) AS every FROM c)
 SELECT conv_id, seq, CAST(greatest(50, floor(own * least(1.0, 1500.0 / every))) AS INTEGER) AS cap FROM e""",
-    "turn_similarity": f"""{_LOG}, s AS (SELECT conv_id, seq, list_distinct({_TOK}) AS w FROM m),
-p AS (SELECT a.conv_id, a.seq, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS na, len(b.w) AS nb FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.seq = a.seq + 1)
-SELECT conv_id, seq, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE c / (na + nb - c) END, 6) AS jaccard FROM p""",
+    "turn_similarity": _SIMILAR,
     "question_classes": f"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'remember') THEN 'explicit' ELSE 'skip' END AS class, CAST(ceil(length(text) * 0.6) AS INTEGER) AS tokens,
   substr(trim(regexp_replace(text, '{_SPACES}+', ' ', 'g')), 1, 30) AS title FROM conversations WHERE role = 'user'""",
     "merged_sessions": """
@@ -238,4 +276,34 @@ SELECT event_type, v[least(len(v) - 1, CAST(floor(0.5 * len(v)) AS BIGINT)) + 1]
     "hourly_events": "SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "file_sizes": """SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', floor(n / 1024.0 * 100 + 0.5) / 100) WHEN n < 1073741824 THEN printf('%.2f MB', floor(n / 1048576.0 * 100 + 0.5) / 100) ELSE printf('%.2f GB', floor(n / 1073741824.0 * 100 + 0.5) / 100) END AS size
 FROM (SELECT doc_id, strlen(text) * 1000 AS n FROM documents)""",
+    "capped_summaries": f"""
+WITH c AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^{_SPACES}+|{_SPACES}+$', '', 'g') AS t FROM conversations),
+k AS (SELECT *, ceil(length(t) * 0.6) AS tokens FROM c),
+p AS (SELECT *, substr(t, 1, CAST(floor(length(t) * (30 / greatest(tokens, 1))) AS BIGINT)) AS part FROM k),
+m AS (SELECT *, length(part) - strpos(reverse(translate(part, '。；', chr(10) || chr(10))), chr(10)) AS cut FROM p)
+SELECT conv_id, turn, role, CASE WHEN tokens <= 30 THEN t WHEN cut < length(part) AND cut > length(part) * 0.5 THEN substr(part, 1, cut + 1) ELSE part END AS summary FROM m""",
+    "answer_styles": f"""
+SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '(^|\n){_SPACES}*([-*•]|[0-9]+[.、)）])')) >= 2 AS bullets, length(coalesce(text, '')) <= 250 AS concise, length(coalesce(text, '')) >= 400 AS detailed,
+  NOT (regexp_matches(lower(coalesce(text, '')), '{A.FRENCH_LETTERS}') OR regexp_matches(lower(coalesce(text, '')), '\\b({A.FRENCH_WORDS.replace("'", "''")})\\b')) AS not_french,
+  len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]')) > length(coalesce(text, '')) * 0.5 AS english FROM conversations WHERE role = 'assistant'""",
+    "first_word_mentions": """
+WITH d AS (SELECT doc_id, text, regexp_extract(text, '[a-z]+') AS w FROM documents WHERE regexp_matches(text, '[a-z]')),
+p AS (SELECT *, string_split(text, w) AS pieces FROM d),
+r AS (SELECT *, unnest(range(1, least(7, len(pieces)))) AS rank FROM p),
+a AS (SELECT *, CAST(list_sum(list_transform(pieces[1:rank], lambda x: length(x))) + (rank - 1) * length(w) AS BIGINT) AS place FROM r)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, CAST(place AS INTEGER) AS "at", CAST(greatest(0, place - 80) AS INTEGER) AS start, CAST(least(length(text), place + length(w) + 120) AS INTEGER) AS "end",
+  sha256(substr(text, greatest(0, place - 80) + 1, least(length(text), place + length(w) + 120) - greatest(0, place - 80))) AS text_sha256 FROM a""",
+    "trimmed_chunks": """
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents),
+c AS (SELECT doc_id, text, n, unnest(CASE WHEN n <= 1800 THEN [0] ELSE range(0, least(10, CAST(ceil((n - 1200) / 960.0) AS BIGINT) + 1)) END) AS i FROM d),
+k AS (SELECT *, 960 * i AS s, CASE WHEN n <= 1800 THEN n ELSE least(960 * i + 1200, n) END AS e FROM c WHERE n > 0)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(s AS INTEGER) AS start, CAST(least(e, s + 600) AS INTEGER) AS "end", e - s > 600 AS truncated, sha256(substr(text, s + 1, least(e - s, 600))) AS text_sha256 FROM k""",
+    "fitting_turns": f"{_LOG} SELECT conv_id, seq FROM (SELECT conv_id, seq, sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY seq) AS used FROM m) WHERE used <= 400",
+    "limited_calls": "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > 5 AS blocked FROM events",
+    "similarity_sweep": f"""
+WITH x AS ({_SIMILAR}),
+t AS (SELECT unnest([0.05, 0.15, 0.25, 0.35])::DOUBLE AS threshold),
+y AS (SELECT threshold, jaccard >= threshold AS taken, seq % 2 = 0 AS relevant FROM x, t)
+SELECT threshold, round(avg(CASE WHEN taken THEN 1.0 ELSE 0.0 END) FILTER (WHERE relevant), 6) AS relevant_recall, round(avg(CASE WHEN taken THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT relevant), 6) AS irrelevant_inject,
+  count(*) FILTER (WHERE relevant) AS relevant, count(*) FILTER (WHERE NOT relevant) AS irrelevant FROM y GROUP BY threshold""",
 }

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MEMORY_KEY, collapse, estimate_tokens, is_sensitive, jaccard, token_set
+from ..functions.vectors import cosine
 
-MAX_ITEMS, BUDGET, RELEVANT = 6, 800, 0.25
+MAX_ITEMS, BUDGET, RELEVANT, NEAR = 6, 800, 0.25, 0.5
 CANDIDATE_DAYS, QUESTION_DAYS = 30, 90
 # Kinds with the beginning of their keys, allowed values of enumerated keys.
 FAMILIES = {"preference": "preference.", "fact": "fact.", "interest": "interest.", "reading_goal": "reading_goal.", "open_question": "open_question:"}
@@ -118,17 +119,24 @@ def apply_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "order_id", "value").mapInPandas(fold, STATE)
 
 
-def recall(memories: DataFrame, questions: DataFrame, now: Column, threshold: float = RELEVANT, budget: int = BUDGET) -> DataFrame:
+def recall(memories: DataFrame, questions: DataFrame, now: Column, threshold: float = RELEVANT, budget: int = BUDGET, vectors: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
     """user_id, question_id and items (memory_id, reason, in order) that fit ``budget`` tokens and MAX_ITEMS.
 
     Only active, unexpired items in scope (of the user, or of the question's book) take part.  An item
-    that does not fit is passed over, later ones may still fit.
+    that does not fit is passed over, later ones may still fit.  With ``vectors`` (memory_id, fingerprint, vec) and
+    ``asked`` (user_id, question_id, fingerprint, vec), an item without enough common words also
+    takes part if its vector, of the same fingerprint, has a cosine of NEAR or more with the question's.
     """
     live = memories.filter((F.col("status") == "active") & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
     both = questions.select("user_id", "question_id", F.col("book_id").alias("q_book"), token_set(F.col("question")).alias("q")).join(live, "user_id")
     both = both.filter((F.col("scope") == "user") | ((F.col("scope") == "book") & (F.col("book_id") == F.col("q_book"))))
     reason = F.when(F.col("kind") == "preference", "global_preference").when((F.col("kind") == "reading_goal") & (F.col("scope") == "book"), "current_book")
-    reason = reason.when(jaccard(F.col("q"), token_set(F.col("content"))) >= threshold, "relevant_topic")
+    relevant = jaccard(F.col("q"), token_set(F.col("content"))) >= threshold
+    if vectors is not None and asked is not None:
+        both = both.join(asked.select("user_id", "question_id", F.col("fingerprint").alias("_fp"), F.col("vec").alias("_qv")), ["user_id", "question_id"], "left")
+        both = both.join(vectors.select("memory_id", F.col("fingerprint").alias("_fp"), F.col("vec").alias("_mv")), ["memory_id", "_fp"], "left")
+        relevant = relevant | (F.col("_mv").isNotNull() & (cosine(F.col("_qv"), F.col("_mv")) >= NEAR))
+    reason = reason.when(relevant, "relevant_topic")
     manual = F.when(F.col("source_type").isin("user_edit", "user_confirmation"), 0).otherwise(1)
     order = Window.partitionBy("user_id", "question_id").orderBy("manual", F.when(F.col("scope") == "book", 0).otherwise(1), F.desc_nulls_last("seen"), F.desc("salience"), "memory_id")
     rows = both.withColumn("reason", reason).filter("reason IS NOT NULL").withColumn("manual", manual).withColumn("seen", F.coalesce("last_seen_at", "updated_at")).withColumn("tokens", estimate_tokens(F.col("content")))

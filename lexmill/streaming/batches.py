@@ -95,6 +95,33 @@ def first_by_key(events: DataFrame, keys: list[str], late: str = "10 minutes") -
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
+def guard_late(events: DataFrame, key: str, order: str, days: float = 30) -> DataFrame:
+    """Rows of a stream (all columns) above the highest ``order`` that earlier micro-batches had for their key.
+
+    The rows of one micro-batch are judged by what came before it, so the state of a key is one
+    number; it goes when nothing has come for ``days``.
+    """
+    kinds = events.schema
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        mark = state.get[0] if state.exists else None
+        high = mark
+        for frame in frames:
+            fresh = frame if mark is None else frame[frame[order] > mark]
+            if len(fresh):
+                top = int(fresh[order].max())
+                high = top if high is None else max(high, top)
+                yield fresh
+        if high is not None:
+            state.update((high,))
+            state.setTimeoutDuration(int(days * 86_400_000))
+
+    return events.groupBy(key).applyInPandasWithState(step, kinds, "mark long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def drop_late(events: DataFrame, key: str, order: str, marks: DataFrame) -> DataFrame:
     """Rows above their key's mark (key, mark); keys without a mark keep all."""
     return events.join(marks, key, "left").filter(F.col("mark").isNull() | (F.col(order) > F.col("mark"))).drop("mark")
