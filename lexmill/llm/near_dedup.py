@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sig = materialize(sketches(docs, k, id_col, text_col), "sketches")
     linked = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["k1", "k2", "n_shingles"]
-    classes = linked.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    # Written first: a join with the output of an aggregate could not be split where many copies share a key.
+    classes = materialize(linked.groupBy(*key).agg(F.min("doc_id").alias("rep")), "representatives")
     member = materialize(linked.join(classes, key).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("regs")).alias("regs")), "classes")
     nodes = member.filter("doc_id = rep").select("doc_id", "n_shingles", "regs").dropDuplicates(["doc_id"])
 
