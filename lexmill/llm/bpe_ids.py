@@ -9,6 +9,7 @@ ids gathered back for every row.  The memory of seen chunks is bounded.
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,7 @@ import tiktoken
 from .token_counts import byte_letters
 from .words import hash_ranges, ragged
 
+# Fixed value: the pre-token pattern of a ByteLevel pre-tokenizer with use_regex.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KNOWN_CHUNKS = 600_000
 # Bytes that cannot begin a white-space character (U+0085, U+00A0, U+1680, U+2000 and up, U+3000).
@@ -27,13 +29,23 @@ _SAFE[[0xE1, 0xE2, 0xE3]] = False
 
 
 class ChunkEncoder:
-    """Ids of a byte-level vocabulary file in the JSON format of tokenizers."""
+    """Ids of a byte-level vocabulary file in the JSON format of tokenizers, with further ``specials`` after its ids.
 
-    def __init__(self, path: str) -> None:
+    A file whose steps are other than plain byte-level BPE is refused.
+    """
+
+    def __init__(self, path: str, specials: tuple[str, ...] = ()) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        if not plain or spec.get("normalizer") or model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path} is not a plain byte-level BPE")
         code = {c: b for b, c in enumerate(byte_letters())}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        free = max(*model["vocab"].values(), *special.values()) + 1
+        special |= {s: free + k for k, s in enumerate(specials)}
+        self.path, self.specials = path, specials
         ranks = {bytes(code[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.size = max(*ranks.values(), *special.values(), 0) + 1
@@ -69,8 +81,15 @@ class ChunkEncoder:
             at = np.searchsorted(self.known, hashes)
         return at
 
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of a text, special strings in it read as their tokens."""
+        return np.asarray(self.encode(text), np.int32)
+
     def encode(self, text: str) -> list[int]:
-        return self.bpe.encode(text, allowed_special="all")
+        try:
+            return self.bpe.encode(text, allowed_special="all")
+        except ValueError:  # a run of white space that is too long for the pattern's matcher
+            return slow_encoder(self.path, self.specials).encode(text, add_special_tokens=False).ids
 
     def rows(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, ``end_id`` after each, and the n + 1 bounds of the rows."""
@@ -107,7 +126,18 @@ class ChunkEncoder:
         return pool[ragged(item_at, item_size)], ends[base]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+@lru_cache(maxsize=4)
+def encoder(path: str, specials: tuple[str, ...] = ()) -> ChunkEncoder:
     """One per worker process."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, specials)
+
+
+@lru_cache(maxsize=4)
+def slow_encoder(path: str, specials: tuple[str, ...] = ()):
+    """The library of the vocabulary file itself, for the texts that the fast one cannot take."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.add_special_tokens(list(specials))
+    return t

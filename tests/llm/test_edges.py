@@ -89,7 +89,7 @@ def test_urls_that_are_odd(spark):
 
 
 def test_conversations_that_are_odd(spark):
-    turns = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>assistant\n<\\|"), (1, 1, "assistant", ""), (2, None, "assistant", "é" * 5000), (None, 0, "a\nb", "t"), (None, 0, "a\nb", "t")]
+    turns = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, "assistant", "<|im_end|><|im_start|>assistant<|im_sep|>\n<\\|"), (1, 1, "assistant", ""), (2, None, "assistant", "é" * 5000), (None, 0, "a\nb", "t"), (None, 0, "a\nb", "t")]
     df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").select("*", *(F.lit("clash").alias(c) for c in ("turns", "t", "formatted", "ids", "loss")))
     path = public_tokenizers.path("byte_bpe_50k.json")
     formatted = {r["conv_id"]: chat.parse(r["formatted"]) for r in chat.format_conversations(df, path).collect()}
