@@ -6,7 +6,8 @@ ablations are bitwise aggregates of it: no rule is evaluated again.
 
 Nulls count as the empty text: no words, and the rule on length fails.  Repeated rows are
 judged each on its own.  The measurements are taken in the row: no shuffle, so no
-hot key, and a very long text costs its own row only.
+hot key, and a very long text costs its own row only.  Rows are filtered through a written ledger, so that
+the optimizer cannot take the measurements again for each rule of a filter.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 SYMBOLS = "#*$%&|<>"
+DIGITS, BULLETS, ELLIPSES = "0123456789", ("-", "*", "•"), ("...", "…")
 SPACES = " \t\n\x0b\x0c\r"
 # Rules in bit order: name, and whether a document fails it, from its measurements.
 RULES = {
@@ -24,10 +28,15 @@ RULES = {
     "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
+    "many_digits": "100 * n_digits > 30 * word_chars",
+    "bullet_lines": "100 * n_bullet_lines > 90 * n_lines",
+    "ellipsis_lines": "100 * n_ellipsis_lines > 30 * n_lines",
+    "few_distinct_words": "100 * n_distinct_words < 20 * n_words",
 }
 POLICIES = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "many_symbols", "duplicate_lines", "short_words", "long_words"),
+    "v2": tuple(RULES),
 }
 
 
@@ -57,26 +66,38 @@ def _repeated(w: Column, n: Column) -> Column:
 
 
 def measurements(text: Column) -> Column:
-    """n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of a text, as a struct."""
+    """The measurements (MEASURED) of a text, as a struct."""
 
     def measured(t: Column) -> Column:
         words = F.array_remove(F.split(t, "[ \\t\\n\\x0B\\f\\r]+"), "")
         lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-        by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-        by_word = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w, F.size(w)).alias("repeat")))
+        begins = lambda x: _any(F.startswith(F.ltrim(x, F.lit(SPACES)), F.lit(b)) for b in BULLETS)
+        ends = lambda x: _any(F.endswith(F.rtrim(x, F.lit(SPACES)), F.lit(e)) for e in ELLIPSES)
+        count = lambda array: F.size(array).cast("long")
+        by_line = let(lines, lambda x: F.struct(count(x).alias("n"), (count(x) - count(F.array_distinct(x))).alias("dup"), count(F.filter(x, begins)).alias("bullet"), count(F.filter(x, ends)).alias("ellipsis")))
+        by_word = let(words, lambda w: F.struct(count(w).alias("n"), _repeated(w, F.size(w)).alias("repeat"), count(F.array_distinct(w)).alias("distinct")))
         chars = F.length(t)
         return F.struct(
             by_word.alias("w"),
             by_line.alias("l"),
             F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
             (chars - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (chars - F.length(F.translate(t, DIGITS, ""))).cast("long").alias("n_digits"),
         )
 
-    flat = lambda m: F.struct(m["w"]["n"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["l"]["n"].alias("n_lines"), m["l"]["dup"].alias("n_dup_lines"), m["w"]["repeat"].alias("n_repeat_words"))
+    at = (("w", "n"), ("word_chars",), ("n_symbols",), ("l", "n"), ("l", "dup"), ("w", "repeat"), ("n_digits",), ("l", "bullet"), ("l", "ellipsis"), ("w", "distinct"))
+    flat = lambda m: F.struct(*((m[a[0]] if len(a) == 1 else m[a[0]][a[1]]).alias(name) for name, a in zip(MEASURED, at, strict=True)))
     return let(let(F.coalesce(text, F.lit("")), measured), flat)
 
 
-MEASURED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_digits", "n_bullet_lines", "n_ellipsis_lines", "n_distinct_words")
 
 
 def failure_bits() -> Column:
@@ -100,26 +121,28 @@ def passes(policy: str, failures: Column | None = None) -> Column:
     return failures.bitwiseAND(F.lit(mask(policy))) == 0
 
 
+def stored_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The ledger of ``docs`` written beside its rows: ``row`` (all columns), the measurements and ``failures``.
+
+    Parquet keeps them apart, so what only asks for failure bits reads no text.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    judged = docs.select(row, measurements(F.col(text_col)).alias("_m")).select("row", *(F.col("_m")[k].alias(k) for k in MEASURED))
+    return materialize(judged.withColumn("failures", failure_bits()), "ledger")
+
+
 def accepted(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, that pass a policy."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    judged = docs.select(row, measurements(F.col(text_col)).alias("_m")).select("_row", *(F.col("_m")[k].alias(k) for k in MEASURED))
-    return judged.withColumn("_failures", failure_bits()).filter(passes(policy, F.col("_failures"))).select("_row.*")
+    """The rows of ``docs``, all their columns, that pass a policy by their stored ledger.  An empty table gives none."""
+    return stored_ledger(docs, text_col).filter(passes(policy)).select("row.*")
 
 
-def ablations(book: DataFrame, policy: str = "v1") -> DataFrame:
-    """For each rule: failed (documents that fail it) and alone (rejected by no other rule of the policy).
+def ablations(book: DataFrame, policies: tuple[str, ...] = ("v1",)) -> DataFrame:
+    """For each policy and rule: failed (documents that fail the rule) and alone (rejected by no other rule of the policy; 0 for rules that are not in it).
 
     The ledger is counted by its bits first: at most 2 ** rules rows, whatever its size.
     """
     counts = book.groupBy("failures").agg(F.count("*").alias("n"))
-    m = mask(policy)
-    rules = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(1 << k).alias("bit")) for k, name in enumerate(RULES))))
-    return (
-        counts.select("failures", "n", rules.alias("r"))
-        .groupBy(F.col("r.rule").alias("rule"), F.col("r.bit").alias("bit"))
-        .agg(
-            F.sum(F.when(F.expr("failures & r.bit <> 0"), F.col("n")).otherwise(0)).alias("failed"),
-            F.sum(F.when(F.expr(f"failures & {m} = r.bit"), F.col("n")).otherwise(0)).alias("alone"),
-        )
-    )
+    asked = F.array(*(F.struct(F.lit(p).alias("policy"), F.lit(mask(p)).alias("mask"), F.lit(name).alias("rule"), F.lit(1 << k).alias("bit")) for p in policies for k, name in enumerate(RULES)))
+    rows = counts.select("failures", "n", F.explode(asked).alias("r")).select("failures", "n", "r.*")
+    sum_if = lambda condition: F.sum(F.when(F.expr(condition), F.col("n")).otherwise(0))
+    return rows.groupBy("policy", "rule", "bit").agg(sum_if("failures & bit <> 0").alias("failed"), sum_if("failures & mask = bit AND mask & bit <> 0").alias("alone"))

@@ -52,7 +52,11 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(_read(spark, sf_dir, "documents"))
     base = ~quality.passes("base")
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.passes("v1").alias("kept"), F.col("failures").cast("long").alias("failures"))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.passes("v1").alias("kept"), F.col("failures").cast("long").alias("failures"), *(c for c in quality.MEASURED if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablations(quality.ledger(_read(spark, sf_dir, "documents")), ("base", "v1", "v2"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +71,9 @@ QUERIES = {
     f.__name__: f
     for f in (op1_media_columns, op2_url_filter, op3_source_mixing, op4_language_id, op5_chat_format, op6_near_duplicates, op7_repeated_passages, op8_quality_rules, op9_packing, op10_token_counts)
 }
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES |= {"quality_ablations": quality_ablations, "pipeline": corpus_pipeline.run}
 
-ORACLES = {
-    "op8_quality_rules": rf"""
+_LEDGER = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS w FROM d),
 tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
@@ -78,18 +81,34 @@ tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
 rep AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
 ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM d),
+sp AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS sp),
 m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words,
         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(len(l) AS BIGINT) AS n_lines,
         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
-        CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
-      FROM w JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
+        CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+        CAST(length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS BIGINT) AS n_digits,
+        CAST(len(list_filter(l, lambda x: ltrim(x, sp)[1] IN ('-', '*', '•'))) AS BIGINT) AS n_bullet_lines,
+        CAST(len(list_filter(l, lambda x: ends_with(rtrim(x, sp), '...') OR ends_with(rtrim(x, sp), '…'))) AS BIGINT) AS n_ellipsis_lines,
+        CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct_words
+      FROM w JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id), sp),
 b AS (SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
         + (CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END)
-        + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS failures FROM m)
+        + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END)
+        + (CASE WHEN 100 * n_digits > 30 * word_chars THEN 64 ELSE 0 END) + (CASE WHEN 100 * n_bullet_lines > 90 * n_lines THEN 128 ELSE 0 END)
+        + (CASE WHEN 100 * n_ellipsis_lines > 30 * n_lines THEN 256 ELSE 0 END) + (CASE WHEN 100 * n_distinct_words < 20 * n_words THEN 512 ELSE 0 END) AS BIGINT) AS failures FROM m)"""
+
+ORACLES = {
+    "op8_quality_rules": f"""{_LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, failures = 0 AS kept, failures FROM b
+  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, failures & 63 = 0 AS kept, failures, n_lines, n_digits, n_bullet_lines, n_ellipsis_lines, n_distinct_words FROM b
+""",
+    "quality_ablations": f"""{_LEDGER},
+p AS (SELECT unnest(['base', 'v1', 'v2']) AS policy, unnest([3, 63, 1023]) AS mask),
+r AS (SELECT unnest(['few_words', 'repeated_words', 'many_symbols', 'duplicate_lines', 'short_words', 'long_words', 'many_digits', 'bullet_lines', 'ellipsis_lines', 'few_distinct_words']) AS rule,
+        unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) AS bit)
+SELECT policy, rule, CAST(bit AS INTEGER) AS bit, count(*) FILTER (failures & bit <> 0) AS failed, count(*) FILTER (failures & mask = bit AND mask & bit <> 0) AS alone FROM b, p, r GROUP BY policy, rule, bit
 """,
     "op3_source_mixing": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
