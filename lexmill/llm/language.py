@@ -23,6 +23,7 @@ from .words import slices, utf8
 WINDOW = 128
 SAMPLE = 4000  # labelled documents that training reads, at most
 EXCERPTS = 3  # windows of each
+BIN_BITS = 12
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
@@ -32,20 +33,25 @@ _ASCII[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 def labelled_sample(docs: DataFrame, limit: int = SAMPLE, excerpts: int = EXCERPTS, window: int = WINDOW) -> list[tuple[str, list[str]]]:
-    """At most ``limit`` (lang, excerpts) of labelled documents outside the held-out third, spread by hash.
+    """At most ``limit`` (lang, excerpts) of labelled documents outside the held-out third: those with the smallest hashes of id and text.
 
-    A hash rate brings the rows near the limit before they are ordered; a row holds
-    ``excerpts`` stretches of ``window`` characters at hashed places, so what comes to the driver is bounded.
+    The hashes are counted in BINS ranges first, and only the ranges that hold the first ``limit`` documents are
+    read on, so the sample is never short while there are labels.  Rows that repeat id, text and language
+    count once.  A document holds ``excerpts`` stretches of ``window`` characters at hashed places, so what comes to
+    the driver is bounded.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    total = rows.agg(F.count("*").alias("n")).first()["n"]
-    order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    if total > 2 * limit:
-        rows = rows.filter(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * limit / total)))
-    n = F.length("text")
-    at = F.transform(F.sequence(F.lit(1), F.lit(excerpts)), lambda k: F.substring("text", (F.pmod(F.xxhash64(F.col("doc_id"), k), F.greatest(F.lit(1), n - window // 2).cast("long")) + 1).cast("int"), F.lit(window)))
-    picked = rows.select("lang", at.alias("excerpts"), order.alias("_o"), F.col("doc_id").alias("_id")).orderBy("_o", "_id").limit(limit)
-    return [(r["lang"], r["excerpts"]) for r in picked.select("lang", "excerpts").collect()]
+    order = F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text"))
+    rows = rows.select("lang", "text", order.alias("_o"), F.shiftright(order, 64 - BIN_BITS).alias("_bin"))
+    counts = rows.groupBy("_bin").agg(F.approx_count_distinct("_o", 0.1).alias("n"))  # of repeated rows one counts
+    last, total = 0, 0
+    for last, n in sorted((r["_bin"], r["n"]) for r in counts.collect()):  # 2 ** BIN_BITS rows at most
+        total += n
+        if total >= 1.5 * limit:
+            break
+    at = F.transform(F.sequence(F.lit(1), F.lit(excerpts)), lambda k: F.substring("text", (F.pmod(F.xxhash64(F.col("_o"), k), F.greatest(F.lit(1), F.length("text") - window // 2).cast("long")) + 1).cast("int"), F.lit(window)))
+    picked = rows.filter(F.col("_bin") <= last).select("_o", "lang", at.alias("excerpts")).groupBy("_o", "lang").agg(F.min("excerpts").alias("excerpts"))
+    return [(r["lang"], r["excerpts"]) for r in picked.orderBy("_o", "lang").limit(limit).collect()]
 
 
 def held_out() -> Column:
@@ -184,14 +190,15 @@ def has_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return has
 
 
-def identify(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame, limit: int = SAMPLE, excerpts: int = EXCERPTS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang).
 
-    The network learns from at most ``limit`` labelled rows outside the held-out third.  A null
-    text, or one without letters, is ``und`` with score 0, and so is every text when nothing is
-    labelled.  Repeated rows are judged alike; other columns are not carried.
+    The network learns from ``excerpts`` stretches of each of at most ``limit`` labelled documents outside the
+    held-out third; null and repeated ids are sampled like others.  A null text, or one without letters, is ``und``
+    with score 0, and so is every text when nothing is labelled outside the held-out third.  Repeated rows are
+    judged alike; other columns are not carried.
     """
-    net = train(labelled_sample(docs, limit))
+    net = train(labelled_sample(docs, limit, excerpts))
     model = docs.sparkSession.sparkContext.broadcast(net)  # 256 * EMBED and WIDTHS * FILTERS numbers, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
