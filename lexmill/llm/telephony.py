@@ -4,6 +4,10 @@ The logarithmic codecs expand through 256-entry tables built from their rules.
 are decoded side by side: step k of the recurrence is one set of numpy operations over
 all blocks of a slice of rows.  PCM is resampled from 8 to 16 kHz by a half-band filter in
 integers, so results are the same everywhere.
+
+Containers and PCM are both written to the shared folder and read back.  PCM has four to eight
+times the bytes of its codes, so where only its digests are wanted it is written, read and removed in PARTS
+parts of the stored files.
 """
 
 from __future__ import annotations
@@ -18,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import discard, mark, materialize, new_path
 from .words import slices, utf8
 
 RATE = 8000
+PARTS = 8  # in which stored PCM is worked through where it is not the result
 UNIT = 192  # payload bytes come in multiples of this; also the nibble bytes of an ADPCM block
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 0x11}
 NAMES = {tag: name for name, tag in TAGS.items()}
@@ -185,52 +190,86 @@ def _media_slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> I
 
 
 def resample(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """All columns of ``media``, and pcm (16-bit little-endian) and pcm_rate of every container; null for null media."""
+    """All columns of ``media`` but the container, and pcm (16-bit little-endian), pcm_rate and codec of it; null for null media."""
+    names = [f.name for f in media.schema if f.name != media_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in _media_slices(batch, batch.schema.get_field_index(media_col)):
+            at = batch.schema.get_field_index(media_col)
+            for i, j in _media_slices(batch, at):
                 part = batch.slice(i, j - i)
-                items = part.column(batch.schema.get_field_index(media_col)).to_pylist()
+                items = part.column(at).to_pylist()
                 pcm = iter(decode_media([m for m in items if m is not None]))
                 stored = [None if m is None else double_rate(next(pcm)).astype("<i2").tobytes() for m in items]
-                rate = [None if m is None else 2 * read_wav(m)[1] for m in items]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(stored, pa.binary()), pa.array(rate, pa.int32())], [*part.schema.names, "pcm", "pcm_rate"])
+                heads = [(None, None) if m is None else read_wav(m)[:2] for m in items]
+                own = [pa.array(stored, pa.binary()), pa.array([None if r is None else 2 * r for _, r in heads], pa.int32()), pa.array([NAMES.get(t) for t, _ in heads], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *own], [*names, "pcm", "pcm_rate", "codec"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return media.mapInArrow(run, f"{fields}, pcm binary, pcm_rate int")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in media.schema if f.name != media_col)
+    return media.mapInArrow(run, f"{fields}pcm binary, pcm_rate int, codec string")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media binary"
+DIGEST = MEDIA.removesuffix("media binary") + "feature string"
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
-    """What a stored table (doc_id, n_bytes, media, pcm, pcm_rate) holds: digests of payload and media, and a feature of the PCM.
+    """Digests of the payload and of the container of a stored table (doc_id, n_bytes, media), and the container."""
 
-    feature: codec, rate, samples, mean absolute value, zero crossings and checksum of the PCM.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in _media_slices(batch, 2, 8 << 20):
+                part, rows = batch.slice(i, j - i), []
+                for media in part.column(2).to_pylist():
+                    payload = payload_of(media)
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                own = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, part.column(2)], [f.split()[0] for f in MEDIA.split(", ")])
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, MEDIA)
+
+
+def pcm_features(stored: DataFrame) -> DataFrame:
+    """A stored table (pcm, pcm_rate, codec and others) with feature in their place: codec, rate, samples, mean absolute value, zero crossings and checksum of the PCM."""
+    names = [c for c in stored.columns if c not in ("pcm", "pcm_rate", "codec")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, n, media, raw, rate in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                payload, pcm = payload_of(media), np.frombuffer(raw, "<i2")
+            features = []
+            for raw, rate, codec in zip(*(batch.column(c) for c in ("pcm", "pcm_rate", "codec")), strict=True):
+                if not raw.is_valid:
+                    features.append(None)
+                    continue
+                pcm = np.frombuffer(raw.as_buffer(), "<i2")
                 loud = int(np.abs(pcm.astype(np.int32)).sum(dtype=np.int64)) // max(1, len(pcm))
                 crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-                feature = f"{NAMES[read_wav(media)[0]]}:{rate}:{len(pcm)}:{loud}:{crossings}:{zlib.crc32(raw):08x}"
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in DIGEST.split(", ")])
+                features.append(f"{codec}:{rate}:{len(pcm)}:{loud}:{crossings}:{zlib.crc32(raw.as_buffer()):08x}")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(features, pa.string())], [*names, "feature"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in stored.schema if f.name in names)
+    return stored.mapInArrow(run, f"{fields}feature string")
+
 
-    return stored.select("doc_id", "n_bytes", "media", "pcm", "pcm_rate").mapInArrow(run, DIGEST)
+def store_pcm(media: DataFrame) -> DataFrame:
+    """The resampled PCM of stored containers, written to the shared folder and read back."""
+    return materialize(resample(media), "pcm", codec="zstd")
 
 
-def audio_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as audio, read the stored bytes back, decode, resample and digest them.
+def audio_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> DataFrame:
+    """Store every text as audio, read the stored bytes back, decode, resample and store the PCM, read it back and digest both.
 
     One row per input row: null and empty texts are one unit of spaces, equal texts have equal
     values, a null id stays null, other columns are not carried; an empty table gives none.
     """
+    spark, begun = docs.sparkSession, mark()
     media = materialize(store_texts(docs, id_col, text_col), "media", codec="zstd")
-    return media_digests(resample(media))
+    out, files = new_path(spark, "audio-digests"), sorted(media.inputFiles())
+    media_digests(media.limit(0)).withColumn("feature", F.lit("")).drop("media").write.parquet(out)
+    for k in range(min(parts, len(files))):
+        since = mark()
+        part = spark.read.schema(media.schema).parquet(*files[k::parts])
+        pcm_features(store_pcm(media_digests(part))).write.mode("append").parquet(out)
+        discard(spark, since)
+    discard(spark, begun, keep=("audio-digests",))
+    return spark.read.schema(DIGEST).parquet(out)

@@ -73,6 +73,29 @@ def test_audio_is_read_back_whole(docs):
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
 
 
+def test_stored_pcm_is_what_a_scalar_decoder_and_filter_make(spark, docs):
+    media = telephony.store_texts(docs)
+    stored = {r["doc_id"]: r for r in telephony.store_pcm(media).collect()}
+    features = {r["doc_id"]: r["feature"] for r in telephony.audio_documents(docs, parts=2).collect()}
+    for r in media.collect():
+        tag, rate, _, data = telephony.read_wav(bytes(r["media"]))
+        if tag == telephony.TAGS["adpcm"]:
+            raw = np.frombuffer(data, np.uint8).reshape(-1, telephony.UNIT + 4)[:3]
+            plain = telephony.adpcm_blocks(raw[:, 4:], np.zeros(len(raw), np.int16), np.zeros(len(raw), np.uint8)).reshape(-1).tolist()
+        else:
+            plain = [int(telephony.EXPAND[tag][b]) for b in bytes(data)[:600]]
+        whole = np.frombuffer(bytes(stored[r["doc_id"]]["pcm"]), "<i2")
+        at = lambda k, x=plain: x[k] if 0 <= k < len(x) else 0
+        for k in range(min(len(plain) - 8, 300)):
+            between = sum((at(k - j) + at(k + 1 + j)) * (c >> 1) for j, c in enumerate(telephony.HALF_BAND))
+            assert whole[2 * k] == plain[k] and whole[2 * k + 1] == max(-32768, min(32767, (between + (1 << 13)) >> 14))
+        codec = telephony.NAMES[tag]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(whole[1:].tolist(), whole[:-1].tolist(), strict=True))
+        loud = sum(map(abs, whole.tolist())) // len(whole)
+        assert (stored[r["doc_id"]]["codec"], stored[r["doc_id"]]["pcm_rate"]) == (codec, 2 * rate)
+        assert features[r["doc_id"]] == f"{codec}:{2 * rate}:{len(whole)}:{loud}:{crossings}:{zlib.crc32(whole.tobytes()):08x}"
+
+
 def test_logarithmic_tables_have_known_values():
     mu, a = telephony.mulaw_table().astype(int), telephony.alaw_table().astype(int)
     assert (mu[0xFF], mu[0x00], mu[0x80], mu[0xF0]) == (0, -32124, 32124, 120)
