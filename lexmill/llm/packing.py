@@ -3,8 +3,9 @@
 1. Each text is encoded; its ids' hashed signs, averaged, project the document to a few
    dimensions, and the direction gives its key on a Hilbert curve.  The encoded table is written
    to the shared folder, so that neither sampling nor a lost executor encodes twice.
-2. The table is range-partitioned and sorted by (key, hash of the id, id).  The hash spreads the
-   copies of one text, which share a key, over range partitions.
+2. The table is range-partitioned and sorted by (key, hash of the id, id, place in the table).  The
+   hash spreads the copies of one text, which share a key, over range partitions, and the place
+   those that have no id or the same one.  The number of ranges follows the bytes of the table.
 3. Every partition is cut along the curve into full sequences.  Its tail is cut into sequences
    whose lengths are powers of two, which need no padding; so no sequence is padded at all.
 """
@@ -26,6 +27,7 @@ from .bpe_ids import encoder
 from .words import mix, slices, utf8
 
 DIMS, BITS, SEQUENCE = 4, 8, 1024
+RANGE_BYTES = 64 << 20  # of compressed ids in a range
 _U = np.uint64
 
 
@@ -157,6 +159,8 @@ def pack_documents(docs: DataFrame, vocab_path: str, size: int = SEQUENCE, end_i
                     held = 0
         yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in stream.cut(True).items()})
 
-    table = materialize(encode_documents(docs, vocab_path, end_id, id_col, text_col), "packing")
-    order = [F.col("curve_key"), F.xxhash64("doc_id"), F.col("doc_id"), F.col("n_tokens")]
-    return table.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(cut, PIECES)
+    table = materialize(encode_documents(docs, vocab_path, end_id, id_col, text_col).withColumn("size", F.octet_length("ids")).withColumn("row", F.monotonically_increasing_id()), "packing")
+    held = table.agg(F.sum("size").alias("n")).first()["n"] or 0
+    ranges = max(-(-held // RANGE_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, -(-held // (1 << 20))), 1)
+    order = [F.col("curve_key"), F.xxhash64("doc_id"), F.col("doc_id"), F.col("row")]
+    return table.repartitionByRange(int(ranges), *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(cut, PIECES)
