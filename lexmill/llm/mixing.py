@@ -5,11 +5,13 @@
    prefix sums over the sources, ordered by cap / weight.
 2. Complete epochs come first: every document of a source counts floor(target / size) times.
 3. What is left of the target is filled with documents in the order of their exponential keys,
-   -ln(u) / quality weight, u a hash of the id.  The document at which the budget ends gives only
-   the words that are left.
+   -ln(u) / quality weight, u a hash of id, text and, for rows that repeat both and the source, the number of the copy.
+   The document at which the budget ends gives only the words that are left.
 
-A source is never sorted in one piece: 1 - exp(-key) cuts its key range into ``BINS`` bins
-whose share is bounded by the weights, and the words before a bin are prefix sums of bin totals.
+A source is never sorted in one piece: 1 - exp(-key) cuts its key range into bins whose share is bounded
+by the weights, and the words before a bin are prefix sums of bin totals.  The number of bins grows with the
+rows.  Copies of a row are numbered in the partitions of the written table first and then across them, so
+a row that is repeated very often is held by no task either.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from ..plans.scratch import materialize
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-BINS = 1024
+BINS, BIN_ROWS = 1024, 20_000  # bins of a source at least, and rows of the whole table for each
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Characters that count against a text in its quality weight.
 NOISE = "0123456789#*$%&|<>{}[]\\/_=+~^@"
@@ -33,12 +35,31 @@ def quality_weight(text: Column) -> Column:
     return F.when(n > 0, 0.5 + 1.5 * F.length(F.translate(text, NOISE, "")) / n).otherwise(F.lit(0.5))
 
 
-def exponential_key(doc_id: Column, weight: Column) -> Column:
-    """-ln(u) / weight, u in (0, 1) from 52 bits of the id's MD5; a null id counts as ''."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double")
+def exponential_key(seed: Column, copy: Column, weight: Column) -> Column:
+    """-ln(u) / weight, u in (0, 1) from 52 bits of the MD5 of a row's seed and the number of its copy."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", seed, copy.cast("string")).cast("binary")), 1, 13), 16, 10).cast("double")
     return -F.log((bits + 0.5) / 2.0**52) / weight
 
 
+def row_seed(doc_id: Column, text: Column) -> Column:
+    """The MD5 of id and text, nulls as ''."""
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (unit_id, unit_hash, row, part) with copy, from 1 within each unit."""
+    unit = ["unit_id", "unit_hash"]
+    repeated = materialize(rows.groupBy(*unit).agg(F.count("*").alias("n")).filter("n > 1").select(*unit), "repeated-rows")
+    if not repeated.limit(1).count():
+        return rows.withColumn("copy", F.lit(1).cast("long"))
+    copies = materialize(rows.select(*unit, "row", "part").join(repeated, unit), "copies")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*unit).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = materialize(copies.groupBy(*unit, "part").agg(F.count("*").alias("n")).withColumn("before", before).drop("n"), "copy-parts")
+    within = F.row_number().over(Window.partitionBy(*unit, "part").orderBy("row"))
+    number = copies.withColumn("k", within).join(parts, [*unit, "part"]).select("row", (F.col("before") + F.col("k")).alias("copy"))
+    return rows.join(number, "row", "left").withColumn("copy", F.coalesce("copy", F.lit(1).cast("long")))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """source, source_size and target of a table with one row (source, source_size) for each source."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -77,10 +98,12 @@ def _unit(id_col: str, text_col: str, source_col: str) -> list[Column]:
 def _placed(docs: DataFrame, weights: tuple[int, ...], repeats: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Every row's keys, size, and what the mix takes of it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = exponential_key(F.col(id_col), quality_weight(text))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *_unit(id_col, text_col, source_col))
-    rows = materialize(rows.withColumn("bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("key"))) * BINS)).cast("int")), "mixing")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), quality_weight(text).alias("weight"), row_seed(F.col(id_col), F.col(text_col)).alias("seed"), *_unit(id_col, text_col, source_col))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "mixing")
+    bins_each = max(BINS, -(-rows.count() // BIN_ROWS))
+    rows = numbered(rows).withColumn("key", exponential_key(F.col("seed"), F.col("copy"), F.col("weight")))
+    rows = rows.withColumn("bin", F.least(F.lit(bins_each - 1), F.floor((1 - F.exp(-F.col("key"))) * bins_each)).cast("int"))
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     targets = source_targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, repeats)
     prior = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

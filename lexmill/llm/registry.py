@@ -111,9 +111,9 @@ r AS (SELECT unnest(['few_words', 'repeated_words', 'many_symbols', 'duplicate_l
 SELECT policy, rule, CAST(bit AS INTEGER) AS bit, count(*) FILTER (failures & bit <> 0) AS failed, count(*) FILTER (failures & mask = bit AND mask & bit <> 0) AS alone FROM b, p, r GROUP BY policy, rule, bit
 """,
     "op3_source_mixing": rf"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER (PARTITION BY doc_id, source, text) AS copy FROM documents),
 r AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '{WORD}')) AS BIGINT) AS size,
-        -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)
+        -ln((CAST(('0x' || substr(md5(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || t) || ':' || copy), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)
         / (CASE WHEN length(t) > 0 THEN 0.5 + 1.5 * length(translate(t, '0123456789#*$%&|<>{{}}[]\/_=+~^@', '')) / length(t) ELSE 0.5 END) AS k FROM d),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM r GROUP BY source),
 w AS (SELECT source, n, [5.0, 2.0, 1.0][(i - 1) % 3 + 1]::DOUBLE AS w, 3 * n AS cap FROM s),

@@ -243,6 +243,24 @@ def test_mix_comes_to_its_targets(spark, docs):
     assert mixing.mix_table(docs.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_rows_equals_sql(spark, docs, tmp_path):
+    import duckdb
+
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    own = docs.select("doc_id", "text", "source")
+    hot = real.filter("doc_id < 4").crossJoin(spark.range(400).select(F.lit(1).alias("_"))).drop("_")
+    df = real.unionByName(own).unionByName(own).unionByName(hot).unionByName(hot.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(hot.withColumn("source", F.lit(None).cast("string")))
+    df.repartition(7).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    plain = con.execute(registry.ORACLES["op3_source_mixing"]).fetchall()
+    got = [tuple(r) for r in mixing.mix_table(spark.read.parquet(str(tmp_path / "documents"))).select("doc_id", "size", "source_size", "target", "taken").collect()]
+    key = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted(got, key=key) == sorted(plain, key=key)
+    other = mixing.mix_table(spark.read.parquet(str(tmp_path / "documents")).repartition(3)).select("doc_id", "size", "source_size", "target", "taken")
+    assert sorted((tuple(r) for r in other.collect()), key=key) == sorted(got, key=key)
+
+
 def test_ledger_policies_and_ablations(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     book = quality.ledger(docs).toPandas()
