@@ -25,16 +25,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.scratch import materialize, scratch_dir
+from ..plans.scratch import discard, mark, materialize, new_path
 from .words import Words, mix, ragged, slices, utf8
 
 LENGTH, GRAM = 50, 26
 WINDOW = LENGTH - GRAM + 1
 FLANK = LENGTH - GRAM
+BUCKET_BYTES = 128 << 20
 _U = np.uint64
 _STEP = _U(0xD6E8FEB86659FD93)
 KEY = ["doc", "sig"]
@@ -217,15 +218,16 @@ def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _passage_rows(part: pa.RecordBatch, w: Words) -> pa.RecordBatch:
-    """A hash for each passage that starts in the ranges of its row."""
+    """Two hashes, 128 bits together, for each passage that starts in the ranges of its row."""
     bounds, ranges = _lists(part.column(2))
     lo, hi = (ranges.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "hi"))
     owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
     hi = np.minimum(hi, np.diff(w.first)[owner] - LENGTH + 1)
     size = np.maximum(hi - lo, 0)
     at, row = ragged(lo, size), np.repeat(owner, size)
-    h = run_hashes(w.hashes(), LENGTH)[at + w.first[row]]
-    return pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in (0, 1)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["doc", "sig", "lo", "passage"])
+    words = w.hashes()
+    h = [run_hashes(x, LENGTH)[at + w.first[row]] for x in (words, mix(words ^ _U(0x9FB21C651E98DF25)))]
+    return pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in (0, 1)), pa.array(at.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in h)], ["doc", "sig", "lo", "passage", "also"])
 
 
 def _kept_rows(part: pa.RecordBatch, w: Words) -> pa.RecordBatch:
@@ -250,13 +252,21 @@ def _kept_rows(part: pa.RecordBatch, w: Words) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(n - np.diff(first)), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept"])
 
 
-def _bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` as a table bucketed by ``keys``, one file a bucket: joins on them leave it where it is."""
+def _bucketed(df: DataFrame, keys: list[str], size: Column) -> DataFrame:
+    """``df`` as a table bucketed by ``keys``, one file a bucket: joins on them leave it where it is.
+
+    ``size`` says how many bytes a row has; the buckets hold BUCKET_BYTES each, or fill the shuffle partitions.  The
+    table's name leaves the catalog at once: its plan has what it needs.
+    """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = df.agg(F.sum(size).alias("n")).first()["n"] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // BUCKET_BYTES))
+    path = new_path(spark, "texts")
     name = f"lexmill_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).write.format("parquet").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/{name}").bucketBy(n, *keys).saveAsTable(name)
-    return spark.table(name)
+    df.repartition(n, *keys).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, *keys).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    return table
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,8 +279,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     sig = F.hash(F.coalesce(F.col(text_col), F.lit("")))
     whole = docs.select(F.col(id_col).cast("long").alias("doc"), sig.alias("sig"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    texts = _bucketed(whole, KEY)
+    spark, since = docs.sparkSession, mark()
     said = F.col("row").getField(text_col).alias("text")
+    texts = _bucketed(whole, KEY, F.octet_length(said))
     text = texts.select(*KEY, said)
 
     anchors = text.filter("doc IS NOT NULL").mapInArrow(_by_slice(_anchor_rows, 2), "doc long, sig int, ordinal int, at int, gram long, before byte, starts byte, again boolean")
@@ -282,6 +293,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     leaders = materialize(leaders, "leaders")
     seeds = anchors.join(leaders, "gram").groupBy(*KEY).agg(F.collect_set(F.struct("ordinal", "at", "before", "starts", "f", "f_sig", "f_at", "f_again")).alias("seeds"))
     seeds = materialize(seeds, "seeds")
+    discard(spark, since, keep=("texts", "seeds"))
 
     chains = materialize(seeds.mapInArrow(_chain_rows, CHAINS), "chains")
     ask = lambda doc, sig, at, side: F.struct(F.col(doc).alias("doc"), F.col(sig).alias("sig"), (2 * F.col(at) + side).alias("want"))
@@ -299,16 +311,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grown = by.groupBy(*KEY, "start", "stop").agg(F.sum(F.when(F.col("side") == 0, F.col("by")).otherwise(0)).alias("left"), F.sum(F.when(F.col("side") == 1, F.col("by")).otherwise(0)).alias("right"))
     matches = grown.select(*KEY, (F.col("start") - F.col("left")).cast("int").alias("lo"), (F.col("stop") + F.col("right")).cast("int").alias("hi"))
     matches = materialize(matches.filter(F.col("hi") - F.col("lo") >= LENGTH), "matches")
+    discard(spark, since, keep=("texts", "seeds", "matches"))
 
     ranges = "array<struct<lo: int, hi: int>>"
     by_doc = matches.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("matches"))
     none = F.array().cast(ranges)
     undecided = seeds.join(by_doc, KEY, "left").select(*KEY, "seeds", F.coalesce("matches", none).alias("matches")).mapInArrow(_open_rows, "doc long, sig int, lo int, hi int")
     undecided = undecided.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    passages = text.join(undecided, KEY).select(*KEY, "ranges", "text").mapInArrow(_by_slice(_passage_rows, 3), "doc long, sig int, lo int, passage long")
+    passages = text.join(undecided, KEY).select(*KEY, "ranges", "text").mapInArrow(_by_slice(_passage_rows, 3), "doc long, sig int, lo int, passage long, also long")
     passages = materialize(passages, "passages")
-    least = passages.groupBy("passage").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("passage", "least")
-    late = passages.join(materialize(least, "shared-passages"), "passage").filter("doc > least").select(*KEY, "lo", (F.col("lo") + LENGTH).alias("hi"))
+    least = passages.groupBy("passage", "also").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("passage", "also", "least")
+    discard(spark, since, keep=("texts", "matches", "passages"))
+    late = passages.join(materialize(least, "shared-passages"), ["passage", "also"]).filter("doc > least").select(*KEY, "lo", (F.col("lo") + LENGTH).alias("hi"))
 
     cuts = matches.unionByName(late).groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).cast(ranges).alias("cuts"))
     kinds = T.StructType([texts.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])

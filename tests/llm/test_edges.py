@@ -98,3 +98,8 @@ def test_conversations_that_are_odd(spark):
     got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.digests(chat.format_conversations(df, path)).collect()}
     assert got == {1: (4, len(turns[2][3])), 2: (1, 5000), None: (2, 0)}
     assert chat.digests(chat.format_conversations(df.limit(0), path)).count() == 0
+
+
+def test_passages_leave_no_table_in_the_catalog(spark, odd):
+    assert repeats.remove_repeats(odd).count() == len(ROWS)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lexmill_")]
