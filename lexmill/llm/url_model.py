@@ -92,10 +92,10 @@ def calibrate(scored: DataFrame, step: float = BIN, bins: int = BINS) -> float:
     hist = scored.groupBy(at.alias("bin")).agg(of("allow").alias("a"), of("block").alias("b"))
     order = Window.orderBy("bin")
     below, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    missed = F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(every)
-    let_in = 1 - F.coalesce(F.sum("b").over(below), F.lit(0)) / F.sum("b").over(every)
-    best = hist.select("bin", F.round(missed + let_in, 9).alias("loss")).agg(F.min(F.struct("loss", F.abs("bin").alias("size"), "bin")).alias("best")).first()["best"]
-    return 0.0 if best is None or best["loss"] is None else best["bin"] * step
+    share = lambda c: F.try_divide(F.coalesce(F.sum(c).over(below), F.lit(0)), F.sum(c).over(every))
+    missed, let_in = share("a"), 1 - share("b")
+    best = hist.select("bin", F.round(missed + let_in, 9).alias("loss")).filter("loss IS NOT NULL").agg(F.min(F.struct("loss", F.abs("bin").alias("size"), "bin")).alias("best")).first()["best"]
+    return 0.0 if best is None else best["bin"] * step
 
 
 def judge_urls(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
