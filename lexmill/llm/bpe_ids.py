@@ -83,13 +83,20 @@ class ChunkEncoder:
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text, special strings in it read as their tokens."""
-        return np.asarray(self.encode(text), np.int32)
+        try:
+            return self.bpe.encode_to_numpy(text, allowed_special="all").astype(np.int32)
+        except ValueError:
+            return np.asarray(self._slowly(text), np.int32)
 
     def encode(self, text: str) -> list[int]:
         try:
             return self.bpe.encode(text, allowed_special="all")
-        except ValueError:  # a run of white space that is too long for the pattern's matcher
-            return slow_encoder(self.path, self.specials).encode(text, add_special_tokens=False).ids
+        except ValueError:
+            return self._slowly(text)
+
+    def _slowly(self, text: str) -> list[int]:
+        """For a run of white space that is too long for the pattern's matcher."""
+        return slow_encoder(self.path, self.specials).encode(text, add_special_tokens=False).ids
 
     def rows(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, ``end_id`` after each, and the n + 1 bounds of the rows."""

@@ -6,8 +6,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import chat, language, mixing, near_dedup, packing, quality, repeats, telephony, token_counts, url_model
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,7 +69,7 @@ QUERIES = {
     f.__name__: f
     for f in (op1_media_columns, op2_url_filter, op3_source_mixing, op4_language_id, op5_chat_format, op6_near_duplicates, op7_repeated_passages, op8_quality_rules, op9_packing, op10_token_counts)
 }
-QUERIES |= {"quality_ablations": quality_ablations, "pipeline": corpus_pipeline.run}
+QUERIES["quality_ablations"] = quality_ablations
 
 _LEDGER = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
