@@ -3,7 +3,9 @@
 Pre-tokens that are new to a batch are held as ragged numpy arrays of symbols.  Every round
 looks up the rank of each adjacent pair, takes the lowest rank of each sequence, and merges
 all its occurrences (left to right, not overlapping) in all sequences at once.  What is left
-when no sequence has a known pair is the number of tokens.
+when no sequence has a known pair is the number of tokens.  Pre-tokens of more than LONG bytes, which would
+keep the rounds of all others going, are merged rank by rank with positions kept by rank, so that a round
+touches only what it merges.
 
 Null texts count as empty: no bytes, no tokens.  Special strings inside a text count as one
 token each, as the library reads them by default.
@@ -11,6 +13,7 @@ token each, as the library reads them by default.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -27,6 +30,7 @@ from .words import Words, hash_ranges, ragged, slices, sums, utf8
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 CACHE_WORDS = 400_000
+LONG = 2048
 
 # Classes of bytes in plain words: 0 other signs, 1 letters, 2 digits, 9 not plain.
 _CLASS = np.full(256, 9, np.uint8)
@@ -82,6 +86,12 @@ class RankMerger:
 
     def survivors(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The number of symbols that survive the merges of each piece; ``flat`` has their bytes, none is empty."""
+        if len(size) and size.max() > LONG:
+            ends, long = np.cumsum(size), size > LONG
+            count = np.zeros(len(size), np.int64)
+            count[long] = [self.survivors_of_one(flat[b - n : b]) for b, n in zip(ends[long].tolist(), size[long].tolist(), strict=True)]
+            count[~long] = self.survivors(flat[np.repeat(~long, size)], size[~long])
+            return count
         owner = np.repeat(np.arange(len(size)), size)
         symbol = self.inner[flat]
         ends = np.cumsum(size) - 1
@@ -107,6 +117,48 @@ class RankMerger:
             rank[near] = self.ranks(symbol, owner, near)
         return count
 
+    def survivors_of_one(self, flat: np.ndarray) -> int:
+        """The same for one long piece: symbols are linked to their neighbours, pairs are found through their rank."""
+        n, nowhere = len(flat), len(self.keys)
+        symbol = np.append(self.inner[flat], -1)
+        symbol[n - 1] = self.final[flat[-1]]
+        after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n + 1, bool)
+        alive[n] = False
+        rank, places, queue = np.full(n + 1, nowhere, np.int64), {}, []
+
+        def look_up(at: np.ndarray) -> None:
+            at = at[(at >= 0) & (after[at] < n)]
+            key = symbol[at] * self.width + symbol[after[at]]
+            found = np.minimum(np.searchsorted(self.keys, key), nowhere - 1)
+            rank[at] = np.where(self.keys[found] == key, self.rank[found], nowhere)
+            at = at[rank[at] < nowhere]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            values, first = np.unique(rank[at], return_index=True)
+            for r, part in zip(values.tolist(), np.split(at, first[1:]), strict=True):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(queue, r)
+                places[r].append(part)
+
+        look_up(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            run = np.concatenate([[0], np.cumsum(after[at[:-1]] != at[1:])])
+            at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]  # of a run of overlapping pairs, every other one
+            gone = after[at]
+            symbol[at], alive[gone], rank[gone] = self.made[r], False, nowhere
+            after[at] = after[gone]
+            before[after[at]] = at
+            rank[at] = nowhere
+            look_up(np.unique(np.concatenate([at, before[at]])))
+        return int(alive.sum())
+
     def count_ranges(self, buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Tokens of each word buf[start:stop].
 

@@ -41,6 +41,22 @@ def test_token_counts_equal_the_library(spark, docs):
         assert got[r["doc_id"]]["over_limit"] == (n > 2048)
 
 
+def test_long_words_have_the_librarys_tokens_in_near_linear_time():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, m, r = Tokenizer.from_file(path), token_counts.RankMerger(path), np.random.default_rng(9)
+    letters = "".join(map(chr, r.integers(97, 123, 200_000)))
+    words_ = [letters, "x" * 9001, "ab" * 5000, "é" * 3000 + "aaa", letters[:2049], letters[:2048], "北京" * 2000, "hello" * 999, "=" * 5000 + letters[7:3000], "".join(map(chr, r.integers(0x400, 0x460, 4000)))]
+    began = time.process_time()
+    got = m.count_words(words_)
+    assert time.process_time() - began < 6
+    assert got.tolist() == [len(t.encode(w, add_special_tokens=False).ids) for w in words_]
+    assert [int(m.survivors(np.frombuffer(w.encode(), np.uint8), np.array([len(w)]))[0]) for w in ("low", "lower")] == [int(m.survivors_of_one(np.frombuffer(w.encode(), np.uint8))) for w in ("low", "lower")]
+
+
 def test_packing_covers_every_id_once(spark, docs):
     from tokenizers import Tokenizer
 
