@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import derived
 from .functions import answers as A
 from .functions import text as T
 from .functions import vectors as V
@@ -193,7 +194,7 @@ _ALL = (
     compression_cuts, summary_caps, turn_similarity, question_classes, merged_sessions, latest_events, orders_as_of, chunk_of_offset, unlabelled_documents, labelled_documents, value_percentiles,
     count_or_time_batches, hourly_events, file_sizes, capped_summaries, answer_styles, first_word_mentions, trimmed_chunks, fitting_turns, limited_calls, similarity_sweep,
 )
-QUERIES = {f.__name__: f for f in _ALL}
+QUERIES = {f.__name__: f for f in _ALL} | derived.QUERIES
 
 _TOK = f"regexp_extract_all(lower(coalesce(text, '')), '{WORDS}')"
 _BM25 = f"""
@@ -306,4 +307,4 @@ t AS (SELECT unnest([0.05, 0.15, 0.25, 0.35])::DOUBLE AS threshold),
 y AS (SELECT threshold, jaccard >= threshold AS taken, seq % 2 = 0 AS relevant FROM x, t)
 SELECT threshold, round(avg(CASE WHEN taken THEN 1.0 ELSE 0.0 END) FILTER (WHERE relevant), 6) AS relevant_recall, round(avg(CASE WHEN taken THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT relevant), 6) AS irrelevant_inject,
   count(*) FILTER (WHERE relevant) AS relevant, count(*) FILTER (WHERE NOT relevant) AS irrelevant FROM y GROUP BY threshold""",
-}
+} | derived.ORACLES

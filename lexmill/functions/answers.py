@@ -8,30 +8,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, collapse, estimate_tokens
+from .text import SPACE, collapse, estimate_tokens, utf16_length, utf16_prefix
 
 # Other names of the values of enumerated keys, the value first; marks at which a summary may end; what says that a book has no answer.
 ALIASES = {
-    "preference.answer_length": (
-        "concise 简洁 简短 简单 short brief",
-        "balanced 适中 中等 medium",
-        "detailed 详细 详尽 长篇 long verbose",
-    ),
-    "preference.answer_format": (
-        "bullets 分点 列表 要点 条目 list bullet",
-        "paragraphs 段落 连贯 散文 paragraph prose",
-        "steps 步骤 分步 step",
-    ),
-    "preference.language": (
-        "zh 中文 汉语 chinese zh-cn",
-        "en 英文 英语 english",
-        "fr 法语 法文 french",
-        "ja 日语 日文 japanese",
-        "de 德语 german",
-        "es 西班牙语 spanish",
-        "ru 俄语 russian",
-        "other 其他",
-    ),
+    "preference.answer_length": {
+        "concise": ["concise", "简洁", "简短", "简单", "short", "brief"],
+        "balanced": ["balanced", "适中", "中等", "medium"],
+        "detailed": ["detailed", "详细", "详尽", "长篇", "long", "verbose"],
+    },
+    "preference.answer_format": {
+        "bullets": ["bullets", "分点", "列表", "要点", "条目", "list", "bullet"],
+        "paragraphs": ["paragraphs", "段落", "连贯", "散文", "paragraph", "prose"],
+        "steps": ["steps", "步骤", "分步", "step"],
+    },
+    "preference.language": {
+        "zh": ["zh", "中文", "汉语", "chinese", "zh-cn"],
+        "en": ["en", "英文", "英语", "english"],
+        "fr": ["fr", "法语", "法文", "french"],
+        "ja": ["ja", "日语", "日文", "japanese"],
+        "de": ["de", "德语", "german"],
+        "es": ["es", "西班牙语", "spanish"],
+        "ru": ["ru", "俄语", "russian"],
+        "other": ["other", "其他"],
+    },
 }
 SUMMARY_ENDS = "。；"
 NO_ANSWER = "证据不足|书中(并)?(未|没有)|未(给出|记载|提供|找到)|无法(从|在)书中|没有(给出|记载|找到)"
@@ -51,7 +51,7 @@ def cap_summary(text: Column, cap: Column | int) -> Column:
     cap = F.lit(cap) if isinstance(cap, int) else cap
     whole = strip(text)
     tokens = estimate_tokens(whole)
-    part = F.substring(whole, F.lit(1), F.floor(F.length(whole) * (cap / F.greatest(tokens, F.lit(1)))).cast("int"))
+    part = utf16_prefix(whole, F.floor(utf16_length(whole) * (cap / F.greatest(tokens, F.lit(1)))).cast("int"))
     size = F.length(part)
     from_end = F.locate("\n", F.reverse(F.translate(part, SUMMARY_ENDS, "\n" * len(SUMMARY_ENDS))))
     ended = F.substring(part, F.lit(1), size - from_end + 1)
@@ -66,8 +66,8 @@ def memory_value(key: Column, raw: Column) -> Column:
     text = F.coalesce(raw, F.lit(""))
     compact = F.lower(F.regexp_replace(text, SPACE + "+", ""))
     out = collapse(text, 200)
-    for known, rows in ALIASES.items():
-        names = [(name, row.split()[0]) for row in rows for name in row.split()]
+    for known, values in ALIASES.items():
+        names = [(name, value) for value, every in values.items() for name in every]
         table = F.create_map(*(F.lit(x) for pair in names for x in pair))
         within = [F.when(F.contains(text, F.lit(name)), value) for name, value in sorted(names, key=lambda p: -len(p[0])) if len(name) > 1]
         out = F.when(key == known, F.coalesce(table[compact], table[strip(text)], *within)).otherwise(out)

@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\t-\r    -     　﻿]"
-# Model context lengths, and words that carry no topic.
+# Model context lengths, the mark of a cut text, and words that carry no topic.
 CONTEXT_DEFAULT, CONTEXT_LONG = 262_144, 1_000_000
+CUT = "\n...(内容已截断)"
 STOP_WORDS = (
     "的 了 是 我 你 他 她 它 们 什么 怎么 怎样 如何 请 吗 呢 啊 吧 这 那 有 和 与 在 要 会 能 对 为 以 及 或 但 而 被 把 让 向 从 到 给 等 很 更 最 都 也 就 还 又 再 "
     "一个 一些 这个 那个 自己 现在 目前 觉得 认为 希望 想 知道 告诉 问题 回答"
@@ -64,8 +65,18 @@ def question_title(text: Column) -> Column:
     return collapse(text, 30)
 
 
-def truncate(text: Column, limit: int = 3000, mark: str = "…") -> Column:
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(mark))).otherwise(text)
+def utf16_prefix(text: Column, n: Column | int) -> Column:
+    """The longest beginning of at most ``n`` UTF-16 code units; a surrogate pair is never split."""
+    n = F.lit(n) if isinstance(n, int) else n
+    short = F.substring(text, F.lit(1), n)
+    fits = F.filter(F.sequence(F.floor(n / 2).cast("int"), n.cast("int")), lambda m: utf16_length(F.substring(text, F.lit(1), m)) <= n)
+    return F.when(utf16_length(short) <= n, short).otherwise(F.substring(text, F.lit(1), F.array_max(fits)))
+
+
+def truncate(text: Column, limit: int = 3000, mark: str = CUT) -> Column:
+    """Null becomes empty; a text of more than ``limit`` UTF-16 code units is cut there and marked."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(utf16_length(t) > limit, F.concat(utf16_prefix(t, limit), F.lit(mark))).otherwise(t)
 
 
 def estimate_tokens(text: Column) -> Column:

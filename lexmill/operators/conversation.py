@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import estimate_tokens
 
 LIMIT = 262_144
+RANGE_CELL = 8192
 KEEP_MESSAGES, KEEP_ROUNDS, KEEP_SHARE = 6, 3, 0.15
 
 
@@ -50,14 +51,20 @@ def compression_cut(log: DataFrame, limit: int = LIMIT, share: float = KEEP_SHAR
 
 
 def rounds_to_drop(log: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """conv_id, dropped (oldest rounds to leave out) and tokens left, until the rest is under 0.7 * limit - 2500 or three rounds remain."""
+    """conv_id, dropped (oldest rounds to leave out) and tokens_left, until the rest is at most 0.7 * limit - 2500.
+
+    What stays has three rounds and six messages at least.  What comes before the first round goes with it.
+    """
     room = limit * 0.7 - 2500
-    by_round = log.groupBy("conv_id", "round").agg(F.sum("tokens").alias("t"))
-    later = Window.partitionBy("conv_id").orderBy(F.desc("round")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.max("round").over(Window.partitionBy("conv_id"))
-    fits = by_round.withColumn("left", F.sum("t").over(later)).withColumn("last", n)
-    keep = fits.filter((F.col("left") <= room) | (F.col("round") > F.col("last") - KEEP_ROUNDS))
-    return keep.groupBy("conv_id").agg(F.greatest(F.min("round") - 1, F.lit(0)).alias("dropped"), F.max("left").alias("tokens_left"))
+    by_round = log.groupBy("conv_id", "round").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    conv = Window.partitionBy("conv_id")
+    later = conv.orderBy(F.desc("round")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = by_round.select("conv_id", "round", F.sum("t").over(later).alias("left"), F.sum("n").over(later).alias("messages"), F.sum("t").over(conv).alias("all"), F.max("round").over(conv).alias("rounds"))
+    drop = F.greatest(F.col("round") - 1, F.lit(0))
+    rows = rows.select("conv_id", drop.alias("dropped"), F.when(drop == 0, F.col("all")).otherwise(F.col("left")).alias("left"), ((drop == 0) | ((F.col("rounds") - drop >= KEEP_ROUNDS) & (F.col("messages") >= KEEP_MESSAGES))).alias("allowed"))
+    ends = rows.filter("allowed").groupBy("conv_id").agg(F.min(F.when(F.col("left") <= room, F.struct("dropped", "left"))).alias("fits"), F.max(F.struct("dropped", "left")).alias("last"))
+    best = F.coalesce("fits", "last")
+    return ends.select("conv_id", best["dropped"].cast("int").alias("dropped"), best["left"].cast("long").alias("tokens_left"))
 
 
 def summary_caps(log: DataFrame, each: int = 6000, total: int = 96_000, least: int = 500) -> DataFrame:
@@ -93,12 +100,22 @@ def merge_ranges(rows: DataFrame, key: str, start: str, end: str, part: Column |
 
 
 def point_in_range(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Points with the half-open range of their key that holds them; points in no range go.  An equi-join on the key, then the bounds."""
-    return points.join(ranges, key).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
+    """Points with the half-open range of their key that holds them; points in no range go.
+
+    Where ranges overlap, each range counts.  Ranges and points are cut into cells of RANGE_CELL and meet on key and
+    cell, so a point meets the ranges near it and not all of its key.
+    """
+    cell = lambda c: F.floor(c / RANGE_CELL)
+    near = ranges.filter(F.col(start) < F.col(end)).withColumn("_cell", F.explode(F.sequence(cell(F.col(start)), cell(F.col(end) - 1))))
+    both = points.withColumn("_cell", cell(F.col(at))).join(near, [key, "_cell"])
+    return both.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_cell")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """``left`` with the ``value`` of the latest row of ``right`` at or before it, by key; one sort of both, no join."""
+    """``left`` with the ``value`` of the latest row of ``right`` at or before it, by key; one sort of both, no join.
+
+    A key's rows stand in one window, which streams over them and keeps one value; a null key is a key like others.
+    """
     both = left.select(key, order, F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
     both = both.unionByName(right.select(key, order, F.lit(0).alias("_side"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.col(value).alias("_value")))
     w = Window.partitionBy(key).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)

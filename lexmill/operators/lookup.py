@@ -142,8 +142,9 @@ def call_limits(calls: DataFrame, keys: list[str], order: list[str], most: int =
     """
     last = F.struct(*order)
     ranked = top(calls.select(F.struct(*keys).alias("_key"), last.alias("_at")), "_key", F.col("_at"), k=most).groupBy("_key").agg(F.max("_at").alias("_last"))
-    marks = ranked.select(*(F.col("_key")[k].alias(k) for k in keys), "_last")
-    return calls.join(marks, keys).withColumn("blocked", last > F.col("_last")).drop("_last")
+    marks = ranked.select(F.col("_key").alias("_marked"), "_last")
+    same = F.struct(*keys).eqNullSafe(F.col("_marked"))  # rows whose keys are null have a limit too
+    return calls.join(marks, same).withColumn("blocked", last > F.col("_last")).drop("_marked", "_last")
 
 
 def assemble_calls(deltas: DataFrame) -> DataFrame:

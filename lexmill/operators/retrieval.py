@@ -13,16 +13,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, tokens
-from ..functions.vectors import DIMS, embed
-from ..plans.scratch import materialize
+from ..functions.vectors import DIMS, Embedder, embed, embed_texts
+from ..plans.scratch import materialize, new_path
 
 K1, B, RRF = 1.5, 0.75, 60
 QUERY_BLOCK = 1024  # query vectors that a scan of the documents carries at once
+VOCABULARY = 20_000  # query tokens that are looked up within a document's row
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with ``value`` computed once a row."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def counted(words: Column) -> Column:
+    """The distinct words of an array with their numbers, as an array of (token, tf): sorted, then cut into runs, in the row."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        places = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        heads = F.filter(places, lambda i: ~F.coalesce(F.get(s, i - 1) == F.get(s, i), F.lit(False)))
+        return let(heads, lambda h: F.transform(h, lambda at, k: F.struct(F.get(s, at).alias("token"), (F.coalesce(F.get(h, k + 1), n) - at).cast("long").alias("tf"))))
+
+    return let(F.sort_array(words), runs)
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    """doc_id, token, tf."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    """doc_id, token, tf; a document is one row, so its tokens are counted there and nothing is shuffled."""
+    return docs.select("doc_id", F.explode(counted(tokens(F.col("text")))).alias("t")).select("doc_id", "t.token", "t.tf")
 
 
 def length_stats(docs: DataFrame) -> DataFrame:
@@ -38,28 +56,57 @@ def top(df: DataFrame, key: str, *order: Column, k: int) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, doc_id, score, rank of the ``k`` best documents (doc_id, text) of each query (query_id, text).
 
-    A query is a bag: a token that occurs twice adds twice.  Only postings of query tokens leave
-    the scan; a document's tokens are counted in its own row, so a frequent token makes one row a document.
+    A query is a bag: a token that occurs twice adds twice.  Every document is tokenised once; its row keeps its
+    length and the counts of the tokens that some query has, so a frequent token makes one posting a document,
+    and lengths and postings come from one written table.  Up to VOCABULARY query tokens are
+    looked up in the row; more of them meet the counted tokens in a semi join.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    stats = length_stats(docs).select("n_docs", F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1.0).alias("avg_len")).first()
-    # Tokens and their number are settled below the explode, or they would be taken again for every token.
-    cut = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", "w", F.size("w").alias("dl"))
-    rows = cut.select("doc_id", "dl", F.explode("w").alias("token"))
-    postings = rows.join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    postings = materialize(postings, "postings")  # read for the document frequencies and for the scores
+    asked = materialize(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")), "asked")
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), "w")
+    wanted = [r["token"] for r in asked.select("token").distinct().limit(VOCABULARY + 1).collect()]
+    if len(wanted) <= VOCABULARY:
+        words = words.withColumn("w", F.filter("w", lambda x: x.isin(wanted)) if wanted else F.slice("w", 1, 0))
+    counts = materialize(words.select("doc_id", "dl", counted(F.col("w")).alias("counts")), "term-counts")
+    stats = counts.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len")).first()
+    postings = counts.select("doc_id", "dl", F.explode("counts").alias("t")).select("doc_id", "dl", "t.token", "t.tf")
+    if len(wanted) > VOCABULARY:
+        postings = postings.join(asked.select("token").distinct(), "token", "left_semi")
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (stats["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / float(stats["avg_len"])))
+    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / float(stats["avg_len"] or 1.0)))
     scored = postings.join(asked.join(df, "token"), "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).filter("score > 0")
     return top(scored.withColumn("score", F.round("score", 9)), "query_id", F.desc("score"), F.col("doc_id"), k=k).select("query_id", "doc_id", "score", "rank")
 
 
+class Best:
+    """The ``k`` smallest (score, id) of each of ``n`` queries among what has been seen; memory is bounded by n * k and a slice."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.n, self.k = n, k
+        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.worst = np.full(n, np.inf)
+
+    def add(self, ids: np.ndarray, score: np.ndarray) -> None:
+        query, row = np.nonzero(score <= self.worst[:, None])
+        self.query, self.id, self.score = np.append(self.query, query), np.append(self.id, ids[row]), np.append(self.score, score[query, row])
+        if len(self.query) > 4 * self.n * self.k:
+            self.prune()
+
+    def prune(self) -> None:
+        order = np.lexsort((self.id, self.score, self.query))
+        q = self.query[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        order = order[place < self.k]
+        self.query, self.id, self.score = self.query[order], self.id[order], self.score[order]
+        last = np.flatnonzero(np.bincount(self.query, minlength=self.n) == self.k)
+        self.worst[last] = self.score[np.searchsorted(self.query, last, "right") - 1]
+
+
 def _nearest(rows: DataFrame, ids: list, vectors: np.ndarray, k: int, metric: str, to_matrix) -> DataFrame:
-    """Each batch's ``k`` nearest rows of every query vector."""
+    """Each task's ``k`` nearest rows of every query vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = np.asarray(ids)
+        q, best = np.asarray(ids), Best(len(ids), k)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -69,12 +116,9 @@ def _nearest(rows: DataFrame, ids: list, vectors: np.ndarray, k: int, metric: st
                 else:
                     norm = np.sqrt((m * m).sum(axis=1))[None, :] * np.sqrt((vectors * vectors).sum(axis=1))[:, None]
                     score = -(vectors @ m.T) / np.where(norm == 0, 1, norm)
-                score = np.round(score, 9)
-                n = min(k, len(own))
-                best = np.argpartition(score, n - 1, axis=1)[:, :n] if n else np.zeros((len(q), 0), int)
-                edge = np.take_along_axis(score, best, 1).max(axis=1) if n else np.zeros(len(q))
-                row, col = np.nonzero(score <= edge[:, None])  # ties at the edge go on, ids decide later
-                yield pa.RecordBatch.from_arrays([pa.array(q[row].astype(np.int64)), pa.array(own[col].astype(np.int64)), pa.array(score[row, col])], ["query_id", "doc_id", "score"])
+                best.add(own, np.round(score, 9))
+        best.prune()
+        yield pa.RecordBatch.from_arrays([pa.array(q[best.query].astype(np.int64)), pa.array(best.id), pa.array(best.score)], ["query_id", "doc_id", "score"])
 
     return rows.mapInArrow(run, "query_id long, doc_id long, score double")
 
@@ -86,32 +130,41 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, metric:
     Rows and queries whose vectors have another length take no part.  metric is l2 (distance) or cosine (similarity).
     """
     rows = vectors.filter(F.size("embedding") == dims).select("doc_id", "embedding")
-    matrix = lambda c: np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
-    return _by_blocks(rows, queries.filter(F.size("embedding") == dims).select("query_id", "embedding"), k, metric, matrix)
+    return _by_blocks(rows, queries.filter(F.size("embedding") == dims).select("query_id", "embedding"), k, metric, dims)
+
 
+def nearest_texts(docs: DataFrame, queries: DataFrame, k: int = 10, dims: int = DIMS, embedder: Embedder = embed) -> DataFrame:
+    """The same for texts under an embedder, L2 distance; null texts count as empty.
 
-def nearest_texts(docs: DataFrame, queries: DataFrame, k: int = 10, dims: int = DIMS) -> DataFrame:
-    """The same for texts under the deterministic embedder, L2 distance; null texts count as empty."""
-    matrix = lambda c: np.stack([embed(t or "", dims) for t in c.to_pylist()])
-    return _by_blocks(docs.select("doc_id", "text"), queries.select("query_id", F.col("text").alias("embedding")), k, "l2", matrix)
+    All texts are embedded once, whatever the number of query blocks.
+    """
+    rows = materialize(embed_texts(docs.select("doc_id", "text"), dims, embedder), "embedded")
+    asked = embed_texts(queries.select(F.col("query_id").alias("doc_id"), "text"), dims, embedder)
+    return _by_blocks(rows, asked.select(F.col("doc_id").alias("query_id"), "embedding"), k, "l2", dims)
+
+
+def _by_blocks(rows: DataFrame, queries: DataFrame, k: int, metric: str, dims: int) -> DataFrame:
+    """One scan of the rows for each block of queries; the driver holds one block at a time, and its results are written."""
+    matrix = lambda c: np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
+    spark, path, block = rows.sparkSession, None, []
 
+    def scan(block: list) -> DataFrame:
+        vectors = np.array([r[1] for r in block], np.float64).reshape(-1, dims)
+        found = _nearest(rows, [r[0] for r in block], vectors, k, metric, matrix)
+        best = top(found, "query_id", F.col("score"), F.col("doc_id"), k=k)
+        return best.select("query_id", "doc_id", (F.abs("score") if metric == "l2" else -F.col("score")).alias("score"), "rank")
 
-def _by_blocks(rows: DataFrame, queries: DataFrame, k: int, metric: str, to_matrix) -> DataFrame:
-    block, parts = [], []
     for r in queries.orderBy("query_id").toLocalIterator():
         block.append(r)
         if len(block) == QUERY_BLOCK:
-            parts.append(block)
+            path = path or new_path(spark, "nearest")
+            scan(block).write.mode("append").parquet(path)
             block = []
-    if block or not parts:
-        parts.append(block)
-    out = None
-    for part in parts:
-        column = pa.array([r[1] for r in part]) if part else pa.array([], pa.list_(pa.float32()))
-        found = _nearest(rows, [r[0] for r in part], to_matrix(column), k, metric, to_matrix) if part else rows.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    best = top(out, "query_id", F.col("score"), F.col("doc_id"), k=k)
-    return best.select("query_id", "doc_id", (F.abs("score") if metric == "l2" else -F.col("score")).alias("score"), "rank")
+    if path is None:
+        return scan(block) if block else spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    if block:
+        scan(block).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int = 5, names: tuple[str, str] = ("bm25", "vector")) -> DataFrame:

@@ -33,10 +33,13 @@ def count_or_time(events: DataFrame, key: str, ts: str, order: str, count: int =
     base = events.select(F.col(key).alias("key"), F.to_date(ts).alias("day"), F.unix_micros(ts).alias("us"), F.col(order).alias("o"))
     near, days = Window.partitionBy("key", "day").orderBy("us", "o"), Window.partitionBy("key").orderBy("day")
     last = base.groupBy("key", "day").agg(F.max("us").alias("last")).withColumn("prior", F.lag("last").over(days)).drop("last")
-    marked = base.join(last, ["key", "day"]).withColumn("pause", F.coalesce(F.col("us") - F.coalesce(F.lag("us").over(near), "prior") >= seconds * 1_000_000, F.lit(True)).cast("int"))
+    same = lambda side: base["key"].eqNullSafe(side["_key"]) & base["day"].eqNullSafe(side["_day"])  # noqa: E731  rows without a key form one
+    last = last.select(F.col("key").alias("_key"), F.col("day").alias("_day"), "prior")
+    marked = base.join(last, same(last)).drop("_key", "_day").withColumn("pause", F.coalesce(F.col("us") - F.coalesce(F.lag("us").over(near), "prior") >= seconds * 1_000_000, F.lit(True)).cast("int"))
     before = marked.groupBy("key", "day").agg(F.sum("pause").alias("pauses")).withColumn("before", F.coalesce(F.sum("pauses").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("pauses")
     run = F.col("before") + F.sum("pause").over(near.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = marked.join(before, ["key", "day"]).select("key", run.alias("run"), "us", "o")
+    before = before.select(F.col("key").alias("_key"), F.col("day").alias("_day"), "before")
+    rows = marked.join(before, marked["key"].eqNullSafe(before["_key"]) & marked["day"].eqNullSafe(before["_day"])).select("key", run.alias("run"), "us", "o")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, first, last, n = None, 0, 0, 0
@@ -58,30 +61,47 @@ def count_or_time(events: DataFrame, key: str, ts: str, order: str, count: int =
     return done.select(F.col("key").alias(key), F.timestamp_micros("first_us").alias("first_ts"), F.timestamp_micros("last_us").alias("last_ts"), "n")
 
 
-def stream_batches(events: DataFrame, key: str, count: int = COUNT, seconds: int = SECONDS) -> DataFrame:
-    """The same on a stream: keyed state holds the open batch, a processing-time timer closes it."""
+def add_items(held: list, first: int, new: list, now: int, count: int, wait: int) -> tuple[list[list], list, int]:
+    """The batches that are closed when ``new`` items come at ``now`` (ms), the items that stay open, and the time of the first of them."""
+    closed: list[list] = []
+    if held and now - first >= wait:
+        closed.append(held)
+        held = []
+    for item in new:
+        if not held:
+            first = now
+        held = [*held, item]
+        if len(held) == count:
+            closed.append(held)
+            held = []
+    return closed, held, first
+
+
+def stream_batches(events: DataFrame, key: str, item: str, count: int = COUNT, seconds: int = SECONDS) -> DataFrame:
+    """key, n and items (column ``item``, as text) of the batches of a stream: full, or ``seconds`` after their first item.
+
+    Keyed state holds the items of the open batch and the processing time of the first; the timer is set to what is
+    left of its time, so a key that goes on slowly does not put it off.
+    """
+    wait = seconds * 1000
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        out = []
+        held, first = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        now = state.getCurrentProcessingTimeMs()
         if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"key": [k[0]], "n": [n]})
-            return
-        for frame in frames:
-            n += len(frame)
-        while n >= count:
-            out.append(count)
-            n -= count
-        if n:
-            state.update((n,))
-            state.setTimeoutDuration(seconds * 1000)
+            closed, held = [held], []
+        else:
+            new = [str(x) for frame in frames for x in frame[item]]
+            closed, held, first = add_items(held, first, new, now, count, wait)
+        if held:
+            state.update((held, first))
+            state.setTimeoutDuration(max(1, first + wait - now))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"key": [k[0]] * len(out), "n": out})
+        yield pd.DataFrame({"key": [k[0]] * len(closed), "n": [len(c) for c in closed], "items": closed})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"key {kind}, n long", "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"key {kind}, n long, items array<string>", "items array<string>, first long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def event_windows(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:

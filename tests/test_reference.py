@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill import catalog
 from lexmill.functions import text as T
 from lexmill.functions import vectors as V
-from lexmill.operators import chunks, conversation, evidence, memory, retrieval
+from lexmill.operators import chunks, conversation, evidence, lookup, memory, retrieval
 from lexmill.plans import dag
 from lexmill.plans.index_store import IndexStore
 from lexmill.sources import text_files
@@ -155,9 +155,10 @@ def test_batches_equal_a_plain_fold(spark):
 def test_stream_batches_and_files(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, "d"), (2, "e")], "user_id long, v string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("user_id long, v string").parquet(str(tmp_path / "in"))
-    q = batches.stream_batches(stream, "user_id").writeStream.format("memory").queryName("batches").trigger(availableNow=True).start()
+    q = batches.stream_batches(stream, "user_id", "v").writeStream.format("memory").queryName("batches").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert (1, 3) in [tuple(r) for r in spark.table("batches").collect()]
+    full = [r for r in spark.table("batches").collect() if r["n"] == 3]
+    assert [(r["key"], sorted(set(r["items"]) & set("abcd"))) for r in full][0] == (1, sorted(full[0]["items"]))
     (tmp_path / "txt").mkdir()
     (tmp_path / "txt/a.txt").write_bytes("中文内容".encode("gbk"))
     (tmp_path / "txt/b.txt").write_bytes(b"\xef\xbb\xbfplain")
@@ -182,3 +183,50 @@ def test_levels_and_notes(spark):
         dag.run_levels({"a": (["b"], lambda d: 1), "b": (["a"], lambda d: 1)})
     notes = dag.chapter_notes(spark.createDataFrame([(1, "short"), (2, "y" * 20000)], "doc_id long, text string"), lambda s: s.str.len().astype(str))
     assert notes.count() == 2
+
+
+def test_a_batch_closes_thirty_seconds_after_its_first_item():
+    """A manual clock: a key that goes on slowly does not put the end off."""
+    held, first, closed = [], 0, []
+    for now, new in [(0, ["a"]), (20_000, ["b"]), (31_000, ["c"]), (40_000, []), (61_000, ["d"]), (62_000, ["e", "f", "g"]), (63_000, ["h", "i", "j", "k"])]:
+        done, held, first = batches.add_items(held, first, new, now, 3, 30_000)
+        closed += [(now, d) for d in done]
+    assert closed == [(31_000, ["a", "b"]), (61_000, ["c"]), (62_000, ["d", "e", "f"]), (63_000, ["g", "h", "i"])]
+    assert (held, first) == (["j", "k"], 63_000)
+
+
+def test_rounds_are_dropped_as_one_by_one(spark):
+    r = np.random.default_rng(6)
+    rows = [(c, t, str(r.choice(["user", "assistant", "tool"], p=[0.4, 0.5, 0.1])), "x" * int(r.integers(1, 3000))) for c in range(60) for t in range(int(r.integers(1, 25)))]
+    got = {x["conv_id"]: (x["dropped"], x["tokens_left"]) for x in conversation.rounds_to_drop(conversation.message_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), 10_000).collect()}
+    for c in range(60):
+        window = [(role, -(-len(text) * 6 // 10)) for k, _, role, text in rows if k == c]
+        dropped = 0
+        while sum(t for _, t in window) > 10_000 * 0.7 - 2500:
+            starts = [i for i, (role, _) in enumerate(window) if role == "user"]
+            if len(starts) - 1 < 3 or len(window) - starts[1] < 6:
+                break
+            window, dropped = window[starts[1] :], dropped + 1
+        assert got[c] == (dropped, sum(t for _, t in window))
+
+
+def test_null_keys_stay(spark):
+    calls = spark.createDataFrame([(None, i, "t") for i in range(8)] + [(1, 9, "t"), (1, 10, None)], "user_id long, event_id long, event_type string")
+    got = {r["event_id"]: r["blocked"] for r in lookup.call_limits(calls, ["user_id", "event_type"], ["event_id"]).collect()}
+    assert got == {i: i in (5, 6, 7) for i in (*range(8), 9, 10)}
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    events = spark.createDataFrame([(None, start + dt.timedelta(seconds=i), i) for i in range(4)], "user_id long, ts timestamp, event_id long")
+    assert sorted(r["n"] for r in batches.count_or_time(events, "user_id", "ts", "event_id").collect()) == [1, 3]
+
+
+def test_texts_are_cut_by_code_units(spark):
+    df = spark.createDataFrame([("😀" * 4,), ("ab😀cd",), (None,), ("abcd",)], "t string")
+    assert [r[0] for r in df.select(T.truncate(F.col("t"), 5, "+")).collect()] == ["😀😀+", "ab😀c+", "", "abcd"]
+    assert [r[0] for r in df.select(T.truncate(F.col("t"), 3, "+")).collect()] == ["😀+", "ab+", "", "abc+"]
+
+
+def test_points_meet_ranges_that_span_cells(spark):
+    ranges = spark.createDataFrame([(1, 0, 20_000, "a"), (1, 20_000, 20_001, "b"), (2, 8191, 8193, "c"), (1, 5, 5, "none")], "k long, s int, e int, name string")
+    points = spark.createDataFrame([(1, p) for p in (0, 8191, 8192, 19_999, 20_000, 20_001)] + [(2, 8191), (2, 8192), (2, 8193)], "k long, p int")
+    got = sorted((r["k"], r["p"], r["name"]) for r in conversation.point_in_range(points, ranges, "k", "p", "s", "e").collect())
+    assert got == [(1, 0, "a"), (1, 8191, "a"), (1, 8192, "a"), (1, 19_999, "a"), (1, 20_000, "b"), (2, 8191, "c"), (2, 8192, "c")]
