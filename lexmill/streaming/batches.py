@@ -45,7 +45,8 @@ def count_or_time(events: DataFrame, key: str, ts: str, order: str, count: int =
         group, first, last, n = None, 0, 0, 0
         for batch in batches:
             out = []
-            for key_, run_, us in zip(batch["key"], batch["run"], batch["us"], strict=True):
+            keys = batch["key"].astype(object).where(batch["key"].notna(), None)  # a missing key equals itself
+            for key_, run_, us in zip(keys, batch["run"], batch["us"], strict=True):
                 if n and ((key_, run_) != group or n == count or us - first >= seconds * 1_000_000):
                     out.append((group[0], first, last, n))
                     n = 0
