@@ -27,7 +27,7 @@ from .bpe_ids import encoder
 from .words import mix, slices, utf8
 
 DIMS, BITS, SEQUENCE = 4, 8, 1024
-RANGE_BYTES = 64 << 20  # of compressed ids in a range
+RANGE_BYTES, SMALL_RANGE, SMALL_RANGES = 64 << 20, 8 << 20, 8192  # compressed ids in a range: SMALL_RANGE while that makes no more than SMALL_RANGES
 _U = np.uint64
 
 
@@ -161,6 +161,6 @@ def pack_documents(docs: DataFrame, vocab_path: str, size: int = SEQUENCE, end_i
 
     table = materialize(encode_documents(docs, vocab_path, end_id, id_col, text_col).withColumn("size", F.octet_length("ids")).withColumn("row", F.monotonically_increasing_id()), "packing")
     held = table.agg(F.sum("size").alias("n")).first()["n"] or 0
-    ranges = max(-(-held // RANGE_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, -(-held // (1 << 20))), 1)
+    ranges = max(-(-held // RANGE_BYTES), min(-(-held // SMALL_RANGE), SMALL_RANGES), 1)
     order = [F.col("curve_key"), F.xxhash64("doc_id"), F.col("doc_id"), F.col("row")]
     return table.repartitionByRange(int(ranges), *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(cut, PIECES)
