@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
 
-SYMBOLS = "#*$%&|<>"
-DIGITS, BULLETS, ELLIPSES = "0123456789", ("-", "*", "•"), ("...", "…")
+SYMBOLS, DIGITS = "[#*$%&|<>]", "[0-9]"
+BULLETS, ELLIPSES = ("-", "*", "•"), ("...", "…")
 SPACES = " \t\n\x0b\x0c\r"
 # Rules in bit order: name, and whether a document fails it, from its measurements.
 RULES = {
@@ -52,17 +52,23 @@ def let(value: Column, body) -> Column:
 
 
 def _repeated(w: Column, n: Column) -> Column:
-    """Words in windows of three that occur at least twice in the array ``w``."""
-    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.cast("int").alias("i")))
+    """Words in windows of three that occur at least twice in the array ``w``.
+
+    Hashes of the windows are sorted with their places only where a text has equal ones.
+    """
+    zero = F.lit(0).cast("long")
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
     def covered(s: Column) -> Column:
         def same(x: Column, j: Column) -> Column:
-            return (x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"])
+            return F.coalesce(x["h"] == F.get(s, j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False))
 
-        at = F.array_sort(F.transform(F.filter(s, lambda x, j: F.coalesce(same(x, j), F.get(s, j - 1)["h"] == x["h"], F.get(s, j + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"]))
-        return let(at, lambda a: F.aggregate(F.transform(a, lambda x, m: F.least(F.lit(3), F.coalesce(F.get(a, m + 1) - x, F.lit(3))).cast("long")), F.lit(0).cast("long"), lambda total, x: total + x))
+        at = F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"]))
+        return let(at, lambda a: F.aggregate(F.transform(a, lambda x, m: F.least(F.lit(3), F.coalesce(F.get(a, m + 1) - x, F.lit(3))).cast("long")), zero, lambda total, x: total + x))
 
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(F.sort_array(hashes), covered))
+    placed = lambda h: F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("int").alias("i")))
+    some = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(F.sort_array(placed(h)), covered)).otherwise(zero)
+    return F.when(n < 3, zero).otherwise(let(hashes, some))
 
 
 def measurements(text: Column) -> Column:
@@ -70,22 +76,20 @@ def measurements(text: Column) -> Column:
 
     def measured(t: Column) -> Column:
         words = F.array_remove(F.split(t, "[ \\t\\n\\x0B\\f\\r]+"), "")
-        lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+        lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit("[^ \\t\\n\\x0B\\f\\r]")))
         begins = lambda x: _any(F.startswith(F.ltrim(x, F.lit(SPACES)), F.lit(b)) for b in BULLETS)
         ends = lambda x: _any(F.endswith(F.rtrim(x, F.lit(SPACES)), F.lit(e)) for e in ELLIPSES)
         count = lambda array: F.size(array).cast("long")
         by_line = let(lines, lambda x: F.struct(count(x).alias("n"), (count(x) - count(F.array_distinct(x))).alias("dup"), count(F.filter(x, begins)).alias("bullet"), count(F.filter(x, ends)).alias("ellipsis")))
-        by_word = let(words, lambda w: F.struct(count(w).alias("n"), _repeated(w, F.size(w)).alias("repeat"), count(F.array_distinct(w)).alias("distinct")))
-        chars = F.length(t)
+        by_word = let(words, lambda w: F.struct(count(w).alias("n"), _repeated(w, F.size(w)).alias("repeat"), count(F.array_distinct(w)).alias("distinct"), F.length(F.array_join(w, "")).cast("long").alias("chars")))
         return F.struct(
             by_word.alias("w"),
             by_line.alias("l"),
-            F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-            (chars - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (chars - F.length(F.translate(t, DIGITS, ""))).cast("long").alias("n_digits"),
+            F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            F.regexp_count(t, F.lit(DIGITS)).cast("long").alias("n_digits"),
         )
 
-    at = (("w", "n"), ("word_chars",), ("n_symbols",), ("l", "n"), ("l", "dup"), ("w", "repeat"), ("n_digits",), ("l", "bullet"), ("l", "ellipsis"), ("w", "distinct"))
+    at = (("w", "n"), ("w", "chars"), ("n_symbols",), ("l", "n"), ("l", "dup"), ("w", "repeat"), ("n_digits",), ("l", "bullet"), ("l", "ellipsis"), ("w", "distinct"))
     flat = lambda m: F.struct(*((m[a[0]] if len(a) == 1 else m[a[0]][a[1]]).alias(name) for name, a in zip(MEASURED, at, strict=True)))
     return let(let(F.coalesce(text, F.lit("")), measured), flat)
 
