@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import derived
+from . import derived, records
 from .functions import answers as A
 from .functions import text as T
 from .functions import vectors as V
@@ -141,7 +141,8 @@ def value_percentiles(spark, d):
 
 
 def count_or_time_batches(spark, d):
-    return batches.count_or_time(_read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "event_id", seconds=3600)
+    done = batches.count_or_time(_read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "event_id", seconds=3600)
+    return done.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_ts", "last_ts")), "n")
 
 
 def hourly_events(spark, d):
@@ -194,7 +195,7 @@ _ALL = (
     compression_cuts, summary_caps, turn_similarity, question_classes, merged_sessions, latest_events, orders_as_of, chunk_of_offset, unlabelled_documents, labelled_documents, value_percentiles,
     count_or_time_batches, hourly_events, file_sizes, capped_summaries, answer_styles, first_word_mentions, trimmed_chunks, fitting_turns, limited_calls, similarity_sweep,
 )
-QUERIES = {f.__name__: f for f in _ALL} | derived.QUERIES
+QUERIES = {f.__name__: f for f in _ALL} | derived.QUERIES | records.QUERIES
 
 _TOK = f"regexp_extract_all(lower(coalesce(text, '')), '{WORDS}')"
 _BM25 = f"""
@@ -223,7 +224,41 @@ _SIMILAR = f"""{_LOG}, s AS (SELECT conv_id, seq, list_distinct({_TOK}) AS w FRO
 p AS (SELECT a.conv_id, a.seq, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS na, len(b.w) AS nb FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.seq = a.seq + 1)
 SELECT conv_id, seq, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE c / (na + nb - c) END, 6) AS jaccard FROM p"""
 
+_EMBED = f"""{_BM25},
+src AS (SELECT 0 AS side, doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+ch AS (SELECT side, id, unicode(c) AS u, count(*) AS n FROM (SELECT side, id, unnest(string_split(text, '')) AS c FROM src) WHERE c <> '' GROUP BY ALL),
+dim AS (SELECT side, id, d, sum(v) AS v FROM (SELECT side, id, u % 1024 AS d, n::DOUBLE AS v FROM ch UNION ALL SELECT side, id, 31 * u % 1024, 0.5 * n FROM ch) GROUP BY ALL),
+nrm AS (SELECT side, id, sqrt(sum(v * v)) AS l FROM dim GROUP BY ALL),
+vec AS (SELECT src.side, src.id, list(coalesce(v / l, 0.0) ORDER BY d) AS e FROM src CROSS JOIN (SELECT unnest(range(1024)) AS d) LEFT JOIN dim USING (side, id, d) LEFT JOIN nrm USING (side, id) GROUP BY ALL),
+near AS (SELECT q.id AS query_id, t.id AS doc_id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_distance(q.e, t.e), 9), t.id) AS rank FROM vec q JOIN vec t ON q.side = 1 AND t.side = 0),
+u AS (SELECT query_id, doc_id, x.rank AS r1, y.rank AS r2, round(coalesce(1.0 / (60 + x.rank), 0.0) + coalesce(1.0 / (60 + y.rank), 0.0), 9) AS rrf
+      FROM (SELECT * FROM hits WHERE rank <= 10) x FULL JOIN (SELECT * FROM near WHERE rank <= 10) y USING (query_id, doc_id)),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, r1 NULLS LAST, r2 NULLS LAST, doc_id) AS rank FROM u)"""
+
 ORACLES = {
+    "retrieve_hybrid": f"""{_EMBED}
+SELECT query_id, doc_id, rrf, CASE WHEN r1 IS NOT NULL AND r2 IS NOT NULL THEN 'hybrid' WHEN r1 IS NOT NULL THEN 'bm25' ELSE 'vector' END AS method, CAST(rank AS INTEGER) AS rank FROM fused WHERE rank <= 5""",
+    "retrieve_reranked": f"""{_EMBED},
+share AS (SELECT query_id, doc_id, fused.rank AS pool_rank, round(CASE WHEN regexp_matches(t.text, '[^\\s]') THEN len(list_filter(string_split(t.text, ''), lambda c: contains(q.text, c))) / greatest(length(t.text), 1) ELSE 0.0 END, 9) AS score
+      FROM fused JOIN documents t USING (doc_id) JOIN benchmark q ON q.item_id = query_id WHERE fused.rank <= 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_rank) AS rank FROM share)
+SELECT query_id, doc_id, score, CAST(pool_rank AS INTEGER) AS pool_rank, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
+    "count_or_time_batches": """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT user_id, i, us AS first, ts AS first_ts, ts AS last_ts, 1::BIGINT AS n, 1 AS batch FROM e WHERE i = 1
+  UNION ALL SELECT user_id, e.i, CASE WHEN new THEN e.us ELSE first END, CASE WHEN new THEN e.ts ELSE first_ts END, e.ts, CASE WHEN new THEN 1 ELSE n + 1 END, CASE WHEN new THEN batch + 1 ELSE batch END
+  FROM (SELECT s.*, e.us AS at_us, (n = 3 OR e.us - first >= 3600000000) AS new FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1) s JOIN e USING (user_id) WHERE e.i = s.i + 1)
+SELECT user_id, first_ts, max(last_ts) AS last_ts, max(n) AS n FROM s GROUP BY user_id, batch, first_ts""",
+    "corpus_profile": """
+WITH d AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents), l AS (SELECT doc_id, t, string_split(t, chr(10)) AS l FROM d),
+n AS (SELECT doc_id, t, l, unnest(range(1, len(l) + 1)) AS i FROM l),
+h AS (SELECT doc_id, t, CAST(coalesce(list_sum(list_transform(l[1:i-1], lambda x: length(x) + 1)), 0) AS BIGINT) AS pos FROM n
+      WHERE regexp_matches(trim(l[i]), '^(第[一二三四五六七八九十零百千万]+[章节回部篇集]|第[0-9]+[章节回部篇集]|[一二三四五六七八九十零]+[、.]|[0-9]+[、.]|(?i:chapter\\s*[0-9]+))')),
+f AS (SELECT doc_id, t, min(pos) AS pos FROM h GROUP BY ALL),
+a AS (SELECT doc_id, t, pos FROM h UNION ALL SELECT doc_id, t, 0 FROM f WHERE regexp_matches(substr(t, 1, pos), '[^\\s]') UNION ALL SELECT doc_id, t, 0 FROM d WHERE doc_id NOT IN (SELECT doc_id FROM f) AND regexp_matches(t, '[^\\s]')),
+c AS (SELECT doc_id, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(t)) - pos AS size FROM a),
+g AS (SELECT doc_id, count(*) AS chapters, list(size ORDER BY size) AS sizes, max(size) AS longest, count(*) FILTER (size > 5000) AS over FROM c GROUP BY doc_id)
+SELECT d.doc_id, strlen(t) AS bytes, length(t) AS chars, len(string_split(t, chr(10))) AS lines, coalesce(chapters, 0) AS chapters, sizes[CAST(floor(chapters / 2) AS BIGINT) + 1] AS median_chapter, longest AS longest_chapter, coalesce(over, 0) AS over_5000 FROM d LEFT JOIN g USING (doc_id)""",
     "content_hashes": "SELECT doc_id, 'txt-v1:' || sha256(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content_hash FROM documents",
     "token_counts": f"SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOK}) AS token FROM documents) GROUP BY token",
     "document_lengths": f"SELECT count(*) AS n_docs, round(avg(len({_TOK})), 6) AS avg_len FROM documents",
@@ -307,4 +342,4 @@ t AS (SELECT unnest([0.05, 0.15, 0.25, 0.35])::DOUBLE AS threshold),
 y AS (SELECT threshold, jaccard >= threshold AS taken, seq % 2 = 0 AS relevant FROM x, t)
 SELECT threshold, round(avg(CASE WHEN taken THEN 1.0 ELSE 0.0 END) FILTER (WHERE relevant), 6) AS relevant_recall, round(avg(CASE WHEN taken THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT relevant), 6) AS irrelevant_inject,
   count(*) FILTER (WHERE relevant) AS relevant, count(*) FILTER (WHERE NOT relevant) AS irrelevant FROM y GROUP BY threshold""",
-} | derived.ORACLES
+} | derived.ORACLES | records.ORACLES

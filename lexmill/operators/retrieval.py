@@ -136,9 +136,11 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, metric:
 def nearest_texts(docs: DataFrame, queries: DataFrame, k: int = 10, dims: int = DIMS, embedder: Embedder = embed) -> DataFrame:
     """The same for texts under an embedder, L2 distance; null texts count as empty.
 
-    All texts are embedded once, whatever the number of query blocks.
+    More than one block of queries finds the texts embedded once and written; one block embeds them as it scans.
     """
-    rows = materialize(embed_texts(docs.select("doc_id", "text"), dims, embedder), "embedded")
+    rows = embed_texts(docs.select("doc_id", "text"), dims, embedder)
+    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        rows = materialize(rows, "embedded")
     asked = embed_texts(queries.select(F.col("query_id").alias("doc_id"), "text"), dims, embedder)
     return _by_blocks(rows, asked.select(F.col("doc_id").alias("query_id"), "embedding"), k, "l2", dims)
 
