@@ -230,3 +230,60 @@ def test_points_meet_ranges_that_span_cells(spark):
     points = spark.createDataFrame([(1, p) for p in (0, 8191, 8192, 19_999, 20_000, 20_001)] + [(2, 8191), (2, 8192), (2, 8193)], "k long, p int")
     got = sorted((r["k"], r["p"], r["name"]) for r in conversation.point_in_range(points, ranges, "k", "p", "s", "e").collect())
     assert got == [(1, 0, "a"), (1, 8191, "a"), (1, 8192, "a"), (1, 19_999, "a"), (1, 20_000, "b"), (2, 8191, "c"), (2, 8192, "c")]
+
+
+def plain_bounds(text, lo, hi):
+    """Paragraph bounds of a text without chapters, line by line."""
+    start = lo
+    while start > 0 and text[start - 1] != "\n":
+        start -= 1
+    while start > 0:
+        before = text[: start - 1].rfind("\n") + 1
+        if not text[before : start - 1].strip():
+            break
+        start = before
+    end = hi
+    while end < len(text):
+        stop = text.find("\n", end)
+        if stop < 0:
+            return start, len(text)
+        if not text[end:stop].strip():
+            return start, end
+        end = stop + 1
+    return start, len(text)
+
+
+def test_hits_are_widened_to_their_paragraphs(spark):
+    r = np.random.default_rng(12)
+    docs, hits = [], []
+    for d in range(25):
+        paragraphs = ["\n".join("w" * int(r.integers(1, 60)) for _ in range(int(r.integers(1, 6)))) for _ in range(int(r.integers(1, 7)))]
+        text = str(r.choice(["\n\n", "\n \t\n", "\n\n\n"])).join(paragraphs)
+        docs.append((d, text))
+        for k in range(4):
+            lo = int(r.integers(0, len(text)))
+            hits.append((d % 3, d, f"c{k}", lo, min(len(text), lo + int(r.integers(1, 30)))))
+    df, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(hits, "request_id long, doc_id long, chunk_id string, start int, end int")
+    for cap in (10_000, 40):
+        want = set()
+        for d, text in docs:
+            ranges = []
+            for q, _, _, lo, hi in (h for h in hits if h[1] == d):
+                s, e = plain_bounds(text, lo, hi)
+                if e - s > cap:
+                    s = max(0, (lo + hi) // 2 - cap // 2)
+                    e = min(len(text), s + cap)
+                    s = max(0, e - cap)
+                ranges.append((s, e, q))
+            merged = []
+            for s, e, q in sorted(ranges):
+                if merged and s <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], e)
+                else:
+                    merged.append([s, e, q])
+            want |= {(q, d, s, e, text[s:e]) for s, e, q in merged}
+        got = {(x["request_id"], x["doc_id"], x["start"], x["end"], x["text"]) for x in evidence.expand_hits(df, asked, cap).collect()}
+        assert got == want
+    wide = spark.createDataFrame([(1, "第一章 a\n\n😀😀x😀\n第二章 b\ntail")], "doc_id long, text string")
+    one = evidence.expand_hits(wide, spark.createDataFrame([(7, 1, "c", 9, 11)], "request_id long, doc_id long, chunk_id string, start int, end int")).collect()
+    assert [(x["text"], x["chunk_ids"]) for x in one] == [("😀😀x😀\n", ["c"])]
