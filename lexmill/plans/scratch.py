@@ -34,11 +34,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return _written[-1]
 
 
-def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back."""
+def materialize(df: DataFrame, label: str, codec: str = "snappy", **options: int | str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder, with further ``options`` of the writer, and read it back."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
