@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from ..plans.scratch import discard, mark, materialize, new_path
 from .words import slices, utf8
 
 RATE = 8000
+SLICE = 512 << 10  # bytes of containers that are decoded at once
 PARTS = 8  # in which stored PCM is worked through where it is not the result
 UNIT = 192  # payload bytes come in multiples of this; also the nibble bytes of an ADPCM block
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 0x11}
@@ -184,50 +186,53 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
-def _media_slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    sizes = np.array([len(m) if m is not None else 0 for m in batch.column(column).to_pylist()], np.int64)
+def _media_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     yield from slices(np.concatenate([[0], np.cumsum(sizes)]), limit)
 
 
-def resample(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """All columns of ``media`` but the container, and pcm (16-bit little-endian), pcm_rate and codec of it; null for null media."""
-    names = [f.name for f in media.schema if f.name != media_col]
+def _resampled(batches: Iterator[pa.RecordBatch], media_col: str = "media") -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index(media_col)
+        names = [n for n in batch.schema.names if n != media_col]
+        for i, j in _media_slices(batch.column(at)):
+            part = batch.slice(i, j - i)
+            items = part.column(at).to_pylist()
+            pcm = iter(decode_media([m for m in items if m is not None]))
+            stored = [None if m is None else double_rate(next(pcm)).astype("<i2").tobytes() for m in items]
+            heads = [(None, None) if m is None else read_wav(m)[:2] for m in items]
+            own = [pa.array(stored, pa.binary()), pa.array([None if r is None else 2 * r for _, r in heads], pa.int32()), pa.array([NAMES.get(t) for t, _ in heads], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *own], [*names, "pcm", "pcm_rate", "codec"])
+
+
+def _with_pcm(fields: list[tuple[str, str]]) -> str:
+    return "".join(f"`{name}` {kind}, " for name, kind in fields if name != "media") + "pcm binary, pcm_rate int, codec string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(media_col)
-            for i, j in _media_slices(batch, at):
-                part = batch.slice(i, j - i)
-                items = part.column(at).to_pylist()
-                pcm = iter(decode_media([m for m in items if m is not None]))
-                stored = [None if m is None else double_rate(next(pcm)).astype("<i2").tobytes() for m in items]
-                heads = [(None, None) if m is None else read_wav(m)[:2] for m in items]
-                own = [pa.array(stored, pa.binary()), pa.array([None if r is None else 2 * r for _, r in heads], pa.int32()), pa.array([NAMES.get(t) for t, _ in heads], pa.string())]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *own], [*names, "pcm", "pcm_rate", "codec"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in media.schema if f.name != media_col)
-    return media.mapInArrow(run, f"{fields}pcm binary, pcm_rate int, codec string")
+def resample(media: DataFrame) -> DataFrame:
+    """All columns of ``media`` but the container (column media), and pcm (16-bit little-endian), pcm_rate and codec of it; null for null media."""
+    return media.mapInArrow(_resampled, _with_pcm([(f.name, f.dataType.simpleString()) for f in media.schema]))
 
 
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media binary"
 DIGEST = MEDIA.removesuffix("media binary") + "feature string"
 
 
-def media_digests(stored: DataFrame) -> DataFrame:
-    """Digests of the payload and of the container of a stored table (doc_id, n_bytes, media), and the container."""
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j in _media_slices(batch.column(2)):
+            part, rows = batch.slice(i, j - i), []
+            for media in part.column(2).to_pylist():
+                payload = payload_of(media)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            own = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, part.column(2)], [f.split()[0] for f in MEDIA.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j in _media_slices(batch, 2, 8 << 20):
-                part, rows = batch.slice(i, j - i), []
-                for media in part.column(2).to_pylist():
-                    payload = payload_of(media)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                own = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, part.column(2)], [f.split()[0] for f in MEDIA.split(", ")])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, MEDIA)
+def media_digests(stored: DataFrame) -> DataFrame:
+    """Digests of the payload and of the container of a stored table (doc_id, n_bytes, media), and the container's PCM; one worker a task does both."""
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(lambda batches: _resampled(_digested(batches)), _with_pcm([tuple(f.split()) for f in MEDIA.split(", ")]))
 
 
 def pcm_features(stored: DataFrame) -> DataFrame:
@@ -251,9 +256,9 @@ def pcm_features(stored: DataFrame) -> DataFrame:
     return stored.mapInArrow(run, f"{fields}feature string")
 
 
-def store_pcm(media: DataFrame) -> DataFrame:
-    """The resampled PCM of stored containers, written to the shared folder and read back."""
-    return materialize(resample(media), "pcm", codec="zstd")
+def store_pcm(pcm: DataFrame) -> DataFrame:
+    """A table with PCM, written to the shared folder in small row groups and read back."""
+    return materialize(pcm, "pcm", codec="zstd", **{"parquet.block.size": 16 << 20})
 
 
 def audio_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> DataFrame:
@@ -265,7 +270,7 @@ def audio_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, begun = docs.sparkSession, mark()
     media = materialize(store_texts(docs, id_col, text_col), "media", codec="zstd")
     out, files = new_path(spark, "audio-digests"), sorted(media.inputFiles())
-    media_digests(media.limit(0)).withColumn("feature", F.lit("")).drop("media").write.parquet(out)
+    pcm_features(media_digests(media.limit(0))).write.parquet(out)
     for k in range(min(parts, len(files))):
         since = mark()
         part = spark.read.schema(media.schema).parquet(*files[k::parts])

@@ -90,7 +90,7 @@ def test_audio_is_read_back_whole(docs):
 
 def test_stored_pcm_is_what_a_scalar_decoder_and_filter_make(spark, docs):
     media = telephony.store_texts(docs)
-    stored = {r["doc_id"]: r for r in telephony.store_pcm(media).collect()}
+    stored = {r["doc_id"]: r for r in telephony.store_pcm(telephony.resample(media)).collect()}
     features = {r["doc_id"]: r["feature"] for r in telephony.audio_documents(docs, parts=2).collect()}
     for r in media.collect():
         tag, rate, _, data = telephony.read_wav(bytes(r["media"]))
