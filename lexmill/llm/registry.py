@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, near_dedup, packing, quality, repeats, telephony, token_counts, url_model
+from . import chat, exact_dedup, hard_negatives, language, mixing, near_dedup, packing, quality, repeats, telephony, token_counts, url_model, whitening
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -65,9 +65,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_media_columns, op2_url_filter, op3_source_mixing, op4_language_id, op5_chat_format, op6_near_duplicates, op7_repeated_passages, op8_quality_rules, op9_packing, op10_token_counts)
+    for f in (op1_media_columns, op2_url_filter, op3_source_mixing, op4_language_id, op5_chat_format, op6_near_duplicates, op7_repeated_passages, op8_quality_rules, op9_packing, op10_token_counts, op11_hard_negatives, op12_exact_duplicates, op13_whitening)
 }
 QUERIES["quality_ablations"] = quality_ablations
 
@@ -146,6 +158,20 @@ e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node WHERE reach.root < e.b)
 SELECT n.doc_id, n.n AS n_shingles, min(reach.root) AS component_id, min(reach.root) = n.doc_id AS kept
 FROM n JOIN reach ON reach.node = n.doc_id GROUP BY n.doc_id, n.n
+""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id AS id, CAST(list_inner_product(a.x, v.x) AS BIGINT) AS score
+  FROM v a JOIN v ON v.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+""",
+    "op12_exact_duplicates": r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
 """,
     "op7_repeated_passages": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
