@@ -10,6 +10,8 @@ from .functions import answers as A
 from .functions import text as T
 from .functions import vectors as V
 from .operators import chunks, conversation, lookup, retrieval, scoring
+from .plans.postings import Postings, build_postings
+from .plans.scratch import new_path
 from .streaming import batches
 
 WORDS = "[a-z][a-z0-9''-]+"  # as SQL text
@@ -48,6 +50,12 @@ def bm25_topk(spark, d):
     return retrieval.bm25(_read(spark, d, "documents"), _items(spark, d)).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
+def stored_bm25_topk(spark, d):
+    path = new_path(spark, "postings")
+    build_postings(_read(spark, d, "documents"), path)
+    return Postings(spark, path).search(_items(spark, d)).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
 def bm25_evaluation(spark, d):
     docs, items = _read(spark, d, "documents"), _items(spark, d)
     return retrieval.evaluate(retrieval.bm25(docs, items, 5), docs, items.select("query_id", F.col("text").alias("quote")))
@@ -66,6 +74,16 @@ def knn_cosine_topk(spark, d):
     return retrieval.nearest_vectors(*_vectors(spark, d), metric="cosine").withColumn("score", F.round("score", 4))
 
 
+def scoped_knn_topk(spark, d):
+    """Each stored vector belongs to an owner, book and version; a fifth of them were made by another model."""
+    v = _read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.expr("cast(vec_id % 3 as int)").alias("owner"), F.col("label").alias("book"), F.expr("concat('v', (vec_id div 3) % 2)").alias("version"), F.expr("if(vec_id % 5 = 0, 'b', 'a')").alias("fingerprint"))
+    path = new_path(spark, "scoped-vectors")
+    v.repartition(*retrieval.SCOPE).write.partitionBy(*retrieval.SCOPE).parquet(path)
+    stored = spark.read.schema("doc_id long, embedding array<float>, fingerprint string, owner int, book int, version string").parquet(path)
+    asked = v.filter("doc_id % 50 = 1").select(F.col("doc_id").alias("query_id"), "embedding", "owner", "book", "version", "fingerprint")
+    return retrieval.scoped_nearest(stored, asked).withColumn("score", F.round("score", 4))
+
+
 def rrf_fusion(spark, d):
     rows, queries = _vectors(spark, d)
     return retrieval.fuse(retrieval.nearest_vectors(rows, queries), retrieval.nearest_vectors(rows, queries, metric="cosine"), names=("l2", "cosine"))
@@ -191,7 +209,7 @@ def similarity_sweep(spark, d):
 
 
 _ALL = (
-    content_hashes, token_counts, document_lengths, chunk_offsets, corpus_profile, bm25_topk, bm25_evaluation, knn_l2_topk, knn_cosine_topk, rrf_fusion, retrieve_hybrid, retrieve_reranked, message_log,
+    content_hashes, token_counts, document_lengths, chunk_offsets, corpus_profile, bm25_topk, stored_bm25_topk, bm25_evaluation, knn_l2_topk, knn_cosine_topk, scoped_knn_topk, rrf_fusion, retrieve_hybrid, retrieve_reranked, message_log,
     compression_cuts, summary_caps, turn_similarity, question_classes, merged_sessions, latest_events, orders_as_of, chunk_of_offset, unlabelled_documents, labelled_documents, value_percentiles,
     count_or_time_batches, hourly_events, file_sizes, capped_summaries, answer_styles, first_word_mentions, trimmed_chunks, fitting_turns, limited_calls, similarity_sweep,
 )
@@ -267,6 +285,11 @@ WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents),
 c AS (SELECT doc_id, text, n, unnest(CASE WHEN n <= 1800 THEN [0] ELSE range(0, CAST(ceil((n - 1200) / 960.0) AS BIGINT) + 1) END) AS i FROM d)
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(960 * i AS INTEGER) AS start, CAST(CASE WHEN n <= 1800 THEN n ELSE least(960 * i + 1200, n) END AS INTEGER) AS "end",
   sha256(substr(text, 960 * i + 1, CASE WHEN n <= 1800 THEN n ELSE 1200 END)) AS text_sha256 FROM c WHERE n > 0""",
+    "scoped_knn_topk": f"""
+WITH v AS (SELECT vec_id, embedding, vec_id % 3 AS owner, label AS book, (vec_id // 3) % 2 AS version, vec_id % 5 = 0 AS fp FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round({_KNN}, 9) AS l2 FROM v a JOIN v b USING (owner, book, version, fp) WHERE a.vec_id % 50 = 1)
+SELECT query_id, doc_id, round(l2, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY l2, doc_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 10""",
+    "stored_bm25_topk": f"{_BM25} SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 10",
     "bm25_topk": f"{_BM25} SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM hits WHERE rank <= 10",
     "bm25_evaluation": f"""{_BM25},
 f AS (SELECT query_id, min(rank) AS rank FROM hits JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id

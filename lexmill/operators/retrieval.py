@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, tokens
-from ..functions.vectors import DIMS, Embedder, embed, embed_texts
+from ..functions.vectors import DIMS, Embedder, embed, embed_texts, l2_distance
 from ..plans.scratch import materialize, new_path
 
 K1, B, RRF = 1.5, 0.75, 60
@@ -145,6 +145,22 @@ def nearest_texts(docs: DataFrame, queries: DataFrame, k: int = 10, dims: int =
     return _by_blocks(rows, asked.select(F.col("doc_id").alias("query_id"), "embedding"), k, "l2", dims)
 
 
+SCOPE = ("owner", "book", "version")
+
+
+def scoped_nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, scope: tuple[str, ...] = SCOPE) -> DataFrame:
+    """query_id, doc_id, score (L2 distance) and rank of the ``k`` nearest rows of each query's own scope.
+
+    ``vectors`` (doc_id, fingerprint, embedding and the scope's columns) is a table partitioned by the scope: the queries' scopes
+    prune its partitions as the query runs, and the limit is applied within each task before anything is shuffled.  Rows
+    of another fingerprint than the query's are refused, as are vectors of another length: they are not comparable.
+    """
+    asked = queries.select("query_id", *(F.col(c) for c in scope), F.col("fingerprint").alias("_fp"), F.col("embedding").alias("_q"))
+    both = vectors.join(asked, list(scope)).filter((F.col("fingerprint") == F.col("_fp")) & (F.size("embedding") == F.size("_q")))
+    scored = both.select("query_id", "doc_id", F.round(l2_distance(F.col("embedding"), F.col("_q")), 9).alias("score"))
+    return top(scored, "query_id", F.col("score"), F.col("doc_id"), k=k)
+
+
 def _by_blocks(rows: DataFrame, queries: DataFrame, k: int, metric: str, dims: int) -> DataFrame:
     """One scan of the rows for each block of queries; the driver holds one block at a time, and its results are written."""
     matrix = lambda c: np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
