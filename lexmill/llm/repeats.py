@@ -38,7 +38,8 @@ FLANK = LENGTH - GRAM
 BUCKET_BYTES = 128 << 20
 _U = np.uint64
 _STEP = _U(0xD6E8FEB86659FD93)
-KEY = ["doc", "sig"]
+KEY = ["doc", "sig", "tie"]  # the id, and 128 bits of the text
+LEADER = ["f", "f_sig", "f_tie"]
 
 
 def run_hashes(h: np.ndarray, length: int) -> np.ndarray:
@@ -122,38 +123,38 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(part: pa.RecordBatch, w: Words) -> pa.RecordBatch:
     row, ordinal, at, gram, before, starts, again = anchors_of(w)
-    keys = [part.column(k).take(pa.array(row)) for k in (0, 1)]
+    keys = [part.column(k).take(pa.array(row)) for k in (0, 1, 2)]
     return pa.RecordBatch.from_arrays(
         [*keys, pa.array(ordinal.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(before.astype(np.int8)), pa.array(starts.astype(np.int8)), pa.array(again)],
-        ["doc", "sig", "ordinal", "at", "gram", "before", "starts", "again"],
+        ["doc", "sig", "tie", "ordinal", "at", "gram", "before", "starts", "again"],
     )
 
 
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chains of each document's seeds: neighbouring anchors with one leader on one diagonal."""
     for batch in batches:
-        bounds, seeds = _lists(batch.column(2))
-        s = {f: seeds.field(f).to_numpy(zero_copy_only=False) for f in ("ordinal", "at", "f", "f_sig", "f_at")}
+        bounds, seeds = _lists(batch.column(3))
+        s = {f: seeds.field(f).to_numpy(zero_copy_only=False) for f in ("ordinal", "at", "f", "f_sig", "f_tie", "f_at")}
         row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
         order = np.lexsort((s["ordinal"], row))
         row, s = row[order], {k: v[order] for k, v in s.items()}
         other = s["f"] != batch.column(0).to_numpy(zero_copy_only=False)[row]
         row, s = row[other], {k: v[other] for k, v in s.items()}
         head = np.ones(len(row), bool)
-        head[1:] = (np.diff(row) != 0) | (np.diff(s["ordinal"]) != 1) | (np.diff(s["f"]) != 0) | (np.diff(s["f_sig"]) != 0) | (np.diff(s["f_at"] - s["at"]) != 0)
+        head[1:] = (np.diff(row) != 0) | (np.diff(s["ordinal"]) != 1) | (np.diff(s["f"]) != 0) | (s["f_sig"][1:] != s["f_sig"][:-1]) | (s["f_tie"][1:] != s["f_tie"][:-1]) | (np.diff(s["f_at"] - s["at"]) != 0)
         a = np.flatnonzero(head)
         z = np.append(a[1:], len(row))[: len(a)] - 1
-        keys = [batch.column(k).take(pa.array(row[a])) for k in (0, 1)]
+        keys = [batch.column(k).take(pa.array(row[a])) for k in (0, 1, 2)]
         ints = [s["at"][a], s["at"][z] + GRAM, s["f_at"][a], s["f_at"][z] + GRAM]
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(s["f"][a]), pa.array(s["f_sig"][a]), *(pa.array(x.astype(np.int32)) for x in ints)], ["doc", "sig", "f", "f_sig", "start", "stop", "f_start", "f_stop"])
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(s["f"][a]), pa.array(s["f_sig"][a]), pa.array(s["f_tie"][a]), *(pa.array(x.astype(np.int32)) for x in ints)], ["doc", "sig", "tie", "f", "f_sig", "f_tie", "start", "stop", "f_start", "f_stop"])
 
 
-CHAINS = "doc long, sig int, f long, f_sig int, start int, stop int, f_start int, f_stop int"
+CHAINS = "doc long, sig long, tie long, f long, f_sig long, f_tie long, start int, stop int, f_start int, f_stop int"
 
 
 def _flank_rows(part: pa.RecordBatch, w: Words) -> pa.RecordBatch:
     """The hashes of up to FLANK words outward from each wanted place (2 * position + side), nearest first."""
-    bounds, want = _lists(part.column(2))
+    bounds, want = _lists(part.column(3))
     want = want.to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
     at, right = w.first[row] + want // 2, want % 2
@@ -164,7 +165,7 @@ def _flank_rows(part: pa.RecordBatch, w: Words) -> pa.RecordBatch:
     flat = h[np.repeat(at, size) + np.where(way == 1, step, -1 - step)].astype("<u8").tobytes()
     ends = np.concatenate([[0], np.cumsum(size * 8)]).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-    return pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in (0, 1)), pa.array(want.astype(np.int32)), words], ["doc", "sig", "want", "words"])
+    return pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in (0, 1, 2)), pa.array(want.astype(np.int32)), words], ["doc", "sig", "tie", "want", "words"])
 
 
 def common_prefix(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -180,14 +181,14 @@ def _extend_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 5000):
             part = batch.slice(at, 5000)
-            by = common_prefix(part.column(5).to_pylist(), part.column(6).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(5)), pa.array(by.astype(np.int32))], ["doc", "sig", "start", "stop", "side", "by"])
+            by = common_prefix(part.column(6).to_pylist(), part.column(7).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(6)), pa.array(by.astype(np.int32))], ["doc", "sig", "tie", "start", "stop", "side", "by"])
 
 
 def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of passage starts without verdict: the passage's own minimum is shared, not led by the document alone, and no match lies over it."""
     for batch in batches:
-        bounds, seeds = _lists(batch.column(2))
+        bounds, seeds = _lists(batch.column(3))
         s = {f: seeds.field(f).to_numpy(zero_copy_only=False) for f in ("at", "f", "f_again", "before", "starts")}
         row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
         mine = (s["f"] == batch.column(0).to_numpy(zero_copy_only=False)[row]) & ~s["f_again"].astype(bool)
@@ -205,7 +206,7 @@ def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return np.cumsum(edge)[:size] > 0
 
         open_ = spread(row, at - before, at - before + starts)
-        m_bounds, matches = _lists(batch.column(3))
+        m_bounds, matches = _lists(batch.column(4))
         m_row = np.repeat(np.arange(batch.num_rows), np.diff(m_bounds))
         if len(m_row):
             lo, hi = (matches.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "hi"))
@@ -213,13 +214,13 @@ def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.diff(np.concatenate([[0], open_.astype(np.int8), [0]]))
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         owner = np.searchsorted(base, lo, "right") - 1
-        keys = [batch.column(k).take(pa.array(owner)) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*keys, pa.array((lo - base[owner]).astype(np.int32)), pa.array((hi - base[owner]).astype(np.int32))], ["doc", "sig", "lo", "hi"])
+        keys = [batch.column(k).take(pa.array(owner)) for k in (0, 1, 2)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array((lo - base[owner]).astype(np.int32)), pa.array((hi - base[owner]).astype(np.int32))], ["doc", "sig", "tie", "lo", "hi"])
 
 
 def _passage_rows(part: pa.RecordBatch, w: Words) -> pa.RecordBatch:
     """Two hashes, 128 bits together, for each passage that starts in the ranges of its row."""
-    bounds, ranges = _lists(part.column(2))
+    bounds, ranges = _lists(part.column(3))
     lo, hi = (ranges.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "hi"))
     owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
     hi = np.minimum(hi, np.diff(w.first)[owner] - LENGTH + 1)
@@ -227,7 +228,7 @@ def _passage_rows(part: pa.RecordBatch, w: Words) -> pa.RecordBatch:
     at, row = ragged(lo, size), np.repeat(owner, size)
     words = w.hashes()
     h = [run_hashes(x, LENGTH)[at + w.first[row]] for x in (words, mix(words ^ _U(0x9FB21C651E98DF25)))]
-    return pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in (0, 1)), pa.array(at.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in h)], ["doc", "sig", "lo", "passage", "also"])
+    return pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in (0, 1, 2)), pa.array(at.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in h)], ["doc", "sig", "tie", "lo", "passage", "also"])
 
 
 def _kept_rows(part: pa.RecordBatch, w: Words) -> pa.RecordBatch:
@@ -277,37 +278,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing and no other row loses anything to them.  Rows that share an id never lose words to each other;
     each is judged by its own text.  An empty table gives an empty result.
     """
-    sig = F.hash(F.coalesce(F.col(text_col), F.lit("")))
-    whole = docs.select(F.col(id_col).cast("long").alias("doc"), sig.alias("sig"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    half = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc"), half(1).alias("sig"), half(17).alias("tie"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     spark, since = docs.sparkSession, mark()
     said = F.col("row").getField(text_col).alias("text")
     texts = _bucketed(whole, KEY, F.octet_length(said))
     text = texts.select(*KEY, said)
 
-    anchors = text.filter("doc IS NOT NULL").mapInArrow(_by_slice(_anchor_rows, 2), "doc long, sig int, ordinal int, at int, gram long, before byte, starts byte, again boolean")
+    anchors = text.filter("doc IS NOT NULL").mapInArrow(_by_slice(_anchor_rows, 3), "doc long, sig long, tie long, ordinal int, at int, gram long, before byte, starts byte, again boolean")
     anchors = materialize(anchors, "anchors")
-    # Position, repetition and key of an occurrence in one number, so that the minimum aggregates in hash maps.
-    packed = F.expr("shiftleft(cast(at as bigint), 33) | shiftleft(cast(again as bigint), 32) | (cast(sig as bigint) & 4294967295)")
-    leaders = anchors.groupBy("gram").agg(F.min("doc").alias("f"), F.max("doc").alias("most"), F.min_by(packed, "doc").alias("p")).filter("f < most")
-    leaders = leaders.select("gram", "f", F.expr("cast(if(p & 2147483648 = 0, p & 4294967295, (p & 4294967295) - 4294967296) as int)").alias("f_sig"), F.expr("shiftright(p, 33)").cast("int").alias("f_at"), F.expr("(shiftright(p, 32) & 1) = 1").alias("f_again"))
+    # Numbers only, so that the minima aggregate in hash maps; the four are those of one row, the first with the least id.
+    place = (2 * F.col("at").cast("long") + F.col("again").cast("long")).alias("place")
+    leaders = anchors.select("gram", "doc", "sig", "tie", place).groupBy("gram").agg(F.min("doc").alias("f"), F.max("doc").alias("most"), *(F.min_by(c, "doc").alias(f"f_{c}") for c in ("sig", "tie", "place"))).filter("f < most")
+    leaders = leaders.select("gram", "f", "f_sig", "f_tie", F.expr("cast(f_place div 2 as int)").alias("f_at"), (F.col("f_place") % 2 == 1).alias("f_again"))
     leaders = materialize(leaders, "leaders")
-    seeds = anchors.join(leaders, "gram").groupBy(*KEY).agg(F.collect_set(F.struct("ordinal", "at", "before", "starts", "f", "f_sig", "f_at", "f_again")).alias("seeds"))
+    seeds = anchors.join(leaders, "gram").groupBy(*KEY).agg(F.collect_set(F.struct("ordinal", "at", "before", "starts", "f", "f_sig", "f_tie", "f_at", "f_again")).alias("seeds"))
     seeds = materialize(seeds, "seeds")
     discard(spark, since, keep=("texts", "seeds"))
 
     chains = materialize(seeds.mapInArrow(_chain_rows, CHAINS), "chains")
-    ask = lambda doc, sig, at, side: F.struct(F.col(doc).alias("doc"), F.col(sig).alias("sig"), (2 * F.col(at) + side).alias("want"))
-    asked = chains.select(F.explode(F.array(ask("doc", "sig", "start", 0), ask("doc", "sig", "stop", 1), ask("f", "f_sig", "f_start", 0), ask("f", "f_sig", "f_stop", 1))).alias("q")).select("q.*").distinct()
+    ask = lambda of, at, side: F.struct(*(F.col(of[k]).alias(KEY[k]) for k in range(3)), (2 * F.col(at) + side).alias("want"))
+    asked = chains.select(F.explode(F.array(ask(KEY, "start", 0), ask(KEY, "stop", 1), ask(LEADER, "f_start", 0), ask(LEADER, "f_stop", 1))).alias("q")).select("q.*").distinct()
     wanted = asked.groupBy(*KEY).agg(F.collect_list("want").alias("want"))
-    flanks = text.join(wanted, KEY).select(*KEY, "want", "text").mapInArrow(_by_slice(_flank_rows, 3), "doc long, sig int, want int, words binary")
+    flanks = text.join(wanted, KEY).select(*KEY, "want", "text").mapInArrow(_by_slice(_flank_rows, 4), "doc long, sig long, tie long, want int, words binary")
     # Repeated rows give each flank once.  Done before the joins, so that a leader whom many ask for can be split there.
     flanks = materialize(flanks.dropDuplicates([*KEY, "want"]), "flanks")
     end = lambda side, at, f_at: F.struct(F.lit(side).alias("side"), (2 * F.col(at) + side).alias("want"), (2 * F.col(f_at) + side).alias("f_want"))
-    ends = chains.select(*KEY, "f", "f_sig", "start", "stop", F.explode(F.array(end(0, "start", "f_start"), end(1, "stop", "f_stop"))).alias("e")).select(*KEY, "f", "f_sig", "start", "stop", "e.*")
+    ends = chains.select(*KEY, *LEADER, "start", "stop", F.explode(F.array(end(0, "start", "f_start"), end(1, "stop", "f_stop"))).alias("e")).select(*KEY, *LEADER, "start", "stop", "e.*")
     ours = flanks.withColumnRenamed("words", "ours")
-    theirs = flanks.select(F.col("doc").alias("f"), F.col("sig").alias("f_sig"), F.col("want").alias("f_want"), F.col("words").alias("theirs"))
-    beside = ends.join(ours, [*KEY, "want"]).join(theirs, ["f", "f_sig", "f_want"]).select(*KEY, "start", "stop", "side", "ours", "theirs")
-    by = beside.mapInArrow(_extend_rows, "doc long, sig int, start int, stop int, side int, by int")
+    theirs = flanks.select(F.col("doc").alias("f"), F.col("sig").alias("f_sig"), F.col("tie").alias("f_tie"), F.col("want").alias("f_want"), F.col("words").alias("theirs"))
+    beside = ends.join(ours, [*KEY, "want"]).join(theirs, [*LEADER, "f_want"]).select(*KEY, "start", "stop", "side", "ours", "theirs")
+    by = beside.mapInArrow(_extend_rows, "doc long, sig long, tie long, start int, stop int, side int, by int")
     grown = by.groupBy(*KEY, "start", "stop").agg(F.sum(F.when(F.col("side") == 0, F.col("by")).otherwise(0)).alias("left"), F.sum(F.when(F.col("side") == 1, F.col("by")).otherwise(0)).alias("right"))
     matches = grown.select(*KEY, (F.col("start") - F.col("left")).cast("int").alias("lo"), (F.col("stop") + F.col("right")).cast("int").alias("hi"))
     matches = materialize(matches.filter(F.col("hi") - F.col("lo") >= LENGTH), "matches")
@@ -316,9 +318,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = "array<struct<lo: int, hi: int>>"
     by_doc = matches.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("matches"))
     none = F.array().cast(ranges)
-    undecided = seeds.join(by_doc, KEY, "left").select(*KEY, "seeds", F.coalesce("matches", none).alias("matches")).mapInArrow(_open_rows, "doc long, sig int, lo int, hi int")
+    undecided = seeds.join(by_doc, KEY, "left").select(*KEY, "seeds", F.coalesce("matches", none).alias("matches")).mapInArrow(_open_rows, "doc long, sig long, tie long, lo int, hi int")
     undecided = undecided.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    passages = text.join(undecided, KEY).select(*KEY, "ranges", "text").mapInArrow(_by_slice(_passage_rows, 3), "doc long, sig int, lo int, passage long, also long")
+    passages = text.join(undecided, KEY).select(*KEY, "ranges", "text").mapInArrow(_by_slice(_passage_rows, 4), "doc long, sig long, tie long, lo int, passage long, also long")
     passages = materialize(passages, "passages")
     least = passages.groupBy("passage", "also").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("passage", "also", "least")
     discard(spark, since, keep=("texts", "matches", "passages"))
