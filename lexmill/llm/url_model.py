@@ -6,9 +6,9 @@ k - 1 as far as its context is rare: p_k = (n(context, c) + M p_{k-1}) / (n(cont
 unseen context leaves the lower order as it is.  A URL's score is the difference of its two
 log-likelihoods divided by its length.
 
-The threshold is calibrated on labelled URLs scored by models of the other half of them
-(even and odd ids), so that no URL is scored by counts of its own: it is the bin edge
-with the least sum of the two error rates.
+The threshold is calibrated on labelled URLs scored by models of the other half of them (by a hash
+of host and path, so all copies of a URL are in one half and no URL is scored by counts of its own): it is the
+bin edge with the least sum of the two error rates.  Ids play no part in a verdict.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _START = "\x02"
 _BLOCK = 256
 _URL = "://([^/?#]*)([^?#]*)"
-_COUNTS = ("a0", "a1", "b0", "b1")  # allow or block, in ids of fold 0 or 1
+_COUNTS = ("a0", "a1", "b0", "b1")  # allow or block, in URLs of fold 0 or 1
 
 
 def host_of(url: Column) -> Column:
@@ -110,10 +110,11 @@ def judge_urls(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str =
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, says = best_rule(F.col("host"), F.col("path"), rules)
     text = F.concat("host", "path")
-    fold = F.coalesce(F.pmod(F.col("page_id").cast("long"), F.lit(2)), F.lit(0))
-    # Equal (url, fold) pairs have equal scores: each is scored once, however many rows share it.
+    digest = F.md5(F.concat("host", "path"))  # no host has a slash and every path begins with one: the two can be told apart
+    fold = F.conv(F.substring(digest, 32, 1), 16, 10).cast("int") % 2
+    # Equal URLs have equal scores: each is scored once, however many rows share it.
     urls = rows.select("host", "path", rule.alias("rule"), says.alias("says"), text.alias("text"), fold.alias("fold"))
-    distinct = materialize(urls.groupBy("text", "host", "path", "rule", "says", "fold").agg(F.count("*").alias("copies")).withColumn("uid", F.xxhash64("host", "path", "fold")), "urls")
+    distinct = materialize(urls.groupBy("text", "host", "path", "rule", "says", "fold").agg(F.count("*").alias("copies")).withColumn("uid", F.unhex(digest)), "urls")
     pieces = distinct.select("uid", "says", "fold", "copies", F.explode(grams(F.col("text"), order)).alias("gram"))
     mine = [F.sum(F.when((F.col("says") == s) & (F.col("fold") == f), F.col("copies")).otherwise(0)).alias(c) for c, (s, f) in zip(_COUNTS, (("allow", 0), ("allow", 1), ("block", 0), ("block", 1)), strict=True)]
     # Unlabelled URLs' grams take part with zero counts, so every gram finds its ratio.
@@ -123,7 +124,7 @@ def judge_urls(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str =
     sums = pieces.select("uid", "fold", "gram").join(ratio, "gram").groupBy("uid").agg(F.round(F.avg("full"), 6).alias("score"), F.round(F.avg(own), 6).alias("cross"))
     scored = materialize(distinct.join(sums, "uid", "left"), "url-scores")
     threshold = calibrate(scored.filter("says IS NOT NULL AND cross IS NOT NULL").select("says", F.col("cross").alias("score"), "copies"))
-    by_url = scored.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("fold").alias("_f"), "rule", "says", F.coalesce("score", F.lit(0.0)).alias("score"))
+    by_url = scored.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "rule", "says", F.coalesce("score", F.lit(0.0)).alias("score"))
     verdict = F.coalesce(F.col("says"), F.when((F.length("host") + F.length("path") > 0) & (F.col("score") >= threshold), "allow").otherwise("block"))
-    both = rows.withColumn("_fold", fold).join(by_url, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")) & (F.col("_fold") == F.col("_f")))
+    both = rows.join(by_url, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")))
     return both.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

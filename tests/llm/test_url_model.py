@@ -1,5 +1,6 @@
 """The URL model against a plain version: counts, backing off, cross-fitted scores, threshold and verdicts."""
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -56,7 +57,7 @@ class Model:
 
 def plain(pages):
     rows = [(i, *split(u)) for i, u in pages]
-    urls = Counter((h, p, (i or 0) % 2) for i, h, p in rows)
+    urls = Counter((h, p, int(hashlib.md5((h + p).encode()).hexdigest()[-1], 16) % 2) for _, h, p in rows)
     labelled = [(h + p, rule_of(h, p)[1], f, n) for (h, p, f), n in urls.items()]
     model = Model([u for u in labelled if u[1]])
     cross = [(says, model.score(text, [1 - f]), n) for text, says, f, n in labelled if says and text]
@@ -104,3 +105,12 @@ def test_grams_of_long_texts_are_all_there(spark):
     text = "".join(chr(97 + k % 23) for k in range(1500)) + "é漢"
     got = spark.createDataFrame([(text,)], "t string").select(url_model.grams(F.col("t"))).first()[0]
     assert got == [context + c for context, c in Model.steps(text)]
+
+
+def test_ids_play_no_part_in_a_verdict(spark):
+    urls = [u for _, u in cases(spark)["real"]]
+    judged = lambda ids, kind: Counter(tuple(r) for r in url_model.judge_urls(spark.createDataFrame(list(zip(ids, urls, strict=True)), f"page_id {kind}, url string")).select("host", "path", "rule", "verdict", "score").collect())
+    want = judged(range(len(urls)), "long")
+    assert judged((2 * i for i in range(len(urls))), "long") == want
+    assert judged((None for _ in urls), "long") == want
+    assert judged((f"p{i // 7}" for i in range(len(urls))), "string") == want
