@@ -98,14 +98,14 @@ SELECT conv_id, turn, CASE WHEN reason IS NULL THEN 'candidate' WHEN reason IN (
 
 
 COMMANDS = """
-SELECT user_id, user_id % 3 AS scope_id, CASE event_id % 2 WHEN 0 THEN 'preference.language' ELSE 'fact.role' END AS key, event_id AS order_id,
+SELECT user_id, CASE user_id % 3 WHEN 0 THEN CAST(NULL AS BIGINT) WHEN 1 THEN CAST(9007199254740993 AS BIGINT) ELSE user_id % 3 END AS scope_id, CASE event_id % 2 WHEN 0 THEN 'preference.language' ELSE 'fact.role' END AS key, event_id AS order_id,
   CASE event_id % 17 WHEN 0 THEN 'completed' WHEN 1 THEN 'expired' ELSE 'active' END AS status, CASE event_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'de' END AS value,
   CASE event_id % 19 WHEN 0 THEN 'user_edit' WHEN 1 THEN 'user_confirmation' ELSE 'user_message' END AS source_type, CASE event_id % 3 WHEN 0 THEN 'inferred' ELSE 'explicit' END AS statement_type,
   CASE event_id % 7 WHEN 0 THEN 'unknown' ELSE 'stable' END AS stability, event_id % 4 = 0 AS reopen FROM {events}"""
 
 
 def memory_states(spark, d):
-    return memory.apply_candidates(_input(spark, d, COMMANDS)).select("user_id", "scope_id", "key", "status", "value", "revision", "source_type", "order_id")
+    return memory.apply_candidates(_input(spark, d, COMMANDS)).select("user_id", F.col("scope_id").cast("string").alias("scope_id"), "key", "status", "value", "revision", "source_type", "order_id")
 
 
 _STATES_SQL = f"""
@@ -119,8 +119,8 @@ s AS (SELECT user_id, scope_id, key, 0::BIGINT AS n, 'none' AS status, NULL::VAR
       NOT c.status IN ('completed', 'expired') AND NOT c.manual AND s.status = 'active' AND s.value = c.value AS same,
       NOT c.status IN ('completed', 'expired') AND (c.manual OR (s.status = 'active' AND s.value <> c.value AND c.order_id > s.order_id AND s.source_type = 'user_message' AND c.sure)
         OR (s.status IN ('completed', 'expired') AND c.reopen AND c.statement_type = 'explicit') OR (s.status = 'none' AND c.sure)) AS take
-    FROM s JOIN c ON s.user_id = c.user_id AND s.scope_id = c.scope_id AND s.key = c.key AND c.n = s.n + 1))
-SELECT user_id, scope_id, key, status, value, revision, source_type, order_id FROM s QUALIFY row_number() OVER (PARTITION BY user_id, scope_id, key ORDER BY n DESC) = 1"""
+    FROM s JOIN c ON s.user_id = c.user_id AND s.scope_id IS NOT DISTINCT FROM c.scope_id AND s.key = c.key AND c.n = s.n + 1))
+SELECT user_id, CAST(scope_id AS VARCHAR) AS scope_id, key, status, value, revision, source_type, order_id FROM s QUALIFY row_number() OVER (PARTITION BY user_id, scope_id, key ORDER BY n DESC) = 1"""
 
 
 MEMORIES = """

@@ -26,19 +26,6 @@ def assign_evidence(candidates: DataFrame) -> DataFrame:
     return first.withColumn("evidence_id", F.concat(F.lit("E"), number)).withColumn("verified", verified)
 
 
-def expand_ranges(hits: DataFrame, cap: int = 1500) -> DataFrame:
-    """Hits (group, floor, ceil, start, end, p_start, p_end) widened to their paragraph, cut around their middle at ``cap``, and merged by group.
-
-    floor and ceil bound the chapter, p_start and p_end the paragraphs around the hit.
-    """
-    middle = F.floor((F.col("start") + F.col("end")) / 2)
-    low = F.greatest(F.col("floor"), middle - cap // 2)
-    high = F.least(F.col("ceil"), low + cap)
-    wide = (F.col("p_end") - F.col("p_start")) > cap
-    rows = hits.select("group", F.when(wide, F.greatest(F.col("floor"), high - cap)).otherwise(F.col("p_start")).alias("start"), F.when(wide, high).otherwise(F.col("p_end")).alias("end"))
-    return merge_ranges(rows, "group", "start", "end")
-
-
 def paragraph(lines: list[tuple[int, int, bool]], text: str, lo: int, hi: int, floor: int, ceil: int) -> tuple[int, int]:
     """The stretch without blank lines around [lo, hi) within [floor, ceil): ``lines`` are (start, end, blank) of the text's lines."""
     starts = [a for a, _, _ in lines]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,11 +65,14 @@ def apply_candidates(candidates: DataFrame) -> DataFrame:
     An equal value refreshes; an older source is dropped; an explicit, stable one replaces what no person
     edited; everything else waits as a candidate; a closed item reopens only when asked explicitly.
     source_type ``user_edit`` and ``user_confirmation`` set the value, status ``completed`` and
-    ``expired`` close the item.  A key's history is folded by nature; its rows arrive sorted and
-    the state is one row, so a key of any length streams through in constant memory.
+    ``expired`` close the item.  A null scope_id is the scope of what holds for the user everywhere.
+    A key's history is folded by nature; its rows arrive sorted and stream through, and what is held
+    is one state and the key's distinct waiting values.
     """
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in STATE.split(", "))])
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, waiting, out = None, set(), []
 
         def close() -> None:
@@ -77,7 +80,7 @@ def apply_candidates(candidates: DataFrame) -> DataFrame:
                 out.append({**state, "n_candidates": len(waiting)})
 
         for batch in batches:
-            for r in batch.to_dict("records"):
+            for r in batch.to_pylist():
                 key = (r["user_id"], r["scope_id"], r["key"])
                 if state is None or (state["user_id"], state["scope_id"], state["key"]) != key:
                     close()
@@ -108,15 +111,16 @@ def apply_candidates(candidates: DataFrame) -> DataFrame:
                 else:
                     waiting.add(r["value"])
             if out:
-                yield pd.DataFrame(out)[[c.split()[0] for c in STATE.split(", ")]]
+                yield pa.RecordBatch.from_pylist(out, schema)
                 out.clear()
         close()
         if out:
-            yield pd.DataFrame(out)[[c.split()[0] for c in STATE.split(", ")]]
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     keys = ["user_id", "scope_id", "key"]
     columns = [*keys, "order_id", "status", "value", "source_type", "statement_type", "stability", "reopen"]
-    return candidates.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "order_id", "value").mapInPandas(fold, STATE)
+    typed = candidates.select(*(F.col(c).cast("long").alias(c) if c in ("user_id", "scope_id", "order_id") else F.col(c) for c in columns))
+    return typed.repartition(*keys).sortWithinPartitions(*keys, "order_id", "value").mapInArrow(fold, STATE)
 
 
 def recall(memories: DataFrame, questions: DataFrame, now: Column, threshold: float = RELEVANT, budget: int = BUDGET, vectors: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:

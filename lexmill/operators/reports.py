@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,10 +60,15 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def window_estimate(log: DataFrame, changes: DataFrame) -> DataFrame:
-    """conv_id and tokens: the sum of the log's tokens with later changes (conv_id, delta), never below 0."""
-    base, moved = log.groupBy("conv_id").agg(F.sum("tokens").alias("t")), changes.groupBy("conv_id").agg(F.sum("delta").alias("d"))
-    both = base.join(moved, "conv_id", "full_outer")
-    return both.select("conv_id", F.greatest(F.lit(0).cast("long"), F.coalesce("t", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("tokens"))
+    """conv_id and tokens: the sum of the log's tokens, then changes (conv_id, seq, delta) in order, never below 0 after any of them.
+
+    A sum that is held at 0 from below is the last prefix sum less the smallest one, where that is negative.
+    """
+    order = Window.partitionBy("conv_id").orderBy("seq", "delta").rowsBetween(Window.unboundedPreceding, 0)
+    moved = changes.withColumn("_s", F.sum("delta").over(order)).groupBy("conv_id").agg(F.sum("delta").alias("d"), F.min("_s").alias("low"))
+    both = log.groupBy("conv_id").agg(F.sum("tokens").alias("t")).join(moved, "conv_id", "full_outer")
+    start, zero = F.coalesce("t", F.lit(0).cast("long")), F.lit(0).cast("long")
+    return both.select("conv_id", (start + F.coalesce("d", zero) - F.least(zero, start + F.coalesce("low", zero))).alias("tokens"))
 
 
 def shown_answers(parts: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from ..plans.scratch import materialize, new_path
 
 K1, B, RRF = 1.5, 0.75, 60
 QUERY_BLOCK = 1024  # query vectors that a scan of the documents carries at once
-VOCABULARY = 20_000  # query tokens that are looked up within a document's row
+VOCABULARY = 20_000  # tokens of all queries together that are scored within a document's row
 
 
 def let(value: Column, body) -> Column:
@@ -57,20 +58,79 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, doc_id, score, rank of the ``k`` best documents (doc_id, text) of each query (query_id, text).
 
     A query is a bag: a token that occurs twice adds twice.  Every document is tokenised once; its row keeps its
-    length and the counts of the tokens that some query has, so a frequent token makes one posting a document,
-    and lengths and postings come from one written table.  Up to VOCABULARY query tokens are
-    looked up in the row; more of them meet the counted tokens in a semi join.
+    length and the counts of the tokens that some query has, in one written table.  Up to QUERY_BLOCK queries with
+    VOCABULARY tokens in all are scored within the documents' rows, each task keeping its best; only those are shuffled.
+    More of them meet the counted tokens in a join (or, better, a stored index: ``plans.postings``).  Documents
+    need ids of their own: a null id is not found, and two rows under one id would be two hits, or one with the sum.
     """
     asked = materialize(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")), "asked")
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), "w")
-    wanted = [r["token"] for r in asked.select("token").distinct().limit(VOCABULARY + 1).collect()]
-    if len(wanted) <= VOCABULARY:
-        words = words.withColumn("w", F.filter("w", lambda x: x.isin(wanted)) if wanted else F.slice("w", 1, 0))
-    counts = materialize(words.select("doc_id", "dl", counted(F.col("w")).alias("counts")), "term-counts")
+    rows = asked.limit(VOCABULARY + 1).collect()
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int") and len({r["query_id"] for r in rows}) <= QUERY_BLOCK
+    return _bm25_in_rows(words, rows, asked, k) if len(rows) <= VOCABULARY and whole else _bm25_by_join(words, asked, k)
+
+
+def _bm25_in_rows(words: DataFrame, rows: list, asked: DataFrame, k: int) -> DataFrame:
+    vocabulary, ids = sorted({r["token"] for r in rows}), sorted({r["query_id"] for r in rows})
+    spec = asked.select("query_id").schema["query_id"].dataType.simpleString()
+    counts = materialize(words.mapInArrow(_count_known(vocabulary), "doc_id long, dl int, terms array<int>, tfs array<int>"), "term-counts")
+    n_docs, avg_len = counts.agg(F.count("*"), F.avg("dl")).first()
+    df = np.zeros(len(vocabulary))
+    for r in counts.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # at most VOCABULARY rows
+        df[r["term"]] = r["count"]
+    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    place, number = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(ids)}
+    asks: list[tuple[list[int], list[float]]] = [([], []) for _ in ids]
+    for r in sorted(rows, key=lambda r: r["token"]):
+        at = place[r["token"]]
+        asks[number[r["query_id"]]][0].append(at)
+        asks[number[r["query_id"]]][1].append(r["times"] * idf[at])
+    queries = [(np.array(t), np.array(w)) for t, w in asks]
+    block = max(64, min(1024, (4 << 20) // max(len(vocabulary), 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(queries), k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                dl, edges = part.column(1).to_numpy().astype(np.float64), part.column(2).offsets.to_numpy()
+                row = np.repeat(np.arange(part.num_rows), np.diff(edges))
+                tf = part.column(3).flatten().to_numpy().astype(np.float64)
+                impact = np.zeros((len(vocabulary), part.num_rows))
+                impact[part.column(2).flatten().to_numpy(), row] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / float(avg_len or 1.0)))
+                score = np.stack([w @ impact[t] for t, w in queries])
+                best.add(part.column(0).to_numpy(), np.where(score > 0, -np.round(score, 9), np.nan))
+        best.prune()
+        yield pa.RecordBatch.from_arrays([pa.array(best.query.astype(np.int32)), pa.array(best.id), pa.array(-best.score)], ["q", "doc_id", "score"])
+
+    if not ids:
+        return asked.select("query_id").limit(0).selectExpr("query_id", "cast(null as long) AS doc_id", "cast(null as double) AS score", "cast(null as int) AS rank")
+    found = counts.filter("doc_id IS NOT NULL").mapInArrow(run, "q int, doc_id long, score double")
+    named = F.get(F.array(*(F.lit(q) for q in ids)).cast(f"array<{spec}>"), F.col("q"))
+    return top(found, "q", F.desc("score"), F.col("doc_id"), k=k).select(named.alias("query_id"), "doc_id", "score", "rank")
+
+
+def _count_known(vocabulary: list[str]):
+    """doc_id, the number of words, and the known words' places in the vocabulary with their numbers, of rows (doc_id, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = pa.array(vocabulary, pa.string()), max(len(vocabulary), 1)
+        for batch in batches:
+            edges = batch.column(1).offsets.to_numpy()
+            place = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=known), -1).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(edges))
+            cell, tf = np.unique(row[place >= 0] * n + place[place >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(cell, np.arange(batch.num_rows + 1) * n).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (cell % n, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.diff(edges).astype(np.int32)), *lists], ["doc_id", "dl", "terms", "tfs"])
+
+    return run
+
+
+def _bm25_by_join(words: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    counts = materialize(words.select("doc_id", F.size("w").alias("dl"), counted(F.col("w")).alias("counts")), "term-counts")
     stats = counts.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len")).first()
-    postings = counts.select("doc_id", "dl", F.explode("counts").alias("t")).select("doc_id", "dl", "t.token", "t.tf")
-    if len(wanted) > VOCABULARY:
-        postings = postings.join(asked.select("token").distinct(), "token", "left_semi")
+    postings = counts.select("doc_id", "dl", F.explode("counts").alias("t")).select("doc_id", "dl", "t.token", "t.tf").join(asked.select("token").distinct(), "token", "left_semi")
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (stats["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / float(stats["avg_len"] or 1.0)))

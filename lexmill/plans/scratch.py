@@ -8,12 +8,20 @@ checkpoint folder of the SparkContext.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of the tables written so far that have not been removed, in their order.
-_written: list[str] = []
+
+class _Own(threading.local):
+    """Paths of the tables that this thread has written and not removed, in their order: runs in other threads are not touched."""
+
+    def __init__(self) -> None:
+        self.written: list[str] = []
+
+
+_own = _Own()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -30,8 +38,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used."""
-    _written.append(f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return _written[-1]
+    _own.written.append(f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _own.written[-1]
 
 
 def materialize(df: DataFrame, label: str, codec: str = "snappy", **options: int | str) -> DataFrame:
@@ -43,15 +51,15 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy", **options: int
 
 
 def mark() -> int:
-    """Where the tables written from now on begin, for ``discard``."""
-    return len(_written)
+    """Where the tables that this thread writes from now on begin, for ``discard``."""
+    return len(_own.written)
 
 
 def discard(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
-    """Remove the tables written since a mark, but those whose label is in ``keep``: a result still to be computed reads them."""
+    """Remove the tables that this thread has written since a mark, but those whose label is in ``keep``: a result still to be computed reads them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written[since:]:
+    for path in _own.written[since:]:
         if path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
-            _written.remove(path)
+            _own.written.remove(path)

@@ -113,7 +113,7 @@ def length_grid(spark, d):
 
 def window_estimates(spark, d):
     log = _input(spark, d, "SELECT conv_id, length(text) AS tokens FROM {conversations} WHERE conv_id % 5 > 0")
-    return reports.window_estimate(log, _input(spark, d, "SELECT conv_id, -(turn * 40) AS delta FROM {conversations} WHERE conv_id % 4 > 0"))
+    return reports.window_estimate(log, _input(spark, d, "SELECT conv_id, turn AS seq, CASE WHEN turn % 3 = 2 THEN 90 ELSE -(turn * 40) END AS delta FROM {conversations} WHERE conv_id % 4 > 0"))
 
 
 def shown_answers(spark, d):
@@ -161,8 +161,9 @@ SELECT request_id, status, CASE WHEN blocked IS NOT NULL THEN blocked WHEN statu
     "cached_summaries": "SELECT doc_id, CASE WHEN (source, lang) IN (SELECT (source, lang) FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars % 2 = 0 AND doc_id < 40) THEN 'old' ELSE source || '/' || lang END AS value FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL",
     "length_grid": """WITH g AS (SELECT * FROM (VALUES ('base', 100, 500), ('low=0', 0, 500), ('low=1000', 1000, 500), ('step=1200', 100, 1200)) t(condition, low, step))
 SELECT condition, CAST(sum(ceil(n_chars / step)) AS BIGINT) AS pieces FROM g, documents WHERE n_chars >= low GROUP BY condition""",
-    "window_estimates": """WITH b AS (SELECT conv_id, sum(length(text)) AS t FROM conversations WHERE conv_id % 5 > 0 GROUP BY conv_id), m AS (SELECT conv_id, sum(-(turn * 40)) AS d FROM conversations WHERE conv_id % 4 > 0 GROUP BY conv_id)
-SELECT conv_id, CAST(greatest(0, coalesce(t, 0) + coalesce(d, 0)) AS BIGINT) AS tokens FROM b FULL JOIN m USING (conv_id)""",
+    "window_estimates": """WITH b AS (SELECT conv_id, sum(length(text)) AS t FROM conversations WHERE conv_id % 5 > 0 GROUP BY conv_id),
+m AS (SELECT conv_id, list(d ORDER BY turn, d) AS ds FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 90 ELSE -(turn * 40) END AS d FROM conversations WHERE conv_id % 4 > 0) GROUP BY conv_id)
+SELECT conv_id, CAST(list_reduce(list_concat([CAST(coalesce(t, 0) AS BIGINT)], list_transform(coalesce(ds, []), lambda x: CAST(x AS BIGINT))), lambda a, x: greatest(0, a + x)) AS BIGINT) AS tokens FROM b FULL JOIN m USING (conv_id)""",
     "shown_answers": """WITH p AS (SELECT conv_id AS response_id, turn AS seq, CASE WHEN turn % 5 = 2 AND conv_id % 2 = 0 THEN 'retract' WHEN conv_id % 7 = 0 THEN 'done' ELSE 'chunk' END AS kind, substr(text, 1, 3) AS text FROM conversations),
 l AS (SELECT *, coalesce(max(CASE WHEN kind = 'retract' THEN seq END) OVER (PARTITION BY response_id), -1) AS last FROM p)
 SELECT response_id, coalesce(string_agg(text, '' ORDER BY seq, text) FILTER (kind = 'chunk' AND seq > last), '') AS answer FROM l GROUP BY response_id""",

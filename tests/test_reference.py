@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill import catalog
 from lexmill.functions import text as T
 from lexmill.functions import vectors as V
-from lexmill.operators import chunks, conversation, evidence, lookup, memory, retrieval
+from lexmill.operators import chunks, conversation, evidence, lookup, memory, retrieval, reports
 from lexmill.plans import dag
 from lexmill.plans.index_store import IndexStore
 from lexmill.sources import text_files
@@ -124,6 +124,20 @@ def test_memory_validation_and_application(spark):
     assert state == {"a": ("active", "y", 3, 0), "b": ("active", "e", 2, 1), "c": ("active", "w", 3, 0), "d": ("none", None, 0, 1)}
 
 
+def test_null_scopes_are_one_and_large_scopes_stay_apart(spark):
+    m = lambda scope, order, v: (1, scope, "preference.language", order, None, v, "user_message", "explicit", "stable", False)
+    rows = [m(None, 1, "en"), m(None, 2, "fr"), m(None, 3, "de"), m(9007199254740993, 4, "en"), m(9007199254740992, 5, "fr")]
+    df = spark.createDataFrame(rows, "user_id long, scope_id long, key string, order_id long, status string, value string, source_type string, statement_type string, stability string, reopen boolean")
+    got = {r["scope_id"]: (r["value"], r["revision"]) for r in memory.apply_candidates(df).collect()}
+    assert got == {None: ("de", 3), 9007199254740993: ("en", 1), 9007199254740992: ("fr", 1)}
+
+
+def test_a_window_estimate_is_floored_at_every_step(spark):
+    log = spark.createDataFrame([(1, 20), (2, 20), (3, 5)], "conv_id long, tokens long")
+    changes = spark.createDataFrame([(1, 1, -100), (1, 2, 50), (2, 1, 30), (2, 2, -10), (4, 1, -7), (4, 2, 7)], "conv_id long, seq int, delta long")
+    assert dict(map(tuple, reports.window_estimate(log, changes).collect())) == {1: 50, 2: 40, 3: 5, 4: 7}
+
+
 def test_recall_passes_over_what_does_not_fit(spark):
     now = dt.datetime(2026, 1, 1)
     row = lambda i, n, **o: (1, i, o.get("kind", "preference"), o.get("scope", "user"), o.get("book"), o.get("content", "x" * n), "active", "user_message", now, now - dt.timedelta(days=i), 0.5, o.get("expires"))
@@ -287,3 +301,16 @@ def test_hits_are_widened_to_their_paragraphs(spark):
     wide = spark.createDataFrame([(1, "第一章 a\n\n😀😀x😀\n第二章 b\ntail")], "doc_id long, text string")
     one = evidence.expand_hits(wide, spark.createDataFrame([(7, 1, "c", 9, 11)], "request_id long, doc_id long, chunk_id string, start int, end int")).collect()
     assert [(x["text"], x["chunk_ids"]) for x in one] == [("😀😀x😀\n", ["c"])]
+
+
+def test_bm25_in_rows_is_bm25_by_join(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(900_001, None), (900_002, "")], "doc_id long, text string"))
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text").unionByName(spark.createDataFrame([(-1, ""), (-2, "qqqqq"), (-3, None)], "query_id long, text string"))
+    rows = lambda: [(r["query_id"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in retrieval.bm25(docs, items, 9).orderBy("query_id", "rank").collect()]
+    within = rows()
+    monkeypatch.setattr(retrieval, "VOCABULARY", 10)
+    assert rows() == within and len(within) > 50
+    monkeypatch.undo()
+    assert retrieval.bm25(docs, items.limit(0)).count() == 0 and retrieval.bm25(docs.limit(0), items).count() == 0
+    named = retrieval.bm25(docs, items.select(F.concat(F.lit("q"), "query_id").alias("query_id"), "text"), 2)
+    assert {r["query_id"] for r in named.collect()} == {f"q{q}" for q, *_ in within}

@@ -1,3 +1,4 @@
+import threading
 from types import SimpleNamespace
 
 import pytest
@@ -25,3 +26,27 @@ def test_a_cluster_needs_a_shared_folder():
         scratch_dir(session("spark://host:7077"))
     assert scratch_dir(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
     assert scratch_dir(session("yarn", None, "hdfs:///own")) == "hdfs:///own"
+
+
+def test_threads_keep_their_own_tables(spark):
+    """A table written between another thread's mark and discard stays, and the other's marks do not move."""
+    begun, written, left = threading.Event(), threading.Event(), []
+
+    def other():
+        begun.wait(60)
+        since = mark()
+        left.append(materialize(spark.range(3), "other"))
+        written.set()
+        discard(spark, since + 1)
+
+    run = threading.Thread(target=other)
+    run.start()
+    since = mark()
+    mine = materialize(spark.range(4), "mine")
+    begun.set()
+    assert written.wait(60)
+    discard(spark, since)
+    run.join()
+    assert left[0].count() == 3 and mark() == since
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        mine.count()
