@@ -9,7 +9,7 @@ from . import derived, records
 from .functions import answers as A
 from .functions import text as T
 from .functions import vectors as V
-from .operators import chunks, conversation, lookup, retrieval, scoring
+from .operators import characters, chunks, conversation, lookup, retrieval, scoring
 from .plans.postings import Postings, build_postings
 from .plans.scratch import new_path
 from .streaming import batches
@@ -188,6 +188,21 @@ def first_word_mentions(spark, d):
     return lookup.mentions(docs, asks).select("doc_id", "rank", "at", "start", "end", F.sha2("text", 256).alias("text_sha256"))
 
 
+def _names(spark, d):
+    """A longer word of each benchmark item stands for a character's name."""
+    return _read(spark, d, "benchmark").select(F.col("item_id").alias("name_id"), F.regexp_extract("text", "[a-z]{5,}", 0).alias("name"))
+
+
+def name_snippets(spark, d):
+    docs = _read(spark, d, "documents")
+    found = characters.first_snippets(characters.name_mentions(docs, _names(spark, d)), docs)
+    return found.select("doc_id", "name_id", "n", "first", F.sha2("snippet", 256).alias("snippet_sha256"))
+
+
+def name_pairs(spark, d):
+    return characters.co_mentions(characters.name_mentions(_read(spark, d, "documents"), _names(spark, d), by_chapter=False)).withColumnRenamed("chapters", "documents")
+
+
 def trimmed_chunks(spark, d):
     hits = chunks.chunk_documents(_read(spark, d, "documents")).select("doc_id", "chunk_index", "start", "end", "text")
     return lookup.trim_hits(hits, "doc_id", "chunk_index").select("doc_id", "chunk_index", "start", "end", "truncated", F.sha2("text", 256).alias("text_sha256"))
@@ -211,7 +226,7 @@ def similarity_sweep(spark, d):
 _ALL = (
     content_hashes, token_counts, document_lengths, chunk_offsets, corpus_profile, bm25_topk, stored_bm25_topk, bm25_evaluation, knn_l2_topk, knn_cosine_topk, scoped_knn_topk, rrf_fusion, retrieve_hybrid, retrieve_reranked, message_log,
     compression_cuts, summary_caps, turn_similarity, question_classes, merged_sessions, latest_events, orders_as_of, chunk_of_offset, unlabelled_documents, labelled_documents, value_percentiles,
-    count_or_time_batches, hourly_events, file_sizes, capped_summaries, answer_styles, first_word_mentions, trimmed_chunks, fitting_turns, limited_calls, similarity_sweep,
+    count_or_time_batches, hourly_events, file_sizes, capped_summaries, answer_styles, first_word_mentions, name_snippets, name_pairs, trimmed_chunks, fitting_turns, limited_calls, similarity_sweep,
 )
 QUERIES = {f.__name__: f for f in _ALL} | derived.QUERIES | records.QUERIES
 
@@ -253,6 +268,11 @@ u AS (SELECT query_id, doc_id, x.rank AS r1, y.rank AS r2, round(coalesce(1.0 /
       FROM (SELECT * FROM hits WHERE rank <= 10) x FULL JOIN (SELECT * FROM near WHERE rank <= 10) y USING (query_id, doc_id)),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, r1 NULLS LAST, r2 NULLS LAST, doc_id) AS rank FROM u)"""
 
+_NAMED = r"""
+WITH d AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+n AS (SELECT item_id AS name_id, regexp_extract(text, '[a-z]{5,}') AS name FROM benchmark),
+m AS (SELECT doc_id, t, name_id, name, instr(t, name) - 1 AS first FROM d JOIN n ON name <> '' AND contains(t, name))"""
+
 ORACLES = {
     "retrieve_hybrid": f"""{_EMBED}
 SELECT query_id, doc_id, rrf, CASE WHEN r1 IS NOT NULL AND r2 IS NOT NULL THEN 'hybrid' WHEN r1 IS NOT NULL THEN 'bm25' ELSE 'vector' END AS method, CAST(rank AS INTEGER) AS rank FROM fused WHERE rank <= 5""",
@@ -285,6 +305,10 @@ WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents),
 c AS (SELECT doc_id, text, n, unnest(CASE WHEN n <= 1800 THEN [0] ELSE range(0, CAST(ceil((n - 1200) / 960.0) AS BIGINT) + 1) END) AS i FROM d)
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(960 * i AS INTEGER) AS start, CAST(CASE WHEN n <= 1800 THEN n ELSE least(960 * i + 1200, n) END AS INTEGER) AS "end",
   sha256(substr(text, 960 * i + 1, CASE WHEN n <= 1800 THEN n ELSE 1200 END)) AS text_sha256 FROM c WHERE n > 0""",
+    "name_snippets": rf"""{_NAMED}
+SELECT doc_id, name_id, CAST((length(t) - length(replace(t, name, ''))) / length(name) AS BIGINT) AS n, CAST(first AS BIGINT) AS first, sha256(substr(t, greatest(first - 100, 0) + 1, first + 600 - greatest(first - 100, 0))) AS snippet_sha256 FROM m""",
+    "name_pairs": rf"""{_NAMED}
+SELECT a.name_id AS first_id, b.name_id AS second_id, count(*) AS documents FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.name_id < b.name_id GROUP BY ALL""",
     "scoped_knn_topk": f"""
 WITH v AS (SELECT vec_id, embedding, vec_id % 3 AS owner, label AS book, (vec_id // 3) % 2 AS version, vec_id % 5 = 0 AS fp FROM embeddings),
 p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round({_KNN}, 9) AS l2 FROM v a JOIN v b USING (owner, book, version, fp) WHERE a.vec_id % 50 = 1)
