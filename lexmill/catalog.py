@@ -13,6 +13,7 @@ from .operators import characters, chunks, conversation, lookup, retrieval, scor
 from .plans.postings import Postings, build_postings
 from .plans.scratch import new_path
 from .streaming import batches
+from .streaming import sessions as S
 
 WORDS = "[a-z][a-z0-9''-]+"  # as SQL text
 
@@ -168,6 +169,18 @@ def hourly_events(spark, d):
     return batches.event_windows(events).select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("total", 4).alias("total"))
 
 
+def user_sessions(spark, d):
+    found = S.sessions(_read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", gap="3 hours")
+    return found.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "n")
+
+
+def purchases_after_clicks(spark, d):
+    events = _read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    side = lambda kind, name: events.filter(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias(name))
+    found = S.followed_by(side("click", "click_id"), side("purchase", "purchase_id"), "user_id", "ts", 7200, how="left_outer")
+    return found.select("user_id", "click_id", "purchase_id", ((F.unix_micros("then_ts") - F.unix_micros("ts")) / 1_000_000).alias("seconds"))
+
+
 def file_sizes(spark, d):
     n = F.octet_length("text").cast("long") * 1000
     return _read(spark, d, "documents").select("doc_id", T.file_size(n).alias("size"))
@@ -226,7 +239,7 @@ def similarity_sweep(spark, d):
 _ALL = (
     content_hashes, token_counts, document_lengths, chunk_offsets, corpus_profile, bm25_topk, stored_bm25_topk, bm25_evaluation, knn_l2_topk, knn_cosine_topk, scoped_knn_topk, rrf_fusion, retrieve_hybrid, retrieve_reranked, message_log,
     compression_cuts, summary_caps, turn_similarity, question_classes, merged_sessions, latest_events, orders_as_of, chunk_of_offset, unlabelled_documents, labelled_documents, value_percentiles,
-    count_or_time_batches, hourly_events, file_sizes, capped_summaries, answer_styles, first_word_mentions, name_snippets, name_pairs, trimmed_chunks, fitting_turns, limited_calls, similarity_sweep,
+    count_or_time_batches, hourly_events, user_sessions, purchases_after_clicks, file_sizes, capped_summaries, answer_styles, first_word_mentions, name_snippets, name_pairs, trimmed_chunks, fitting_turns, limited_calls, similarity_sweep,
 )
 QUERIES = {f.__name__: f for f in _ALL} | derived.QUERIES | records.QUERIES
 
@@ -357,6 +370,13 @@ SELECT doc_id, p AS "at", CAST(i AS INTEGER) AS chunk_index FROM c WHERE p >= 96
 WITH s AS (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)
 SELECT event_type, v[least(len(v) - 1, CAST(floor(0.5 * len(v)) AS BIGINT)) + 1] AS p50, v[least(len(v) - 1, CAST(floor(0.95 * len(v)) AS BIGINT)) + 1] AS p95 FROM s""",
     "hourly_events": "SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "user_sessions": """
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL),
+r AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 3 HOUR AS session_end, count(*) AS n FROM r GROUP BY user_id, run""",
+    "purchases_after_clicks": """
+SELECT c.user_id, c.event_id AS click_id, p.event_id AS purchase_id, (epoch_us(p.ts) - epoch_us(c.ts)) / 1000000 AS seconds
+FROM events c LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = c.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 2 HOUR WHERE c.event_type = 'click'""",
     "file_sizes": """SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', floor(n / 1024.0 * 100 + 0.5) / 100) WHEN n < 1073741824 THEN printf('%.2f MB', floor(n / 1048576.0 * 100 + 0.5) / 100) ELSE printf('%.2f GB', floor(n / 1073741824.0 * 100 + 0.5) / 100) END AS size
 FROM (SELECT doc_id, strlen(text) * 1000 AS n FROM documents)""",
     "capped_summaries": f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .derived import _duck, _input
 from .operators import governance, reports
+from .streaming import memory_commands
 
 _ROWS = "SELECT event_id AS id, user_id, event_id % 4 AS revision, CASE event_id % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'ready' ELSE 'retired' END AS status FROM {events} WHERE event_id % 2 = 0"
 _COMMANDS = "SELECT event_id AS command_id, event_id - event_id % 5 AS id, CASE event_id % 7 WHEN 0 THEN CAST(NULL AS BIGINT) ELSE event_id % 4 END AS expected_revision, event_id % 3 AS expected_epoch FROM {events}"
@@ -126,13 +127,40 @@ def first_and_last_turns(spark, d):
     return e.select("conv_id", F.array_join("first", ",").alias("first"), F.array_join("last", ",").alias("last"))
 
 
+_HEARD = """SELECT user_id, event_id AS seq, TIMESTAMP '2024-01-01 00:00:00' AS at, 'apply' AS op, 'fact' AS kind, 'fact.' || event_type AS key, 'v' || (event_id % 3) AS value, event_id AS order_id,
+  CASE WHEN event_id % 4 < 3 THEN 'explicit' ELSE 'inferred' END AS statement_type, CASE WHEN event_id % 5 > 0 THEN 'stable' ELSE 'unknown' END AS stability FROM {events}"""
+# Every op: candidates of three kinds, and what a person does to the items that the last commands made.
+_LOG = """SELECT user_id, event_id AS seq, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * FLOOR(event_id / 64) AS at, CASE event_id % 16 WHEN 3 THEN 'edit' WHEN 5 THEN 'confirm' WHEN 7 THEN 'complete' WHEN 9 THEN 'delete' WHEN 11 THEN 'enable' ELSE 'apply' END AS op,
+  CASE WHEN event_id % 2 = 0 THEN user_id % 5 END AS scope_id, CASE user_id % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'open_question' ELSE 'preference' END AS kind,
+  CASE user_id % 3 WHEN 0 THEN 'fact.' || event_type WHEN 1 THEN 'open_question:' || event_type ELSE 'preference.language' END AS key, CASE event_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'de' END AS value,
+  CASE WHEN event_id % 4 < 3 THEN 'explicit' ELSE 'inferred' END AS statement_type, CASE WHEN event_id % 5 > 0 THEN 'stable' ELSE 'unknown' END AS stability, event_id % 6 = 0 AS reopen, event_id % 14 = 0 AS force, event_id AS order_id,
+  CASE WHEN event_id % 16 = 5 OR event_id % 16 = 11 THEN event_id % 3 END AS epoch, CASE WHEN event_id % 8 = 3 THEN 2 ELSE 1 END AS revision, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS item_id, event_id % 32 = 11 AS enabled FROM {events}"""
+
+
+def kept_memories(spark, d):
+    items = memory_commands.current_items(memory_commands.fold_commands(_input(spark, d, _HEARD))).filter("status IN ('active', 'candidate')")
+    return items.select("user_id", "key", "status", "value", "revision", "order_id")
+
+
+def memory_changes(spark, d):
+    log = memory_commands.fold_commands(_input(spark, d, _LOG))
+    return log.select("user_id", "seq", "item_id", "n", "scope_id", "key", "status", "value", "revision", "source_type", "change", "reason")
+
+
 _ALL = (
     guarded_commands, status_moves, recovered_sources, cascade_deletion, scoped_expiry, timed_expiry, last_closed, own_messages, conversation_states, retrieval_statuses, token_use, run_rates, reasons, resolved_references, cached_summaries,
-    length_grid, window_estimates, shown_answers, first_and_last_turns,
+    length_grid, window_estimates, shown_answers, first_and_last_turns, kept_memories, memory_changes,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {
+    "kept_memories": """
+WITH e AS (SELECT user_id, 'fact.' || event_type AS key, event_id AS seq, 'v' || (event_id % 3) AS value, event_id % 4 < 3 AND event_id % 5 > 0 AS sure FROM events),
+s AS (SELECT *, value <> lag(value) OVER (PARTITION BY user_id, key ORDER BY seq) AS other FROM e WHERE sure),
+a AS (SELECT user_id, key, arg_max(value, seq) AS held, min(seq) AS made, max(seq) FILTER (other) AS renewed, 1 + count(*) FILTER (other) AS revision FROM s GROUP BY ALL),
+j AS (SELECT e.*, held, made, renewed, a.revision FROM e LEFT JOIN a USING (user_id, key))
+SELECT user_id, key, 'active' AS status, held AS value, revision, max(seq) AS order_id FROM j WHERE value = held AND seq >= coalesce(renewed, made) GROUP BY ALL
+UNION ALL SELECT user_id, key, 'candidate', value, 1, max(seq) FROM j WHERE NOT sure AND CASE WHEN renewed IS NOT NULL THEN seq > renewed AND value <> held ELSE made IS NULL OR seq < made OR value <> held END GROUP BY ALL""",
     "guarded_commands": f"""
 SELECT command_id, CASE WHEN revision IS NULL THEN 'missing' WHEN expected_revision IS NULL THEN 'invalid' WHEN expected_revision <> revision THEN 'conflict' WHEN expected_epoch <> coalesce(current_epoch, 0) THEN 'conflict' ELSE 'ok' END AS verdict
 FROM ({_duck(_COMMANDS)}) LEFT JOIN ({_duck(_ROWS)}) USING (id) LEFT JOIN ({_duck(_EPOCHS)}) USING (user_id)""",

@@ -306,7 +306,7 @@ class _Keyed(Held):
 
     def put(self, at: Slot, items: list[dict]) -> None:
         if items:
-            self._slots.updateValue(at, ([Row(**{c: i[c] for c in ITEM}) for i in items],))
+            self._slots.updateValue(at, ([tuple(i[c] for c in ITEM) for i in items],))
         elif self._slots.containsKey(at):
             self._slots.removeKey(at)
 

@@ -237,3 +237,21 @@ def test_pause_barrier_and_merging(spark):
     assert [x[3] for x in sorted(changes(log.filter("user_id = 2")))] == ["invalid", "invalid", "stale", "invalid"]
     assert M.current_items(log).count() == 0
     assert M.fold_commands(frame(spark, [])).count() == 0
+
+
+def test_query_equals_a_scanned_table(spark):
+    from lexmill import records
+
+    d = "/root/testdata/sf0.001"
+    commands = records._input(spark, d, records._LOG).select(*(F.col(c).cast("timestamp" if c == "at" else t).alias(c) if c != "match_key" else F.lit(None).cast("string").alias(c) for c, t in M.INPUT.items()))
+    rows = [r.asDict() | {"at": r["at"].replace(tzinfo=dt.UTC)} for r in commands.orderBy("user_id", "seq").collect()]
+    table = Table()
+    for r in rows:
+        table.run(r)
+    for user in {r["user_id"] for r in rows}:  # items that nobody touched any more stay as they are in the log
+        table.expire(user, 0)
+    want = {(r["user"], r["id"]): (r["value"], r["by"], r["order"]) for r in table.rows}
+    log = records.memory_changes(spark, d)
+    last = log.filter("n IS NOT NULL").groupBy("user_id", "item_id").agg(F.max_by(F.struct("status", "value", "source_type"), "n").alias("s")).filter("s.status <> 'deleted'").collect()
+    assert {(r.user_id, r.item_id): (r.s.value, r.s.source_type) for r in last} == {k: v[:2] for k, v in want.items()}
+    assert {"confirmed", "enabled"} <= {r.change for r in log.select("change").distinct().collect()}
