@@ -8,9 +8,9 @@
    -ln(u) / quality weight, u a hash of id, text and, for rows that repeat both and the source, the number of the copy.
    The document at which the budget ends gives only the words that are left.
 
-A source is never sorted in one piece: 1 - exp(-key) cuts its key range into bins whose share is bounded
-by the weights, and the words before a bin are prefix sums of bin totals.  The number of bins grows with the
-rows.  Copies of a row are numbered in the partitions of the written table first and then across them, so
+A source is never sorted in one piece: 1 - exp(-LOWEST * key) cuts its key range into bins, and the words before a
+bin are prefix sums of bin totals.  The keys of weight w are spread over B bins with a density of at most w / LOWEST, so
+none expects more than 4 / B of them, whatever the weights.  The number of bins grows with the rows.  Copies of a row are numbered in the partitions of the written table first and then across them, so
 a row that is repeated very often is held by no task either.
 """
 
@@ -25,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BINS, BIN_ROWS = 1024, 20_000  # bins of a source at least, and rows of the whole table for each
 WORD = "[^\\x20\\x09-\\x0D]+"
+LOWEST = 0.5  # the smallest quality weight
 #: Characters that count against a text in its quality weight.
 NOISE = "0123456789#*$%&|<>{}[]\\/_=+~^@"
 
@@ -32,7 +33,7 @@ NOISE = "0123456789#*$%&|<>{}[]\\/_=+~^@"
 def quality_weight(text: Column) -> Column:
     """Between 0.5 (nothing but digits and symbols) and 2 (none of them); 0.5 without text."""
     n = F.length(text)
-    return F.when(n > 0, 0.5 + 1.5 * F.length(F.translate(text, NOISE, "")) / n).otherwise(F.lit(0.5))
+    return F.when(n > 0, LOWEST + 1.5 * F.length(F.translate(text, NOISE, "")) / n).otherwise(F.lit(LOWEST))
 
 
 def exponential_key(seed: Column, copy: Column, weight: Column) -> Column:
@@ -41,6 +42,11 @@ def exponential_key(seed: Column, copy: Column, weight: Column) -> Column:
     return -F.log((bits + 0.5) / 2.0**52) / weight
 
 
+def key_bin(key: Column, bins: int) -> Column:
+    """The bin of a key, in the keys' order."""
+    return F.least(F.lit(bins - 1), F.floor((1 - F.exp(-LOWEST * key)) * bins)).cast("int")
+
+
 def row_seed(doc_id: Column, text: Column) -> Column:
     """The MD5 of id and text, nulls as ''."""
     return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).cast("binary"))
@@ -103,7 +109,7 @@ def _placed(docs: DataFrame, weights: tuple[int, ...], repeats: int, id_col: str
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "mixing")
     bins_each = max(BINS, -(-rows.count() // BIN_ROWS))
     rows = numbered(rows).withColumn("key", exponential_key(F.col("seed"), F.col("copy"), F.col("weight")))
-    rows = rows.withColumn("bin", F.least(F.lit(bins_each - 1), F.floor((1 - F.exp(-F.col("key"))) * bins_each)).cast("int"))
+    rows = rows.withColumn("bin", key_bin(F.col("key"), bins_each))
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     targets = source_targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, repeats)
     prior = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
