@@ -8,24 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Endings that are taken, the largest file, and the order in which encodings are tried.
+from ..functions.charsets import detect
+
+# Endings that are taken, and the largest file.
 ENDINGS = ("txt", "pdf", "epub", "mobi")
 LARGEST = 50 << 20
-ENCODINGS = ("utf-8", "gbk", "gb18030", "big5", "utf-16-le")
-
-
-def decode(raw: bytes) -> tuple[str | None, str]:
-    """The encoding that reads the bytes without replacement characters, and the text; a leading mark is dropped."""
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "utf-16", raw.decode("utf-16", "replace")
-    for name in ENCODINGS:
-        try:
-            text = raw.decode("utf-8-sig" if name == "utf-8" else name)
-        except UnicodeDecodeError:
-            continue
-        if "�" not in text:
-            return name, text
-    return None, raw.decode("utf-8", "replace")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +22,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [decode(raw) for raw in batch.column(2).to_pylist()]
+            done = [detect(raw) for raw in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in done], pa.string()), pa.array([t for _, t in done], pa.string())], ["path", "length", "encoding", "text"])
 
     return taken.select("path", "length", "content").mapInArrow(run, "path string, length long, encoding string, text string")
@@ -57,8 +44,9 @@ def write_lines(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def report(df: DataFrame, title: str, limit: int = 1000) -> str:
-    """A Markdown table of a small result (at most ``limit`` rows are fetched)."""
-    rows = df.limit(limit).collect()
+    """A Markdown table of a small result: at most ``limit`` rows, and a line that says so where there are more."""
+    rows = df.limit(limit + 1).collect()
+    more = ["", f"Only the first {limit} rows are shown."] if len(rows) > limit else []
     cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
+    return "\n".join([*lines, *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows[:limit]), *more]) + "\n"
