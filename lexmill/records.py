@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from .derived import _duck, _input
 from .operators import governance, reports
+from .plans.layouts import Append, Layout, Step, missing_rows
+from .plans.scratch import new_path
 from .streaming import memory_commands
 
 _ROWS = "SELECT event_id AS id, user_id, event_id % 4 AS revision, CASE event_id % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'ready' ELSE 'retired' END AS status FROM {events} WHERE event_id % 2 = 0"
@@ -147,13 +149,29 @@ def memory_changes(spark, d):
     return log.select("user_id", "seq", "item_id", "n", "scope_id", "key", "status", "value", "revision", "source_type", "change", "reason")
 
 
+def migrated_events(spark, d):
+    """A table is made, backed up in two turns, split into a new layout, and a last step is taken back."""
+    events = lambda rule: _input(spark, d, f"SELECT event_id, user_id, event_type, value FROM {{events}} WHERE {rule}")
+    layout = Layout(spark, new_path(spark, "layout"))
+    layout.migrate([
+        Step("make", lambda read: {"events": events("event_id % 5 > 0")}),
+        Step("backup", lambda read: {"backup": read("events").filter("user_id % 3 > 0")}),
+        Step("backup_rest", lambda read: {"backup": Append(missing_rows(read("events"), read("backup"), ["event_id", "user_id"]))}),
+        Step("split", lambda read: {"events": read("backup").withColumn("kind", F.when(F.col("event_type") == "error", "fault").otherwise("act")), "backup": None}),
+        Step("wrong", lambda read: {"events": read("events").filter("kind = 'fault'")}),
+    ])
+    layout.roll_back("split")
+    return layout.read("events")
+
+
 _ALL = (
     guarded_commands, status_moves, recovered_sources, cascade_deletion, scoped_expiry, timed_expiry, last_closed, own_messages, conversation_states, retrieval_statuses, token_use, run_rates, reasons, resolved_references, cached_summaries,
-    length_grid, window_estimates, shown_answers, first_and_last_turns, kept_memories, memory_changes,
+    length_grid, window_estimates, shown_answers, first_and_last_turns, kept_memories, memory_changes, migrated_events,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {
+    "migrated_events": "SELECT event_id, user_id, event_type, value, CASE WHEN event_type = 'error' THEN 'fault' ELSE 'act' END AS kind FROM events WHERE event_id % 5 > 0",
     "kept_memories": """
 WITH e AS (SELECT user_id, 'fact.' || event_type AS key, event_id AS seq, 'v' || (event_id % 3) AS value, event_id % 4 < 3 AND event_id % 5 > 0 AS sure FROM events),
 s AS (SELECT *, value <> lag(value) OVER (PARTITION BY user_id, key ORDER BY seq) AS other FROM e WHERE sure),
