@@ -140,6 +140,29 @@ def accepted(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> Dat
     return stored_ledger(docs, text_col).filter(passes(policy)).select("row.*")
 
 
+def text_key(text: Column) -> list[Column]:
+    """Two hashes of a text, 128 bits; null counts as empty."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("key_1"), F.xxhash64(F.lit(1), t).alias("key_2")]
+
+
+def book(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger written without texts, with a key of each row's text: policies, later ones too, and ablations read it and evaluate no rule."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *text_key(F.col(text_col)), measurements(F.col(text_col)).alias("_m"))
+    rows = rows.select("doc_id", "key_1", "key_2", *(F.col("_m")[k].alias(k) for k in MEASURED))
+    return materialize(rows.withColumn("failures", failure_bits()), "book")
+
+
+def accepted_by(docs: DataFrame, written: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, that pass a policy by their written book: rows find their failure bits by the key of their text.
+
+    Equal texts fail equal rules, so one row of the book for each text is enough: a text that a third of all rows share is one row of that side.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keys = written.filter(passes(policy)).select("key_1", "key_2").distinct()
+    return docs.select(row, *text_key(F.col(text_col))).join(keys, ["key_1", "key_2"], "left_semi").select("row.*")
+
+
 def ablations(book: DataFrame, policies: tuple[str, ...] = ("v1",)) -> DataFrame:
     """For each policy and rule: failed (documents that fail the rule) and alone (rejected by no other rule of the policy; 0 for rules that are not in it).
 

@@ -48,13 +48,13 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.ledger(_read(spark, sf_dir, "documents"))
+    book = quality.book(_read(spark, sf_dir, "documents"))
     base = ~quality.passes("base")
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.passes("v1").alias("kept"), F.col("failures").cast("long").alias("failures"), *(c for c in quality.MEASURED if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))
 
 
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.ablations(quality.ledger(_read(spark, sf_dir, "documents")), ("base", "v1", "v2"))
+    return quality.ablations(quality.book(_read(spark, sf_dir, "documents")), ("base", "v1", "v2"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
