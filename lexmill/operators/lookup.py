@@ -73,6 +73,22 @@ def find_chapters(docs: DataFrame, asks: DataFrame) -> DataFrame:
     return judged.join(every, ["doc_id", "ordinal"], "left").select("ask_id", "status", "n_chapters", "matches", "chapter_id", "ordinal", "title", "start", F.col("preview_end").alias("end"), text.alias("text"), size.alias("length"), (size > F.col("preview_end") - F.col("start")).alias("truncated"))
 
 
+def places(text: str, name: str, before: int = 80, after: int = 120, most: int = 6, chapter_of_start: bool = False) -> Iterator[tuple]:
+    """(rank, at, start, end, chapter_ordinal, text) of the first ``most`` places of ``name``, from left to right without overlap."""
+    place, rank = text.find(name), 0
+    if place < 0:
+        return
+    at, parts = units(text), chapters(text)
+    starts = [at[s] for _, s, _ in parts]
+    while place >= 0 and rank < most:
+        rank += 1
+        lo = bisect_left(at, max(0, at[place] - before))
+        hi = bisect_left(at, min(at[-1], at[place + len(name)] + after))
+        number = bisect_left(starts, (at[lo] if chapter_of_start else at[place]) + 1)
+        yield rank, at[place], at[lo], at[hi], number or None, text[lo:hi]
+        place = text.find(name, place + len(name))
+
+
 def mentions(docs: DataFrame, asks: DataFrame, before: int = 80, after: int = 120, most: int = 6, chapter_of_start: bool = False) -> DataFrame:
     """The first ``most`` places of the name of each of ``asks`` (ask_id, doc_id, name), from left to right without overlap.
 
@@ -85,18 +101,7 @@ def mentions(docs: DataFrame, asks: DataFrame, before: int = 80, after: int = 12
         for batch in batches:
             rows = []
             for ask_id, doc_id, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                place, rank = text.find(name), 0
-                if place < 0:
-                    continue
-                at, parts = units(text), chapters(text)
-                starts = [at[s] for _, s, _ in parts]
-                while place >= 0 and rank < most:
-                    rank += 1
-                    lo = bisect_left(at, max(0, at[place] - before))
-                    hi = bisect_left(at, min(at[-1], at[place + len(name)] + after))
-                    number = bisect_left(starts, (at[lo] if chapter_of_start else at[place]) + 1)
-                    rows.append((ask_id, doc_id, rank, at[place], at[lo], at[hi], number or None, text[lo:hi]))
-                    place = text.find(name, place + len(name))
+                rows.extend((ask_id, doc_id, *found) for found in places(text, name, before, after, most, chapter_of_start))
             yield _table(rows, kinds, MENTION)
 
     wanted = asks.filter(F.length(F.trim("name")) > 0).select(F.col("ask_id").cast("long").alias("ask_id"), "doc_id", "name")
