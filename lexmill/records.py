@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .derived import _duck, _input
-from .operators import governance, reports
+from .functions import answers as A
+from .functions import text as T
+from .operators import evaluation, governance, reports
 from .plans.layouts import Append, Layout, Step, missing_rows
 from .plans.scratch import new_path
+from .plans.tools import Tools
 from .streaming import memory_commands
 
 _ROWS = "SELECT event_id AS id, user_id, event_id % 4 AS revision, CASE event_id % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'ready' ELSE 'retired' END AS status FROM {events} WHERE event_id % 2 = 0"
@@ -164,13 +167,76 @@ def migrated_events(spark, d):
     return layout.read("events")
 
 
+# Answers to documents: evidence of up to three passages, some moved, some of an older text; citations, some of evidence that is not there; gold quotes for two in three.
+_ANSWERS = """SELECT doc_id AS answer_id, lang AS run, CASE doc_id % 5 WHEN 0 THEN 'insufficient_evidence' WHEN 1 THEN CAST(NULL AS STRING) ELSE 'answer' END AS kind, CASE doc_id % 9 WHEN 0 THEN '书中没有提到' WHEN 4 THEN '  ' ELSE 'yes' END AS answer,
+  CASE doc_id % 8 WHEN 0 THEN 'failed' WHEN 1 THEN CAST(NULL AS STRING) ELSE 'completed' END AS end_status, doc_id % 3 AS tool_calls, doc_id % 7 < 5 AS needs_evidence FROM {documents}"""
+_SHOWN = """SELECT doc_id AS answer_id, concat('E', i) AS evidence_id, i AS ordinal, CASE WHEN (doc_id + i) % 6 > 0 THEN doc_id END AS doc_id, text AS whole, (doc_id + i) % 10 > 0 AS fresh, CASE WHEN (doc_id + i) % 6 > 0 THEN CAST(20 * i AS INT) END AS start,
+  CASE WHEN (doc_id + i) % 6 > 0 THEN CAST(20 * i + 50 AS INT) END AS stop, substr(text, CASE WHEN doc_id % 13 = 0 THEN 2 ELSE 1 END + 20 * i, 50) AS text FROM {documents}, (SELECT 1 AS i UNION ALL SELECT 2 UNION ALL SELECT 3) n WHERE i <= doc_id % 4 AND length(text) > 200"""
+_CITED = "SELECT doc_id AS answer_id, concat('E', i) AS evidence_id FROM {documents}, (SELECT 1 AS i UNION ALL SELECT 2) n WHERE doc_id % 2 = 0 AND i <= doc_id % 5"
+_QUOTES = "SELECT doc_id AS answer_id, substr(text, 30 * i, 15) AS quote FROM {documents}, (SELECT 1 AS i UNION ALL SELECT 2 UNION ALL SELECT 4) n WHERE doc_id % 3 > 0 AND length(text) > 200"
+
+
+def evidence_rates(spark, d):
+    shown = _input(spark, d, _SHOWN).withColumn("content_hash", F.when(F.col("fresh"), T.content_hash(F.col("whole"))).otherwise("old")).drop("whole", "fresh").withColumnRenamed("stop", "end")
+    documents = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return evaluation.answer_rates(_input(spark, d, _ANSWERS), shown, _input(spark, d, _CITED), _input(spark, d, _QUOTES), documents)
+
+
+def tool_mentions(spark, d):
+    """Each document is asked for its own first word, by a table function over a lateral join."""
+    Tools.load().register(spark)
+    found = _input(spark, d, "SELECT d.doc_id, m.rank, m.at, m.start, m.end, m.snippet FROM {documents} d, LATERAL lookupCharacter(text => d.text, name => regexp_extract(d.text, '[a-z]+', 0)) m")
+    return found.select("doc_id", "rank", "at", "start", "end", F.sha2("snippet", 256).alias("text_sha256"))
+
+
+_TOOL_CALLS = """SELECT doc_id AS call_id, doc_id, CASE doc_id % 4 WHEN 0 THEN 'lookupCharacter' WHEN 1 THEN 'findInText' WHEN 2 THEN 'getChapterInfo' ELSE 'other' END AS name,
+  CASE doc_id % 9 WHEN 0 THEN '{{"name": "e", "query": "on", "chapterIndex": 1}}' WHEN 1 THEN '{{"name": "", "query": "x", "chapterIndex": 1.5}}' WHEN 2 THEN '{{"chapterIndex": "2"}}' WHEN 3 THEN '[1]' WHEN 4 THEN '{{'
+  WHEN 6 THEN '{{"query": 3, "name": "an", "chapterTitle": 5, "chapterIndex": true}}' WHEN 7 THEN '{{"name": null, "query": "an", "chapterIndex": 2.0}}' WHEN 8 THEN '{{"chapterTitle": "nowhere", "name": "qu", "query": "  qu "}}' END AS arguments FROM {documents}"""
+
+
+def tool_calls(spark, d):
+    """Calls that are rows: unknown tools, arguments that are none, lacking or of another type, and what the good ones find."""
+    done = Tools.load().run(_input(spark, d, _TOOL_CALLS), spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+    return done.select("call_id", "status", "code", "problem", "n")
+
+
 _ALL = (
     guarded_commands, status_moves, recovered_sources, cascade_deletion, scoped_expiry, timed_expiry, last_closed, own_messages, conversation_states, retrieval_statuses, token_use, run_rates, reasons, resolved_references, cached_summaries,
-    length_grid, window_estimates, shown_answers, first_and_last_turns, kept_memories, memory_changes, migrated_events,
+    length_grid, window_estimates, shown_answers, first_and_last_turns, kept_memories, memory_changes, migrated_events, evidence_rates, tool_mentions, tool_calls,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {
+    "evidence_rates": f"""
+WITH a AS ({_duck(_ANSWERS)}), e AS ({_duck(_SHOWN)}), c AS ({_duck(_CITED)}), g AS ({_duck(_QUOTES)}),
+x AS (SELECT answer_id, count(*) AS ne, count(start) AS nl, count(*) FILTER (start IS NOT NULL AND fresh AND text = substr(whole, start + 1, stop - start)) AS nx FROM e GROUP BY answer_id),
+z AS (SELECT c.answer_id, count(*) AS nc, CASE WHEN bool_and(e.answer_id IS NOT NULL) THEN count(*) ELSE 0 END AS legal FROM c LEFT JOIN e ON e.answer_id = c.answer_id AND e.evidence_id = c.evidence_id GROUP BY c.answer_id),
+q AS (SELECT g.answer_id, rn, min(e.ordinal) FILTER (contains(regexp_replace(e.text, '\\s', '', 'g'), regexp_replace(g.quote, '\\s', '', 'g'))) AS place FROM (SELECT *, row_number() OVER () AS rn FROM g) g LEFT JOIN e ON e.answer_id = g.answer_id GROUP BY g.answer_id, rn),
+y AS (SELECT answer_id, count(*) AS ng, count(place) AS nf, min(place) AS place FROM q GROUP BY answer_id),
+j AS (SELECT a.*, coalesce(ne, 0) AS ne, coalesce(nl, 0) AS nl, coalesce(nx, 0) AS nx, coalesce(nc, 0) AS nc, coalesce(legal, 0) AS legal, coalesce(ng, 0) AS ng, coalesce(nf, 0) AS nf, place FROM a LEFT JOIN x USING (answer_id) LEFT JOIN z USING (answer_id) LEFT JOIN y USING (answer_id))
+SELECT run, count(*) AS n_answers, count(*) FILTER (end_status IS NULL OR end_status <> 'completed') AS n_errors, count(*) FILTER (trim(answer) = '') AS n_empty,
+  round(CASE WHEN sum(nl) > 0 THEN sum(nx) / sum(nl) END, 6) AS coordinate_accuracy, round(CASE WHEN sum(nc) > 0 THEN sum(legal) / sum(nc) END, 6) AS citation_legality,
+  round(avg(CASE WHEN nf > 0 THEN 1.0 ELSE 0.0 END) FILTER (ng > 0), 6) AS hit, round(avg(nf / ng) FILTER (ng > 0), 6) AS recall, round(avg(coalesce(1.0 / place, 0.0)) FILTER (ng > 0), 6) AS mrr,
+  round(avg(CASE WHEN kind = 'answer' AND ne = 0 THEN 1.0 ELSE 0.0 END), 6) AS no_evidence_answers, round(avg(CASE WHEN tool_calls = 0 AND ne = 0 THEN 1.0 ELSE 0.0 END) FILTER (needs_evidence), 6) AS missed_retrieval,
+  round(avg(CASE WHEN kind = 'insufficient_evidence' OR regexp_matches(answer, '{A.NO_ANSWER}') THEN 1.0 ELSE 0.0 END) FILTER (ng = 0), 6) AS no_answer_handling, round(avg(tool_calls), 6) AS avg_tool_calls FROM j GROUP BY run""",
+    "tool_mentions": """
+WITH d AS (SELECT doc_id, text, regexp_extract(text, '[a-z]+') AS w FROM documents WHERE regexp_matches(text, '[a-z]')),
+p AS (SELECT *, string_split(text, w) AS pieces FROM d), r AS (SELECT *, unnest(range(1, least(7, len(pieces)))) AS rank FROM p),
+a AS (SELECT *, CAST(list_sum(list_transform(pieces[1:rank], lambda x: length(x))) + (rank - 1) * length(w) AS INTEGER) AS place FROM r),
+s AS (SELECT *, greatest(0, place - 80) AS lo, CAST(least(length(text), place + length(w) + 120) AS INTEGER) AS hi FROM a)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, place AS "at", lo AS start, hi AS "end", sha256(substr(text, lo + 1, hi - lo)) AS text_sha256 FROM s""",
+    "tool_calls": f"""
+WITH c AS (SELECT c.*, d.text, CASE WHEN json_valid(arguments) THEN CAST(arguments AS JSON) END AS j FROM ({_duck(_TOOL_CALLS)}) c LEFT JOIN documents d USING (doc_id)),
+o AS (SELECT *, coalesce(json_type(j) = 'OBJECT', false) AS is_object, json_type(j, '$.chapterIndex') AS it FROM c),
+b AS (SELECT *, list_filter(json_keys(j), lambda k: (k = 'chapterTitle' AND json_type(j, '$.chapterTitle') <> 'VARCHAR') OR (k = 'chapterIndex' AND NOT (it IN ('UBIGINT', 'BIGINT') OR (it = 'DOUBLE' AND TRY_CAST(j->>'$.chapterIndex' AS DOUBLE) = floor(TRY_CAST(j->>'$.chapterIndex' AS DOUBLE))))))[1] AS bad FROM o),
+v AS (SELECT *, CASE WHEN name = 'other' THEN NULL WHEN NOT is_object THEN 'not an object'
+    WHEN name = 'lookupCharacter' THEN CASE WHEN coalesce(j->>'$.name', '') = '' THEN 'missing name' WHEN json_type(j, '$.name') <> 'VARCHAR' THEN 'not string name' END
+    WHEN name = 'findInText' THEN CASE WHEN coalesce(j->>'$.query', '') = '' THEN 'missing query' WHEN json_type(j, '$.query') <> 'VARCHAR' THEN 'not string query' END
+    WHEN bad IS NOT NULL THEN 'not ' || CASE bad WHEN 'chapterIndex' THEN 'integer ' ELSE 'string ' END || bad END AS problem FROM b),
+n AS (SELECT *, name = 'other' OR problem IS NOT NULL AS failed, CASE name WHEN 'lookupCharacter' THEN j->>'$.name' WHEN 'findInText' THEN trim(j->>'$.query') END AS w FROM v),
+f AS (SELECT *, CASE WHEN failed THEN NULL WHEN name = 'getChapterInfo' THEN CASE WHEN trim(coalesce(text, '')) = '' THEN 0 WHEN it IS NOT NULL THEN CASE WHEN TRY_CAST(j->>'$.chapterIndex' AS DOUBLE) = 1 THEN 1 ELSE 0 END WHEN contains(text, j->>'$.chapterTitle') THEN 1 ELSE 0 END
+    WHEN name = 'findInText' AND length(w) < 2 THEN 0 ELSE least(CASE name WHEN 'findInText' THEN 3 ELSE 6 END, len(string_split(coalesce(text, ''), w)) - 1) END AS n FROM n)
+SELECT call_id, CASE WHEN failed THEN 'error' WHEN n > 0 THEN 'ok' ELSE 'empty' END AS status, CASE WHEN name = 'other' THEN 'UNKNOWN_TOOL' WHEN failed THEN 'INVALID_TOOL_ARGS' END AS code, problem, CAST(n AS INTEGER) AS n FROM f""",
     "migrated_events": "SELECT event_id, user_id, event_type, value, CASE WHEN event_type = 'error' THEN 'fault' ELSE 'act' END AS kind FROM events WHERE event_id % 5 > 0",
     "kept_memories": """
 WITH e AS (SELECT user_id, 'fact.' || event_type AS key, event_id AS seq, 'v' || (event_id % 3) AS value, event_id % 4 < 3 AND event_id % 5 > 0 AS sure FROM events),
