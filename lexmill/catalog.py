@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import derived, records
+from .derived import WORDS
 from .functions import answers as A
 from .functions import text as T
 from .functions import vectors as V
@@ -15,8 +16,6 @@ from .plans.scratch import new_path
 from .streaming import batches
 from .streaming import sessions as S
 
-WORDS = "[a-z][a-z0-9''-]+"  # as SQL text
-
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -86,27 +86,36 @@ def active_conversations(conversations: DataFrame) -> DataFrame:
     return conversations.withColumn("status", F.when(F.row_number().over(order) == 1, "active").otherwise("archived"))
 
 
-def retrieval_status(requests: DataFrame, books: DataFrame, versions: DataFrame, embedders: DataFrame, found: DataFrame) -> DataFrame:
-    """request_id, status (ok, empty, error, unavailable), code and vector_code of every request (request_id, user_id, book_id, expected_hash).
+def index_gate(requests: DataFrame, books: DataFrame, versions: DataFrame, embedders: DataFrame) -> DataFrame:
+    """``requests`` (user_id, book_id, expected_hash and more) with active_version, blocked and skipped: why no path, or no vector path, can be taken.
 
     ``books`` has user_id, book_id, active_version; ``versions`` version, user_id, book_id, status, content_hash, mode, fingerprint;
-    ``embedders`` user_id, fingerprint; ``found`` request_id, bm25_hits and vector_hits, null where the path failed.
-    Checks go in order: no index, an index without versions, a version that is not the book's or not ready, a changed
-    text.  A vector path that cannot be used is skipped with its code and the other path goes on.
+    ``embedders`` user_id, fingerprint.  Checks go in order: no index, an index without versions, a version that is not the book's or not ready, a changed text.
     """
-    v = versions.select(F.col("version").alias("active_version"), F.col("user_id").alias("_vu"), F.col("book_id").alias("_vb"), F.col("status").alias("_vs"), "content_hash", "mode", F.col("fingerprint").alias("_built"))
-    out = requests.join(books.withColumn("_known", F.lit(True)), ["user_id", "book_id"], "left").join(v, "active_version", "left")
-    out = out.join(embedders.select("user_id", F.col("fingerprint").alias("_now")), "user_id", "left").join(found, "request_id", "left")
+    v = versions.select(F.col("version").alias("active_version"), F.col("user_id").alias("_vu"), F.col("book_id").alias("_vb"), F.col("status").alias("_vs"), F.col("content_hash").alias("_vh"), F.col("mode").alias("_mode"), F.col("fingerprint").alias("_built"))
+    out = requests.join(books.select("user_id", "book_id", "active_version", F.lit(True).alias("_known")), ["user_id", "book_id"], "left").join(v, "active_version", "left")
+    out = out.join(embedders.select("user_id", F.col("fingerprint").alias("_now")), "user_id", "left")
     ready = (F.col("_vu") == F.col("user_id")) & (F.col("_vb") == F.col("book_id")) & (F.col("_vs") == "ready")
-    stale = F.col("expected_hash").isNotNull() & (F.col("expected_hash") != F.col("content_hash"))
+    stale = F.col("expected_hash").isNotNull() & (F.col("expected_hash") != F.col("_vh"))
     blocked = F.when(F.col("_known").isNull(), "INDEX_UNAVAILABLE").when(F.col("active_version").isNull(), "INDEX_LEGACY").when(~F.coalesce(ready, F.lit(False)), "INDEX_UNAVAILABLE").when(stale, "INDEX_STALE")
-    vector = F.when(F.col("mode") == "bm25", "BM25_ONLY").when(F.col("_now").isNull(), "VECTOR_UNAVAILABLE").when(~F.col("_now").eqNullSafe(F.col("_built")), "VECTOR_INCOMPATIBLE").when(F.col("vector_hits").isNull(), "VECTOR_FAILED")
-    out = out.withColumn("_blocked", blocked).withColumn("vector_code", F.when(F.col("_blocked").isNull(), vector))
+    skipped = F.when(F.col("_mode") == "bm25", "BM25_ONLY").when(F.col("_now").isNull(), "VECTOR_UNAVAILABLE").when(~F.col("_now").eqNullSafe(F.col("_built")), "VECTOR_INCOMPATIBLE")
+    out = out.withColumn("blocked", blocked).withColumn("skipped", F.when(F.col("blocked").isNull(), skipped))
+    return out.drop("_known", "_vu", "_vb", "_vs", "_vh", "_mode", "_built", "_now")
+
+
+def retrieval_status(requests: DataFrame, books: DataFrame, versions: DataFrame, embedders: DataFrame, found: DataFrame) -> DataFrame:
+    """request_id, status (ok, empty, error, unavailable), code and vector_code of every request (request_id, user_id, book_id, expected_hash) behind ``index_gate``.
+
+    ``found`` has request_id, bm25_hits and vector_hits, null where the path failed.  A vector path that cannot be used
+    is skipped with its code and the other path goes on.
+    """
+    out = index_gate(requests, books, versions, embedders).join(found, "request_id", "left")
+    out = out.withColumn("vector_code", F.coalesce("skipped", F.when(F.col("blocked").isNull() & F.col("vector_hits").isNull(), "VECTOR_FAILED")))
     usable = F.when(F.col("vector_code").isNull(), F.col("vector_hits"))
     hits = F.coalesce("bm25_hits", F.lit(0)) + F.coalesce(usable, F.lit(0))
     failed = F.col("bm25_hits").isNull() & usable.isNull()
-    status = F.when(F.col("_blocked").isNotNull(), "unavailable").when(hits > 0, "ok").when(failed, "error").otherwise("empty")
-    code = F.when(F.col("_blocked").isNotNull(), F.col("_blocked")).when(status == "error", "RETRIEVAL_FAILED").when(F.col("bm25_hits").isNull(), "BM25_FAILED")
+    status = F.when(F.col("blocked").isNotNull(), "unavailable").when(hits > 0, "ok").when(failed, "error").otherwise("empty")
+    code = F.when(F.col("blocked").isNotNull(), F.col("blocked")).when(status == "error", "RETRIEVAL_FAILED").when(F.col("bm25_hits").isNull(), "BM25_FAILED")
     return out.select("request_id", status.alias("status"), code.alias("code"), "vector_code")
 
 

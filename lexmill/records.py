@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .derived import _duck, _input
+from .derived import WORDS, _duck, _input
 from .functions import answers as A
 from .functions import text as T
-from .operators import evaluation, governance, reports
+from .functions.vectors import embed_texts
+from .operators import evaluation, governance, reports, retrieval, search
 from .plans.layouts import Append, Layout, Step, missing_rows
 from .plans.scratch import new_path
 from .plans.tools import Tools
@@ -200,13 +201,58 @@ def tool_calls(spark, d):
     return done.select("call_id", "status", "code", "problem", "n")
 
 
+# Twelve versions of two books of six users, one of them without a version, one unfinished, one another user's, some without vectors or with other ones.
+_SHELF = "(SELECT DISTINCT doc_id % 6 AS u FROM {documents}) a, (SELECT 0 AS b UNION ALL SELECT 1) b"
+_SHELVED = f"SELECT u AS user_id, b AS book_id, CASE WHEN u < 5 OR b = 0 THEN u * 2 + b END AS active_version FROM {_SHELF}"
+_BUILT = f"SELECT u * 2 + b AS version, CASE WHEN u = 4 AND b = 1 THEN 0 ELSE u END AS user_id, b AS book_id, CASE WHEN u = 3 AND b = 0 THEN 'building' ELSE 'ready' END AS status, 'h1' AS content_hash, CASE u WHEN 1 THEN 'bm25' ELSE 'embedding+bm25' END AS mode, CASE WHEN u = 2 AND b = 1 THEN 'f2' ELSE 'f1' END AS fingerprint FROM {_SHELF}"
+_MODELS = "SELECT DISTINCT doc_id % 6 AS user_id, 'f1' AS fingerprint FROM {documents} WHERE doc_id % 6 <> 3"
+_ASKED = "SELECT item_id AS request_id, item_id % 7 AS user_id, item_id % 3 % 2 AS book_id, CASE item_id % 8 WHEN 0 THEN 'h1' WHEN 1 THEN 'h2' END AS expected_hash, CASE WHEN item_id % 9 = 4 THEN '--' ELSE text END AS text FROM {benchmark}"
+_BODIES = "SELECT doc_id, doc_id % 12 AS version, text FROM {documents}"
+
+
+def searches(spark, d):
+    """Requests against their books' versions, with what became of each and its hits; every eleventh query gets no vector, every thirteenth no reranking."""
+    asked, bodies = _input(spark, d, _ASKED), _input(spark, d, _BODIES)
+    vectors = embed_texts(bodies.select("doc_id", "text")).join(bodies.select("doc_id", "version"), "doc_id").withColumn("fingerprint", F.expr("if(version = 5, 'f2', 'f1')"))
+    query_vectors = embed_texts(asked.filter("request_id % 11 > 0").select(F.col("request_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("request_id"), "embedding")
+    reranker = lambda pool, texts, queries, k: retrieval.rerank(pool, texts, queries.filter("query_id % 13 > 0"), k)
+    done = search.search(asked, _input(spark, d, _SHELVED), _input(spark, d, _BUILT), _input(spark, d, _MODELS), bodies, vectors, query_vectors, reranker=reranker)
+    return done.withColumn("hits", F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["doc_id"].cast("string"), h["method"])), ","))
+
+
 _ALL = (
     guarded_commands, status_moves, recovered_sources, cascade_deletion, scoped_expiry, timed_expiry, last_closed, own_messages, conversation_states, retrieval_statuses, token_use, run_rates, reasons, resolved_references, cached_summaries,
-    length_grid, window_estimates, shown_answers, first_and_last_turns, kept_memories, memory_changes, migrated_events, evidence_rates, tool_mentions, tool_calls,
+    length_grid, window_estimates, shown_answers, first_and_last_turns, kept_memories, memory_changes, migrated_events, evidence_rates, tool_mentions, tool_calls, searches,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {
+    "searches": f"""
+WITH r AS ({_duck(_ASKED)}), b AS ({_duck(_SHELVED)}), v AS ({_duck(_BUILT)}), m AS ({_duck(_MODELS)}), docs AS ({_duck(_BODIES)}),
+g AS (SELECT r.*, b.active_version AS version, CASE WHEN b.user_id IS NULL THEN 'INDEX_UNAVAILABLE' WHEN b.active_version IS NULL THEN 'INDEX_LEGACY' WHEN NOT coalesce(v.user_id = r.user_id AND v.book_id = r.book_id AND v.status = 'ready', false) THEN 'INDEX_UNAVAILABLE' WHEN r.expected_hash <> v.content_hash THEN 'INDEX_STALE' END AS blocked,
+    CASE WHEN v.mode = 'bm25' THEN 'BM25_ONLY' WHEN m.fingerprint IS NULL THEN 'VECTOR_UNAVAILABLE' WHEN m.fingerprint <> v.fingerprint THEN 'VECTOR_INCOMPATIBLE' WHEN r.request_id % 11 = 0 THEN 'VECTOR_FAILED' END AS vc
+  FROM r LEFT JOIN b ON b.user_id = r.user_id AND b.book_id = r.book_id LEFT JOIN v ON v.version = b.active_version LEFT JOIN m ON m.user_id = r.user_id),
+d AS (SELECT doc_id, version, text, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS w FROM docs),
+s AS (SELECT version, count(*) AS n, avg(len(w)) AS avg_len FROM d GROUP BY version),
+tf AS (SELECT version, doc_id, token, count(*) AS tf, first(dl) AS dl FROM (SELECT version, doc_id, len(w) AS dl, unnest(w) AS token FROM d) GROUP BY ALL),
+q AS (SELECT request_id, version, token, count(*) AS times FROM (SELECT request_id, version, unnest(regexp_extract_all(lower(coalesce(text, '')), '{WORDS}')) AS token FROM g WHERE blocked IS NULL) GROUP BY ALL),
+df AS (SELECT version, token, count(*) AS df FROM tf GROUP BY ALL),
+sc AS (SELECT request_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))), 9) AS score FROM q JOIN tf USING (version, token) JOIN df USING (version, token) JOIN s USING (version) GROUP BY ALL),
+x AS (SELECT request_id, doc_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id) AS r1 FROM sc WHERE score > 0 QUALIFY r1 <= 20),
+src AS (SELECT 0 AS side, doc_id AS id, coalesce(text, '') AS text FROM docs UNION ALL SELECT 1, request_id, text FROM g WHERE blocked IS NULL AND vc IS NULL),
+ch AS (SELECT side, id, unicode(c) AS u, count(*) AS n FROM (SELECT side, id, unnest(string_split(text, '')) AS c FROM src) WHERE c <> '' GROUP BY ALL),
+dim AS (SELECT side, id, d, sum(v) AS v FROM (SELECT side, id, u % 1024 AS d, n::DOUBLE AS v FROM ch UNION ALL SELECT side, id, 31 * u % 1024, 0.5 * n FROM ch) GROUP BY ALL),
+nrm AS (SELECT side, id, sqrt(sum(v * v)) AS l FROM dim GROUP BY ALL),
+vec AS (SELECT src.side, src.id, list(coalesce(v / l, 0.0) ORDER BY d) AS e FROM src CROSS JOIN (SELECT unnest(range(1024)) AS d) LEFT JOIN dim USING (side, id, d) LEFT JOIN nrm USING (side, id) GROUP BY ALL),
+y AS (SELECT g.request_id, t.id AS doc_id, row_number() OVER (PARTITION BY g.request_id ORDER BY round(list_distance(q.e, t.e), 9), t.id) AS r2 FROM g JOIN vec q ON q.side = 1 AND q.id = g.request_id JOIN docs ON docs.version = g.version JOIN vec t ON t.side = 0 AND t.id = docs.doc_id WHERE g.version <> 5 QUALIFY r2 <= 20),
+u AS (SELECT request_id, doc_id, r1, r2, round(coalesce(1.0 / (60 + r1), 0.0) + coalesce(1.0 / (60 + r2), 0.0), 9) AS rrf FROM x FULL JOIN y USING (request_id, doc_id)),
+p AS (SELECT *, CASE WHEN r1 IS NOT NULL AND r2 IS NOT NULL THEN 'hybrid' WHEN r1 IS NOT NULL THEN 'bm25' ELSE 'vector' END AS method, row_number() OVER (PARTITION BY request_id ORDER BY rrf DESC, r1 NULLS LAST, r2 NULLS LAST, doc_id) AS pr FROM u QUALIFY pr <= 10),
+n AS (SELECT request_id, count(*) AS n FROM p GROUP BY request_id),
+sh AS (SELECT p.*, n.n, n.n > 1 AND p.request_id % 13 > 0 AS redone, round(CASE WHEN regexp_matches(docs.text, '[^\\s]') THEN len(list_filter(string_split(docs.text, ''), lambda c: contains(g.text, c))) / greatest(length(docs.text), 1) ELSE 0.0 END, 9) AS share FROM p JOIN n USING (request_id) JOIN docs USING (doc_id) JOIN g USING (request_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN redone THEN -share END, pr) AS rank FROM sh),
+h AS (SELECT request_id, string_agg(doc_id || ':' || method, ',' ORDER BY rank) AS hits, bool_or(redone) AS redone, bool_or(n > 1) AS several FROM o WHERE rank <= 5 GROUP BY request_id)
+SELECT request_id, CASE WHEN blocked IS NULL THEN version END AS version, CASE WHEN blocked IS NOT NULL THEN 'unavailable' WHEN hits IS NULL THEN 'empty' ELSE 'ok' END AS status, blocked AS code, CASE WHEN blocked IS NULL THEN vc END AS vector_code, CASE WHEN several AND NOT redone THEN 'RERANK_FAILED' END AS rerank_code,
+  CASE WHEN hits IS NOT NULL THEN CASE WHEN vc IS NULL THEN 'hybrid(embedding+bm25)' ELSE 'bm25' END || CASE WHEN redone THEN '+rerank' ELSE '' END END AS source, coalesce(hits, '') AS hits FROM g LEFT JOIN h USING (request_id)""",
     "evidence_rates": f"""
 WITH a AS ({_duck(_ANSWERS)}), e AS ({_duck(_SHOWN)}), c AS ({_duck(_CITED)}), g AS ({_duck(_QUOTES)}),
 x AS (SELECT answer_id, count(*) AS ne, count(start) AS nl, count(*) FILTER (start IS NOT NULL AND fresh AND text = substr(whole, start + 1, stop - start)) AS nx FROM e GROUP BY answer_id),
