@@ -12,7 +12,8 @@ search reads key intervals:
 3. a search is certified when its k-th score is at a distance within its radius, or its radius holds every score
    that counts.  What is not certified goes on with a larger radius.
 
-Anchors travel in groups of at most GROUP, so that a group and a block make one matrix product.  A block's tile is
+Anchors travel in groups of at most GROUP, so that a group and a block make one matrix product.  The blocks that one
+task has written are a bin: a group is sent once to each bin in which it asks for blocks, and meets them there.  A block's tile is
 left out for anchors whose annulus misses it.  Scores are integers: float64 products are exact below 2^53, int64 ones
 are taken above; vectors whose inner products no long can hold are refused.
 """
@@ -67,7 +68,7 @@ def distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 class DistanceIndex:
     """Integer vectors (row, id, label, x) sorted by (pivot, distance from it) in written blocks.
 
-    ``blocks``: block, pivot, lo, hi, ids, labels, rows, x (all rows' components in one array); ``where``: row, its block (own), pivot and lo.
+    ``blocks``: bin, block, pivot, lo, hi, ids, labels, rows, x (all rows' components in one array); ``where``: row, its block (own), its bin, pivot and lo.
     """
 
     def __init__(self, vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE, block: int = BLOCK) -> None:
@@ -77,8 +78,7 @@ class DistanceIndex:
         if self.top >= 2.0**63:
             raise OverflowError("an inner product of these vectors exceeds a long")
         self.exact = self.top < 2.0**53
-        picked = vectors.orderBy(F.xxhash64("id", "x"), "row").limit(sample).select("x").toPandas()["x"] if n else []
-        chosen = np.array(list(picked), np.float64) if n else np.zeros((0, 1))
+        chosen = np.array([r["x"] for r in self._lowest(vectors, sample).select("x").collect()], np.float64) if n else np.zeros((0, 1))
         self.dims = chosen.shape[1]
         self.pivots = fit_pivots(augmented(chosen, self.top), pivots)
         self.reach = 2 * np.sqrt(self.top) + 1  # no distance is larger
@@ -86,10 +86,21 @@ class DistanceIndex:
         tasks = max(1, min(-(-n // block), 256), n // 65536)
         keyed = vectors.select("row", "id", "label", "x").mapInArrow(self._keys(), "row long, id long, label int, x array<long>, pivot int, dist double")
         placed = keyed.repartitionByRange(tasks, "pivot", "dist", "row").sortWithinPartitions("pivot", "dist", "row")
-        spec = "block long, pivot int, lo double, hi double, ids array<long>, labels array<int>, rows array<long>, x array<long>"
+        spec = "bin long, block long, pivot int, lo double, hi double, ids array<long>, labels array<int>, rows array<long>, x array<long>"
         # A block is one row, so a file's row groups are kept small enough to be read by different tasks.
         self.blocks = materialize(placed.mapInArrow(self._cut(block), spec), "key-blocks", codec="zstd")
-        self.where = self.blocks.select(F.col("block").alias("own"), "pivot", "lo", F.explode("rows").alias("row"))
+        self.where = self.blocks.select(F.col("block").alias("own"), "bin", "pivot", "lo", F.explode("rows").alias("row"))
+
+    def _lowest(self, vectors: DataFrame, sample: int) -> DataFrame:
+        """The ``sample`` rows with the smallest hashes.
+
+        Each task sends the driver its own first rows to merge, so only hashes below a bound that about twice as many
+        rows of the table meet take part: what is sent doesn't grow with the tasks.  Row numbers keep equal rows apart.
+        """
+        hashed = vectors.withColumn("_hash", F.xxhash64("id", "x", "row"))
+        if (few := 2 * sample + 64) < self.n:
+            hashed = hashed.filter(F.col("_hash") < (few << 64) // self.n - (1 << 63))
+        return hashed.orderBy("_hash", "row").limit(sample)
 
     def _keys(self):
         pivots, top, dims = self.pivots, self.top, self.dims
@@ -105,14 +116,16 @@ class DistanceIndex:
     def _cut(self, block: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
+            bins: list[int] = []
 
             def rows() -> Iterator[pa.RecordBatch]:
                 whole = pa.Table.from_batches(held).combine_chunks()
                 held.clear()
                 row, at = whole["row"].to_numpy(), whole["dist"].to_numpy()
                 lists = [pa.array([c.to_numpy(zero_copy_only=False)], pa.list_(t)) for c, t in ((whole["id"].combine_chunks().fill_null(NO_ID), pa.int64()), (whole["label"].combine_chunks(), pa.int32()), (whole["row"].combine_chunks(), pa.int64()), (whole["x"].combine_chunks().flatten(), pa.int64()))]
-                one = [pa.array([row[0]]), pa.array([whole["pivot"][0].as_py()], pa.int32()), pa.array([at[0]]), pa.array([at[-1]])]
-                yield pa.RecordBatch.from_arrays([*one, *lists], ["block", "pivot", "lo", "hi", "ids", "labels", "rows", "x"])
+                bins[:] = bins or [row[0]]
+                one = [pa.array(bins, pa.int64()), pa.array([row[0]]), pa.array([whole["pivot"][0].as_py()], pa.int32()), pa.array([at[0]]), pa.array([at[-1]])]
+                yield pa.RecordBatch.from_arrays([*one, *lists], ["bin", "block", "pivot", "lo", "hi", "ids", "labels", "rows", "x"])
 
             size, pivot = 0, None
             for batch in batches:
@@ -183,7 +196,7 @@ class DistanceIndex:
         spread = materialize(anchors.join(self.where, "row").repartitionByRange(tasks, "pivot", "lo", "row").sortWithinPartitions("pivot", "lo", "row").withColumn("grp", F.floor(F.monotonically_increasing_id() / GROUP)), "anchors")
         d2 = lambda score, x: F.sqrt(F.greatest(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")) + self.top - 2 * score.cast("double"), F.lit(0.0)))
         inner = d2(F.array_max(F.transform("slots", lambda s: s["cap"])), F.col("x"))
-        state = spread.select("grp", "row", "label", "x", "own", "slots", F.least(inner, F.lit(self.reach)).alias("inner"), F.lit(0.0).alias("radius"), F.lit(float("-inf")).alias("done"))
+        state = spread.select("grp", "row", "label", "x", "own", "bin", "slots", F.least(inner, F.lit(self.reach)).alias("inner"), F.lit(0.0).alias("radius"), F.lit(float("-inf")).alias("done"))
         found, turn = None, 0
         while True:
             state = materialize(state, "searches")
@@ -191,12 +204,15 @@ class DistanceIndex:
                 return found
             groups = state.groupBy("grp").agg(F.collect_list(F.struct("row", "label", "x", "own", "slots", "inner", "radius", "done")).alias("anchors"))
             if turn == 0:
-                pairs = state.select("grp", F.col("own").alias("block")).distinct()
+                pairs = state.select("grp", "bin", F.col("own").alias("block")).distinct()
             else:
                 windows = groups.mapInArrow(self._windows(), "grp long, pivot int, w_lo double, w_hi double")
-                keys = self.blocks.select("block", "pivot", "lo", "hi")
-                pairs = windows.join(keys, "pivot").filter("lo <= w_hi AND hi >= w_lo").select("grp", "block")
-            asked = pairs.join(groups, "grp").join(self.blocks, "block")
+                keys = self.blocks.select("bin", "block", "pivot", "lo", "hi")
+                pairs = windows.join(keys, "pivot").filter("lo <= w_hi AND hi >= w_lo").select("grp", "bin", "block")
+            # Spark takes the size of arrays for that of one element: without the hints it may broadcast a group's copies.
+            # Nor is any other table broadcast here that has rows of all anchors.
+            wanted_in = pairs.groupBy("grp", "bin").agg(F.collect_list("block").alias("blocks"))
+            asked = wanted_in.join(groups.hint("merge"), "grp").join(self.blocks.hint("merge"), "bin").filter("array_contains(blocks, block)").drop("blocks")
             new = asked.mapInArrow(self._tiles(same, turn == 0, k), FOUND)
             every = new if found is None else found.select("anchor", "slot", "score", "id", "row").unionByName(new)
             order = Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "id", "row")
@@ -208,11 +224,11 @@ class DistanceIndex:
             goal = F.least(d2(F.array_min(F.transform("wanted", lambda s: s["floor"])), F.col("x")), F.lit(self.reach))
             open_slots = F.exists("wanted", lambda s: F.col("lasts").isNull() | F.col("lasts")[s["slot"]].isNull())
             grown = F.greatest(2 * F.col("radius"), F.lit(self.reach / 4))
-            nxt = state.join(full, "row", "left").withColumn("wanted", wanted).withColumn("goal", goal)
+            nxt = state.join(full.hint("merge"), "row", "left").withColumn("wanted", wanted).withColumn("goal", goal)
             nxt = nxt.filter(F.col("goal") > F.col("radius")) if turn else nxt
             radius = F.when(open_slots, F.least(F.col("goal"), F.greatest(grown, F.col("inner") + self.reach / 8))).otherwise(F.col("goal"))
             done = F.col("radius") if turn else F.lit(float("-inf"))
-            state = nxt.select("grp", "row", "label", "x", "own", F.col("wanted").alias("slots"), "inner", radius.alias("radius"), done.alias("done"))
+            state = nxt.select("grp", "row", "label", "x", "own", "bin", F.col("wanted").alias("slots"), "inner", radius.alias("radius"), done.alias("done"))
             turn += 1
 
 
@@ -269,9 +285,9 @@ def mine(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", la
     p = F.col("score")
     cap, floor = p - F.expr("(score + 9) div 10"), 3 * F.expr("score div 10") + F.expr("(3 * (score % 10) + 9) div 10")
     slots = positives.filter("score >= 0").groupBy(F.col("anchor").alias("row")).agg(F.sort_array(F.collect_list(slot(F.col("rank"), cap, floor))).alias("slots"))
-    negatives = index.search(anchors.join(slots, "row"), False, NEGATIVES)
+    negatives = index.search(anchors.join(slots.hint("merge"), "row"), False, NEGATIVES)
     named = positives.select("anchor", F.col("rank").alias("slot"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     own = anchors.select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    both = negatives.withColumnRenamed("score", "negative_score").withColumnRenamed("id", "negative_id").join(named, ["anchor", "slot"]).join(own, "anchor")
+    both = negatives.withColumnRenamed("score", "negative_score").withColumnRenamed("id", "negative_id").join(named.hint("merge"), ["anchor", "slot"]).join(own, "anchor")
     return both.select("anchor_id", back("positive_id"), F.col("rank").cast("int").alias("rank"), back("negative_id"), "positive_score", "negative_score")

@@ -90,6 +90,36 @@ def test_clustered_vectors_leave_blocks_unread(spark):
     assert found.count() == 24 and reads.value < index.blocks.count()
 
 
+def most_sent(spark, since=-1):
+    """The last stage's id, and the most bytes that tasks of one stage after ``since`` have sent the driver."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    stages = [(s.stageId(), s.resultSize()) for s in (found.apply(i) for i in range(found.size()))]
+    return max((i for i, _ in stages), default=-1), max((size for i, size in stages if i > since), default=0)
+
+
+def test_sample_sent_to_the_driver_does_not_grow_with_the_tasks(spark):
+    x = F.array(*(F.xxhash64("id", F.lit(c)) % 256 for c in range(32)))
+    vectors = spark.range(32_000, numPartitions=64).select(F.col("id").alias("row"), "id", F.lit(1).alias("label"), x.alias("x"))
+    since, _ = most_sent(spark)
+    index = hard_negatives.DistanceIndex(vectors, pivots=4, sample=400)
+    assert index.n == 32_000 and most_sent(spark, since)[1] < 1_000_000
+    picked = {r["row"] for r in index._lowest(vectors, 400).collect()}
+    assert picked == {r["row"] for r in vectors.orderBy(F.xxhash64("id", "x", "row"), "row").limit(400).collect()} and len(picked) == 400
+
+
+def test_groups_of_anchors_are_not_broadcast(spark):
+    """Each of 100 blocks meets a group of 250 anchors: broadcast, its copies for each block would pass through the driver (15 MB before compression)."""
+    x = F.array(*(F.xxhash64("id", F.lit(c)) % 256 for c in range(64)))
+    vectors = spark.range(5000, numPartitions=4).select(F.col("id").alias("row"), "id", (F.col("id") % 3).cast("int").alias("label"), x.alias("x"))
+    index = hard_negatives.DistanceIndex(vectors, pivots=4, block=50, sample=200)
+    slots = F.array(F.struct(F.lit(0).alias("slot"), F.lit(2**63 - 1).alias("cap"), F.lit(-(2**63)).alias("floor")))
+    since, _ = most_sent(spark)
+    assert index.search(vectors.filter("id % 20 = 0").withColumn("slots", slots), True, 3).count() == 750
+    assert most_sent(spark, since)[1] < 1_000_000
+
+
 def plain_whitening(rows):
     x = [(i, [floor(1024 * c) + 100_000 for c in vec]) for i, vec, _ in rows]
     n, d = len(x), len(x[0][1])
