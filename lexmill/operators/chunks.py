@@ -106,6 +106,17 @@ def chunk(text: str, sizes: Sizes = Sizes()) -> Iterator[tuple[int, str, int, in
                     yield number, title, at[s], at[e], part
 
 
+def windows(n: int, sizes: Sizes = Sizes()) -> Iterator[tuple[int, int]]:  # noqa: B008
+    """(start, end) of the chunks of one stretch of ``n`` characters."""
+    if n <= sizes.whole:
+        if n:
+            yield 0, n
+        return
+    step = sizes.target - sizes.overlap
+    for start in range(0, n - sizes.overlap, step):
+        yield start, min(start + sizes.target, n)
+
+
 CHUNK = "doc_id long, chunk_index int, chapter_id string, chapter_ordinal int, chapter_title string, start int, end int, text string"
 
 
@@ -129,6 +140,25 @@ def chunk_documents(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:  # no
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalize_text(F.col("text")).alias("text")).mapInArrow(run, CHUNK)
 
 
+def chunk_plain(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:  # noqa: B008
+    """doc_id, chunk_index, start, end and text of the chunks of every row of ``docs`` (doc_id, text), each text one stretch as it stands.
+
+    No normal form, chapters or paragraphs; offsets are characters.  Null and empty texts have none; text equals the slice at its offsets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(k, 256), []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    rows += [(doc_id, n, s, e, text[s:e]) for n, (s, e) in enumerate(windows(len(text or ""), sizes))]
+                columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "chunk_index", "start", "end", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, chunk_index int, start int, end int, text string")
+
+
 def chapter_table(docs: DataFrame) -> DataFrame:
     """doc_id, ordinal, title, start, end (units) of every chapter."""
 
