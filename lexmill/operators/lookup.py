@@ -119,16 +119,20 @@ def with_fallback(hits: DataFrame, docs: DataFrame, asks: DataFrame) -> DataFram
     return hits.select("ask_id", "doc_id", "rank", "start", "end", "text", "method").unionByName(found.select("ask_id", "doc_id", "rank", "start", "end", "text", F.lit("fulltext").alias("method")))
 
 
-def trim_hits(hits: DataFrame, key: str, rank: str = "rank", size: int = 600, most: int = 10) -> DataFrame:
-    """The first ``most`` hits (text, start, end) of each key, texts cut at ``size`` code units, ends moved with them; truncated says which."""
+def trim_hits(hits: DataFrame, key: str, rank: str = "rank", size: int = 600, most: int = 10, characters: bool = False) -> DataFrame:
+    """The first ``most`` hits (text, start, end) of each key, texts cut at ``size`` code units, ends moved with them; truncated says which.
+
+    ``characters``: sizes and offsets are characters.
+    """
+    length = F.length if characters else utf16_length
     short = F.substring("text", 1, size)
     sizes = F.sequence(F.lit((size + 1) // 2), F.lit(size))
     fits = F.element_at(F.filter(sizes, lambda n: utf16_length(F.substring(F.col("text"), F.lit(1), n)) >= size), 1)
-    cut = F.when(utf16_length(short) <= size, short).otherwise(F.substring(F.col("text"), F.lit(1), fits))
-    long = utf16_length(F.col("text")) > size
+    cut = F.when(length(short) <= size, short).otherwise(F.substring(F.col("text"), F.lit(1), fits))
+    long = length(F.col("text")) > size
     rows = top(hits.withColumnRenamed(rank, "_rank"), key, F.col("_rank"), k=most).drop("rank").withColumnRenamed("_rank", rank)
     rows = rows.withColumn("truncated", long).withColumn("_cut", F.when(long, cut).otherwise(F.col("text")))
-    return rows.withColumn("end", F.when(F.col("truncated"), F.col("start") + utf16_length(F.col("_cut"))).otherwise(F.col("end"))).withColumn("text", F.col("_cut")).drop("_cut")
+    return rows.withColumn("end", F.when(F.col("truncated"), F.col("start") + length(F.col("_cut"))).otherwise(F.col("end"))).withColumn("text", F.col("_cut")).drop("_cut")
 
 
 def fit_budget(rows: DataFrame, key: str, order: str, size: Column, room: int = 12_000) -> DataFrame:
