@@ -5,7 +5,7 @@ Queries are a stated set; documents are everything.  Statistics cover all docume
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,27 +85,36 @@ def _bm25_in_rows(words: DataFrame, rows: list, asked: DataFrame, k: int) -> Dat
         at = place[r["token"]]
         asks[number[r["query_id"]]][0].append(at)
         asks[number[r["query_id"]]][1].append(r["times"] * idf[at])
-    queries = [(np.array(t), np.array(w)) for t, w in asks]
-    block = max(64, min(1024, (4 << 20) // max(len(vocabulary), 1)))
+    return score_in_rows(counts.filter("doc_id IS NOT NULL"), list(zip(ids, asks, strict=True)), len(vocabulary), float(avg_len or 1.0), k, spec)
+
+
+def score_in_rows(counts: DataFrame, asks: list[tuple], terms: int, avg_len: float, k: int, spec: str, rows: Callable = iter) -> DataFrame:
+    """query_id (of type ``spec``), doc_id, score, rank of the ``k`` best of ``counts`` (doc_id, dl, terms, tfs; terms are numbers below ``terms``).
+
+    ``asks``: (query_id, (its terms, their weights)) of every query.  ``rows`` makes those columns of the batches of ``counts``, where they are others.
+    """
+    ids = [q for q, _ in asks]
+    queries = [(np.array(t, np.int64), np.array(w)) for _, (t, w) in asks]
+    block = max(64, min(1024, (4 << 20) // max(terms, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(queries), k)
-        for batch in batches:
+        for batch in rows(batches):
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
                 dl, edges = part.column(1).to_numpy().astype(np.float64), part.column(2).offsets.to_numpy()
                 row = np.repeat(np.arange(part.num_rows), np.diff(edges))
                 tf = part.column(3).flatten().to_numpy().astype(np.float64)
-                impact = np.zeros((len(vocabulary), part.num_rows))
-                impact[part.column(2).flatten().to_numpy(), row] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / float(avg_len or 1.0)))
+                share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avg_len))
+                impact = np.bincount(part.column(2).flatten().to_numpy() * part.num_rows + row, share, terms * part.num_rows).reshape(terms, part.num_rows)
                 score = np.stack([w @ impact[t] for t, w in queries])
                 best.add(part.column(0).to_numpy(), np.where(score > 0, -np.round(score, 9), np.nan))
         best.prune()
         yield pa.RecordBatch.from_arrays([pa.array(best.query.astype(np.int32)), pa.array(best.id), pa.array(-best.score)], ["q", "doc_id", "score"])
 
     if not ids:
-        return asked.select("query_id").limit(0).selectExpr("query_id", "cast(null as long) AS doc_id", "cast(null as double) AS score", "cast(null as int) AS rank")
-    found = counts.filter("doc_id IS NOT NULL").mapInArrow(run, "q int, doc_id long, score double")
+        return counts.limit(0).selectExpr(f"cast(null as {spec}) AS query_id", "cast(null as long) AS doc_id", "cast(null as double) AS score", "cast(null as int) AS rank")
+    found = counts.mapInArrow(run, "q int, doc_id long, score double")
     named = F.get(F.array(*(F.lit(q) for q in ids)).cast(f"array<{spec}>"), F.col("q"))
     return top(found, "q", F.desc("score"), F.col("doc_id"), k=k).select(named.alias("query_id"), "doc_id", "score", "rank")
 

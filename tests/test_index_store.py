@@ -1,16 +1,19 @@
 """Stored postings, publication races, leases, clearing and resumable vectors."""
 
+import os
 import subprocess
 import sys
 import textwrap
 import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import retrieval
-from lexmill.plans import commits
+from lexmill.plans import commits, postings, scratch
 from lexmill.plans.index_store import IndexFailed, IndexStale, IndexStore
 from lexmill.plans.postings import Postings, build_postings
 
@@ -57,6 +60,47 @@ def test_blocks_below_the_bound_are_left_out(spark, tmp_path):
     assert rows(index.search(query, 5)) == rows(retrieval.bm25(df, query, 5))
 
 
+def test_an_index_shuffles_its_postings_once_and_writes_no_tokens(spark, tmp_path):
+    docs, items = "/root/testdata/sf0.01/documents.parquet", spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before, since = shuffled(), scratch.mark()
+    build_postings(spark.read.parquet(docs), f"file://{tmp_path}/p")
+    assert Postings(spark, f"file://{tmp_path}/p").search(items).count() == 400
+    assert {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in scratch._own.written[since:]} == {"asked", "asked-terms"}
+    assert shuffled() - before < 4 * os.path.getsize(docs)
+
+
+def test_few_and_many_queries_score_alike_with_odd_ids(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i * 10**15 - 7, f"common w{i % 7} " + "pad " * (i % 11)) for i in range(300)] + [(None, "common"), (5, ""), (6, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([("a", "common w3 w3"), ("b", "pad"), ("c", "nothing"), ("d", None)], "query_id string, text string")
+    build_postings(docs, f"file://{tmp_path}/p")
+    index = Postings(spark, f"file://{tmp_path}/p")
+    rows = lambda: [(r["query_id"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in index.search(queries, 9).orderBy("query_id", "rank").collect() if r["doc_id"] is not None]
+    few = rows()
+    monkeypatch.setattr(retrieval, "VOCABULARY", 1)
+    many = rows()
+    monkeypatch.undo()
+    assert [r for r in few if r[0] == "b"] == [r for r in many if r[0] == "b"] and len(few) == 18
+    assert few == [(r["query_id"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in retrieval.bm25(docs, queries, 9).orderBy("query_id", "rank").collect()]
+
+
+def test_runs_are_merged_into_blocks_across_slices_and_bundles(monkeypatch):
+    for name, size in {"TOKENS": 40, "SLICE": 50, "BUNDLE": 12, "BLOCK": 4, "NAMED": 3, "MERGE": 16}.items():
+        monkeypatch.setattr(postings, name, size)
+    rng = np.random.default_rng(0)
+    words = [[f"w{int(w)}" for w in rng.zipf(1.4, rng.integers(0, 30)) % 40] for _ in range(150)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(lo, hi)), pa.array(words[lo:hi], pa.list_(pa.string()))], ["doc_id", "w"]) for lo, hi in ((0, 60), (60, 61), (61, 150))]
+    bundles = pa.concat_batches(list(postings._invert(3)(iter(batches))))
+    assert {n for x in bundles.column("sizes").to_pylist() for n in x} == {1, 2, 3, 4} and {"", "w1"} < set(bundles.column("name").to_pylist())
+    bundles = bundles.take(pc.sort_indices(pa.table(bundles.columns[:3], names=["b", "f", "n"]), sort_keys=[(c, "ascending") for c in "bfn"]))
+    blocks = pa.concat_batches(list(postings._merge(9.0)(bundles.slice(at, 7) for at in range(0, bundles.num_rows, 7)))).to_pylist()
+    got = sorted((b["token"], e["doc_id"], e["tf"], e["dl"]) for b in blocks for e in b["entries"])
+    assert got == sorted((t, i, w.count(t), len(w)) for i, w in enumerate(words) for t in set(w))
+    impact = lambda e: e["tf"] * 2.5 / (e["tf"] + 1.5 * (0.25 + 0.75 * e["dl"] / 9))
+    assert all(abs(b["top"] - max(map(impact, b["entries"]))) < 1e-12 and b["n"] == len(b["entries"]) <= 4 and b["level"] == int(b["top"] * 16) for b in blocks)
+    assert len({b["bucket"] for b in blocks}) == 3 and sum(b["n"] < 4 for b in blocks) < 80
+
+
 def test_an_index_without_words_finds_nothing(spark, tmp_path):
     build_postings(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), f"file://{tmp_path}/p")
     assert Postings(spark, f"file://{tmp_path}/p").search(spark.createDataFrame([(1, "word")], "query_id long, text string")).count() == 0
@@ -84,7 +128,7 @@ def test_one_of_two_builders_wins(spark, store, docs):
 RACE = """
 import sys, time
 sys.path.insert(0, {root!r})
-from lexmill.plans import commits
+from lexmill.plans import commits, postings, scratch
 while time.time() < {at}: pass
 print(sum(commits.create_new(None, "file://{base}/c/%04d" % i, {{"by": sys.argv[1]}}) for i in range(300)))
 """
